@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # Plans here have many column expressions; recording a call site for each one is slow.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -22,6 +24,7 @@ def local_session(app: str = "tidemark", cpus: int = 8, **extra: str) -> SparkSe
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.driver.memory", "12g")
     )
