@@ -18,9 +18,13 @@ LIMITS = QualityThresholds()
 
 
 def all_findings(
-    spark: SparkSession, sf: str, t: QualityThresholds = LIMITS, key: str = "brand"
+    spark: SparkSession,
+    sf: str,
+    t: QualityThresholds = LIMITS,
+    key: str = "brand",
+    prices: DataFrame | None = None,
 ) -> DataFrame:
-    prices = panel.daily_price(spark, sf, key)
+    prices = prices if prices is not None else panel.daily_price(spark, sf, key)
     securities = panel.security(spark, sf, key)
     price = quality.price_findings(
         spark, prices, panel.corporate_action(spark, sf), panel.security_ticker(spark, sf, key),
