@@ -1 +1,116 @@
-QUERIES = {}
+"""Score, ranking and selection queries."""
+
+from __future__ import annotations
+
+from datetime import date
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions.numeric import out
+from tidemark.operators import calendar, scoring
+from tidemark.params import HOLD_ALL, Strategy, strategy_sweep
+from tidemark.plans.temporal import LAST
+from tidemark.plans.universe import candidate_grid, trading_price
+from tidemark.sources import panel
+
+# The prices start in 1998: a year and a half of history before the first decision.
+SWEEP_FIRST = date(1999, 7, 1)
+
+
+def sweep_dates(spark: SparkSession) -> DataFrame:
+    return calendar.decision_dates(spark, SWEEP_FIRST, LAST)
+
+
+def members(spark: SparkSession, sf: str, key: str = "brand") -> DataFrame:
+    return candidate_grid(spark, sf, key).withColumnRenamed("as_of", "decision_date")
+
+
+def scores(
+    spark: SparkSession, sf: str, strategies: tuple[Strategy, ...], key: str = "brand"
+) -> DataFrame:
+    return scoring.all_scores(
+        spark, panel.daily_price(spark, sf, key), panel.daily_market_cap(spark, sf, key),
+        sweep_dates(spark), strategies,
+    )
+
+
+def ranked(
+    spark: SparkSession, sf: str, strategies: tuple[Strategy, ...], key: str = "brand"
+) -> DataFrame:
+    return scoring.rank_scores(
+        scores(spark, sf, strategies, key), members(spark, sf, key), trading_price(spark, sf, key)
+    )
+
+
+def _rank_report(spark: SparkSession, sf: str, strategies: tuple[Strategy, ...]) -> DataFrame:
+    return ranked(spark, sf, strategies).select(
+        "kind", "decision_date", "security_id", out(F.col("score")).alias("score"), "rank",
+        "tradable_rank", "scored",
+    )
+
+
+def momentum_rank(spark: SparkSession, sf: str) -> DataFrame:
+    return _rank_report(spark, sf, tuple(s for s in strategy_sweep() if s.ranking == "momentum"))
+
+
+def low_volatility_rank(spark: SparkSession, sf: str) -> DataFrame:
+    return _rank_report(spark, sf, (Strategy("calm", "low_volatility", 126),))
+
+
+def market_cap_rank(spark: SparkSession, sf: str) -> DataFrame:
+    return _rank_report(spark, sf, (Strategy("large", "market_cap"),))
+
+
+def market_series(spark: SparkSession, sf: str) -> DataFrame:
+    """The market: mean adjusted close of all securities per open day."""
+    return trading_price(spark, sf).groupBy("price_date").agg(
+        F.sum("adjusted_close").alias("_s"), F.count("*").alias("_n")
+    ).select(
+        F.lit("SPY").alias("symbol"), "price_date",
+        F.round(F.col("_s").cast("double") / F.col("_n"), 6).alias("adjusted_close"),
+    )
+
+
+def trend_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """The trend signal of every decision date, also the early ones that are too short."""
+    dates = calendar.decision_dates(spark, date(1998, 2, 1), LAST)
+    return scoring.trend_signal(market_series(spark, sf), dates, [150, 200], "SPY")
+
+
+# The sweep with holdings that fit 25 securities: the top_n of the study is divided by ten.
+SWEEP = tuple(
+    Strategy(
+        s.version, s.ranking, s.lookback, s.skip,
+        s.top_n if s.top_n == HOLD_ALL else s.top_n // 10, s.trend_days, s.trend_symbol,
+    )
+    for s in strategy_sweep()
+)
+
+
+def holdings(
+    spark: SparkSession, sf: str, strategies: tuple[Strategy, ...] = SWEEP, key: str = "brand"
+) -> DataFrame:
+    trend = sorted({s.trend_days for s in strategies if s.trend_days})
+    signal = (
+        scoring.trend_signal(market_series(spark, sf), sweep_dates(spark), trend, "SPY") if trend else None
+    )
+    return scoring.select_holdings(
+        ranked(spark, sf, strategies, key), scoring.strategy_table(spark, strategies), signal
+    )
+
+
+def sweep_holdings(spark: SparkSession, sf: str) -> DataFrame:
+    """What each of the 31 strategies holds from each decision date on."""
+    return holdings(spark, sf).select(
+        "strategy", "decision_date", "security_id", "rank", "held", out(F.col("weight")).alias("weight")
+    )
+
+
+QUERIES = {
+    "momentum_rank": momentum_rank,
+    "low_volatility_rank": low_volatility_rank,
+    "market_cap_rank": market_cap_rank,
+    "trend_filter": trend_filter,
+    "sweep_holdings": sweep_holdings,
+}
