@@ -4,11 +4,15 @@ from oracle import universe  # noqa: F401
 from oracle.views import VIEWS, build
 
 VIEWS["sweep_date"] = "SELECT * FROM decision WHERE decision_date >= DATE '1999-07-01'"
+VIEWS["momentum_window"] = """
+SELECT d.decision_date, w.kind, ts.day AS start_day, te.day AS end_day
+FROM (SELECT *, unnest([63, 126, 252]) AS lb FROM sweep_date) d0 JOIN (SELECT decision_date, td_index FROM sweep_date) d USING (decision_date)
+JOIN (SELECT lb, sk, concat('momentum_', lb, '_', sk) AS kind FROM (VALUES (63, 0), (63, 21), (126, 0), (126, 21), (252, 0), (252, 21)) v(lb, sk)) w ON w.lb = d0.lb
+JOIN td te ON te.td_index = d.td_index - w.sk JOIN td ts ON ts.td_index = d.td_index - w.sk - w.lb
+"""
 VIEWS["momentum"] = """
-SELECT d.decision_date, concat('momentum_', lb, '_', sk) AS kind, e.security_id, CAST(e.adj AS DOUBLE) / CAST(s.adj AS DOUBLE) - 1 AS score
-FROM sweep_date d JOIN (SELECT unnest([63, 126, 252]) AS lb) l ON TRUE JOIN (SELECT unnest([0, 21]) AS sk) k ON TRUE
-JOIN td te ON te.td_index = d.td_index - sk JOIN td ts ON ts.td_index = d.td_index - sk - lb
-JOIN edge_price e ON e.day = te.day JOIN edge_price s ON s.day = ts.day AND s.security_id = e.security_id WHERE s.adj > 0
+SELECT w.decision_date, w.kind, e.security_id, CAST(e.adj AS DOUBLE) / CAST(s.adj AS DOUBLE) - 1 AS score
+FROM momentum_window w JOIN edge_price e ON e.day = w.end_day JOIN edge_price s ON s.day = w.start_day AND s.security_id = e.security_id WHERE s.adj > 0
 """
 VIEWS["edge_price"] = """
 SELECT t.day, p.security_id, max_by(p.adjusted_close, p.price_date) AS adj

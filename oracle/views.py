@@ -165,5 +165,5 @@ def build(body: str, extra: dict[str, str] | None = None) -> str:
     visit(body)
     if not order:
         return body.strip()
-    ctes = ",\n".join(f"{name} AS ({views[name].strip()})" for name in order)
+    ctes = ",\n".join(f"{name} AS MATERIALIZED ({views[name].strip()})" for name in order)
     return f"WITH {ctes}\n{body.strip()}"

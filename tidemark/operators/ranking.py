@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidemark.sources.checkpoints import cut
+
 BINS = 64
 
 
@@ -16,21 +18,25 @@ def rank_in_groups(
 ) -> DataFrame:
     """Add `rank` (score descending, tie ascending) and `group_size` per group.
 
+
     A group may hold far more rows than one task should sort. Its scores are first cut into bins at
     approximate quantiles; bins are ordered by score, so the exact rank is the number of rows in
     better bins plus the place inside the bin. Only the bins of a group, not the group, meet in a
     task. Rows of one score share a bin. With `marked` (a boolean column) `marked_rank` numbers the
-    marked rows alone.
+    marked rows alone and `group_marked` counts them.
     """
     keys = list(keys)
+    flag = F.col(marked).cast("int") if marked else F.lit(0)
+    rows = cut(rows)  # read three times below
     cuts = [(i + 1) / BINS for i in range(BINS - 1)]
     bounds = rows.groupBy(*keys).agg(
-        F.percentile_approx(score, cuts, 1000).alias("_cuts"), F.count("*").alias("group_size")
+        F.percentile_approx(score, cuts, 1000).alias("_cuts"),
+        F.count("*").alias("group_size"),
+        F.sum(flag).alias("group_marked"),
     )
     binned = rows.join(bounds, keys).withColumn(
         "_bin", F.size(F.filter("_cuts", lambda b: b > F.col(score)))
     )
-    flag = F.col(marked).cast("int") if marked else F.lit(0)
     sizes = binned.groupBy(*keys, "_bin").agg(F.count("*").alias("_n"), F.sum(flag).alias("_m"))
     above = W.partitionBy(*keys).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(
@@ -39,11 +45,12 @@ def rank_in_groups(
         F.coalesce(F.sum("_m").over(above), F.lit(0)).alias("_marked_before"),
     )
     inside = W.partitionBy(*keys, "_bin").orderBy(F.desc(score), F.asc(tie))
-    ranked = (
-        binned.join(offsets, [*keys, "_bin"])
-        .withColumn("rank", F.row_number().over(inside) + F.col("_before"))
+    ranked = binned.join(offsets, [*keys, "_bin"]).withColumn(
+        "rank", F.row_number().over(inside) + F.col("_before")
     )
     if marked:
         seen = F.sum(flag).over(inside.rowsBetween(W.unboundedPreceding, 0)) + F.col("_marked_before")
         ranked = ranked.withColumn("marked_rank", F.when(F.col(marked), seen))
+    else:
+        ranked = ranked.drop("group_marked")
     return ranked.drop("_cuts", "_bin", "_before", "_marked_before")

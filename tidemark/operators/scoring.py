@@ -193,8 +193,8 @@ def rank_scores(scores: DataFrame, members: DataFrame, prices: DataFrame) -> Dat
         .drop("_priced")
     )
     ranked = rank_in_groups(rows, ["kind", "decision_date"], "score", "security_id", "tradable")
-    return ranked.withColumnRenamed("marked_rank", "tradable_rank").withColumnRenamed(
-        "group_size", "scored"
+    return ranked.withColumnsRenamed(
+        {"marked_rank": "tradable_rank", "group_size": "scored", "group_marked": "tradable_count"}
     )
 
 
@@ -258,9 +258,8 @@ def select_holdings(
         # Strategies x dates at most; the signal has one row per date and length.
         off = signal.filter(~F.col("risk_on")).select("decision_date", "trend_days")
         picks = picks.join(F.broadcast(off), ["decision_date", "trend_days"], "left_anti")
-    keys = ["strategy", "decision_date"]
-    held = picks.groupBy(*keys).agg(F.count("*").alias("held"))
-    return picks.join(held, keys).select(
-        *keys, "security_id", "score", "rank", "scored", "held",
+    held = F.least(F.col("tradable_count"), F.col("top_n").cast("bigint"))
+    return picks.withColumn("held", held).select(
+        "strategy", "decision_date", "security_id", "score", "rank", "scored", "held",
         (F.lit(1.0) / F.col("held")).alias("weight"),
     )
