@@ -41,7 +41,8 @@ def growth_figures(nav: DataFrame) -> DataFrame:
 
 def risk_figures(returns: DataFrame) -> DataFrame:
     """[series, volatility, sharpe, sortino]; the risk-free rate is zero."""
-    down = F.pow(F.least(F.col("ret"), F.lit(0.0)), 2)
+    # The first day has no return; least() alone would count it as zero.
+    down = F.when(F.col("ret").isNotNull(), F.pow(F.least(F.col("ret"), F.lit(0.0)), 2))
     s = returns.groupBy("series").agg(
         F.count("ret").alias("_n"), F.avg("ret").alias("_mean"),
         F.stddev_samp("ret").alias("_dev"), F.sqrt(F.avg(down)).alias("_down"),
