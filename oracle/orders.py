@@ -74,7 +74,7 @@ FROM broker_order o LEFT JOIN filled f USING (order_id) LEFT JOIN (SELECT user_i
     "orders_in_doubt": "SELECT order_id, state FROM state_now WHERE state IN ('FAILED', 'SUBMISSION_UNKNOWN')",
     "orders_by_state": "SELECT state, count(*) AS n FROM state_now GROUP BY 1",
     "valued_holdings": """
-SELECT e.symbol, CAST(e.q AS DOUBLE) AS quantity, p.price_date, round(CAST(e.q AS DOUBLE) * p.px, 2) AS value,
+SELECT e.symbol, CAST(e.q AS DOUBLE) AS quantity, p.price_date, round(CAST(e.q AS DOUBLE) * p.px, 4) AS value,
   round(CAST(e.q AS DOUBLE) * p.px / sum(CAST(e.q AS DOUBLE) * p.px) OVER (), 6) AS weight, CASE WHEN e.symbol IN ('T1', 'T2') THEN 'approved fund' ELSE 'stock' END AS kind
 FROM expected e LEFT JOIN (SELECT concat('T', security_id) AS symbol, max(price_date) AS price_date, CAST(arg_max(adjusted_close, price_date) AS DOUBLE) AS px FROM daily_price WHERE security_id <> 9 GROUP BY security_id) p USING (symbol)
 """,
@@ -89,7 +89,7 @@ SELECT severity, code, message FROM (
   UNION ALL SELECT 'WARNING', 'ORDERS_FAILED', concat(count(*), ' order(s) ended in FAILED.') FROM state_now WHERE state = 'FAILED' HAVING count(*) > 0
   UNION ALL SELECT 'WARNING', 'APPROVALS_WAITING', concat(count(*), ' trade(s) are waiting for your approval.') FROM checked WHERE result = 'REQUIRES_MANUAL_REVIEW' HAVING count(*) > 0
   UNION ALL SELECT 'WARNING', 'STALE_DATA', concat('Market data ends ', newest, ' (', old, ' trading days old).') FROM (
-    SELECT newest, (SELECT count(*) FROM td WHERE day > newest AND day < DATE '2001-11-20') + 1 AS old FROM (SELECT max(price_date) AS newest FROM daily_price) m) s WHERE old > 3) a
+    SELECT newest, (SELECT count(*) FROM td WHERE day > newest AND day < DATE '2001-11-20') + 1 AS old FROM (SELECT max(price_date) AS newest FROM daily_price) m) s WHERE old > 1) a
 """,
 }
 SQL = {name: build(body) for name, body in SQL.items()}

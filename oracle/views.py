@@ -96,6 +96,30 @@ FROM (SELECT *, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) AS t FRO
 JOIN part ON l_partkey = p_partkey WHERE l_shipdate >= TIMESTAMP '1998-01-01 00:00:00'
 """
 
+VIEWS["raw_action"] = """
+SELECT o_orderkey, CASE WHEN o_orderkey % 61 = 0 THEN '2001-02-30' ELSE strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') END AS date,
+  (['split','dividend','acquisitionof','acquisitionby','mergerfrom','mergerto','tickerchangefrom','tickerchangeto','delisted','regulatorydelisting','voluntarydelisting','bankruptcyliquidation','spinoff',''])[o_orderkey % 14 + 1] AS action,
+  CASE WHEN o_orderkey % 53 = 0 THEN 'N/A' ELSE concat('t', o_custkey % 25 + 1) END AS ticker,
+  CASE WHEN o_orderkey % 47 = 0 THEN 'x1' WHEN o_orderkey % 43 = 0 THEN '' ELSE CAST(o_orderkey % 9 AS VARCHAR) END AS value,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'N/A' ELSE concat('T', o_orderkey % 25 + 1) END AS contraticker,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'n/a' ELSE concat('Contra T', o_orderkey % 25 + 1) END AS contraname
+FROM orders
+"""
+VIEWS["raw_company"] = """
+SELECT c_custkey, CASE WHEN c_custkey % 41 = 0 THEN ' ' ELSE CAST(c_custkey AS VARCHAR) END AS permaticker, concat(' c', c_custkey) AS ticker,
+  CASE WHEN c_custkey % 37 = 0 THEN '' ELSE c_name END AS name, CASE WHEN c_custkey % 31 = 0 THEN '?' WHEN c_custkey % 5 = 0 THEN 'y' ELSE 'N' END AS isdelisted, c_mktsegment AS sector,
+  CASE WHEN c_custkey % 29 = 0 THEN '1999-13-01' WHEN c_custkey % 23 = 0 THEN '' ELSE strftime(DATE '1998-01-01' + CAST(c_custkey % 400 AS INT), '%Y-%m-%d') END AS firstpricedate,
+  CASE WHEN c_custkey % 20 = 0 THEN '' WHEN c_custkey % 15 = 0 THEN '1997-06-30' ELSE strftime(DATE '2000-01-01' + CAST(c_custkey % 600 AS INT), '%Y-%m-%d') END AS lastpricedate
+FROM customer
+"""
+VIEWS["raw_fundamental"] = """
+SELECT o_orderkey, CASE WHEN o_orderkey % 59 = 0 THEN '' ELSE concat('T', o_custkey % 25 + 1) END AS ticker,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 'arq' WHEN '2-HIGH' THEN 'ARY' WHEN '3-MEDIUM' THEN 'ART' ELSE 'MRQ' END AS dimension,
+  CASE WHEN o_orderkey % 17 = 0 THEN 'N/A' ELSE strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') END AS calendardate, CAST(o_orderdate AS DATE) AS filed,
+  CAST(o_totalprice AS DECIMAL(18,2)) AS total
+FROM orders
+"""
+
 # The calendar, written from a list of holidays (Good Fridays as fixed dates).
 VIEWS["cal_day"] = """
 SELECT CAST(g.d AS DATE) AS day FROM generate_series(TIMESTAMP '1998-01-01', TIMESTAMP '2027-12-31', INTERVAL 1 DAY) AS g(d)

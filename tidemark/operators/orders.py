@@ -152,7 +152,7 @@ def alerts(
     mismatches: DataFrame,
     waiting: DataFrame,
     prices: DataFrame,
-    max_age: int = 3,
+    max_age: int = 1,
 ) -> DataFrame:
     """[rank, severity, code, message], most serious first. Each input is reduced to one row.
 

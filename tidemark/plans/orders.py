@@ -117,7 +117,7 @@ def valued_holdings(spark: SparkSession, sf: str) -> DataFrame:
     )
     return rows.select(
         "symbol", out(F.col("quantity"), 2).alias("quantity"), "price_date",
-        out(F.col("value"), 2).alias("value"), out(F.col("weight")).alias("weight"), "kind",
+        out(F.col("value"), 4).alias("value"), out(F.col("weight")).alias("weight"), "kind",
     )
 
 

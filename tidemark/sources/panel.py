@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.schemas import AMOUNT_COLUMNS
+
 
 # Schemas are given, so planning opens no file.
 SCHEMAS = {
@@ -287,3 +289,73 @@ def raw_price(spark: SparkSession, sf: str) -> DataFrame:
         text.alias("closeadj"),
         text.alias("closeunadj"),
     )
+
+
+def raw_action(spark: SparkSession, sf: str) -> DataFrame:
+    """Vendor action rows, all text, one per order: every code, some unmapped, some broken."""
+    o = F.col("o_orderkey")
+    codes = F.array(*[F.lit(c) for c in (*ACTION_CODES, "spinoff", "")])
+    ticker = F.concat(F.lit("t"), (F.col("o_custkey") % 25 + 1).cast("string"))
+    contra = F.concat(F.lit("T"), (o % 25 + 1).cast("string"))
+    return table(spark, sf, "orders").select(
+        "o_orderkey",
+        F.when(o % 61 == 0, "2001-02-30")
+        .otherwise(F.date_format(F.col("o_orderdate").cast("date"), "yyyy-MM-dd"))
+        .alias("date"),
+        F.element_at(codes, (o % 14 + 1).cast("int")).alias("action"),
+        F.when(o % 53 == 0, "N/A").otherwise(ticker).alias("ticker"),
+        F.when(o % 47 == 0, "x1").when(o % 43 == 0, "").otherwise((o % 9).cast("string")).alias("value"),
+        F.when(o % 3 == 0, "N/A").otherwise(contra).alias("contraticker"),
+        F.when(o % 3 == 0, "n/a").otherwise(F.concat(F.lit("Contra "), contra)).alias("contraname"),
+    )
+
+
+# The vendor's action codes.
+ACTION_CODES = (
+    "split", "dividend", "acquisitionof", "acquisitionby", "mergerfrom", "mergerto", "tickerchangefrom",
+    "tickerchangeto", "delisted", "regulatorydelisting", "voluntarydelisting", "bankruptcyliquidation",
+)
+
+
+def raw_company(spark: SparkSession, sf: str) -> DataFrame:
+    """Vendor company rows, all text, one per customer, with each defect."""
+    c = F.col("c_custkey")
+    day = lambda base, step: F.date_format(F.date_add(F.lit(base).cast("date"), (c % step).cast("int")), "yyyy-MM-dd")  # noqa: E731,E501
+    return table(spark, sf, "customer").select(
+        F.when(c % 41 == 0, " ").otherwise(c.cast("string")).alias("permaticker"),
+        F.concat(F.lit(" c"), c.cast("string")).alias("ticker"),
+        "c_name",
+        F.when(c % 37 == 0, "").otherwise(F.col("c_name")).alias("name"),
+        F.when(c % 31 == 0, "?").when(c % 5 == 0, "y").otherwise("N").alias("isdelisted"),
+        F.lit("Domestic Common Stock").alias("category"),
+        F.lit("7372").alias("siccode"),
+        F.col("c_mktsegment").alias("sector"),
+        F.col("c_mktsegment").alias("industry"),
+        F.lit("USD").alias("currency"),
+        F.lit("NYSE").alias("exchange"),
+        F.lit("US").alias("location"),
+        F.concat(F.lit("zz "), c.cast("string"), F.lit(" N/A zz")).alias("relatedtickers"),
+        F.when(c % 29 == 0, "1999-13-01").when(c % 23 == 0, "").otherwise(day("1998-01-01", 400)).alias("firstpricedate"),
+        F.when(c % 20 == 0, "").when(c % 15 == 0, "1997-06-30").otherwise(day("2000-01-01", 600)).alias("lastpricedate"),
+    )
+
+
+def raw_fundamental(spark: SparkSession, sf: str) -> DataFrame:
+    """Vendor filing rows, all text, one per order."""
+    o = F.col("o_orderkey")
+    total = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+    amounts = {
+        "debt": total, "revenue": total, "ebit": F.when(o % 19 == 0, "oops").otherwise(total), "cashneq": total,
+    }
+    day = F.date_format(F.col("o_orderdate").cast("date"), "yyyy-MM-dd")
+    return table(spark, sf, "orders").select(
+        "o_orderkey",
+        F.when(o % 59 == 0, "").otherwise(F.concat(F.lit("T"), (F.col("o_custkey") % 25 + 1).cast("string"))).alias("ticker"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", "arq").when(F.col("o_orderpriority") == "2-HIGH", "ARY")
+        .when(F.col("o_orderpriority") == "3-MEDIUM", "ART").otherwise("MRQ").alias("dimension"),
+        F.when(o % 17 == 0, "N/A").otherwise(day).alias("calendardate"),
+        day.alias("date"),
+        F.lit("").alias("reportperiod"),
+        F.lit("2000-Q1").alias("fiscalperiod"),
+        *[amounts.get(c, F.lit("")).alias(c) for c in AMOUNT_COLUMNS.values()],
+    )
