@@ -80,7 +80,7 @@ def filing_index(spark: SparkSession, sf: str) -> DataFrame:
     docs = panel.table(spark, sf, "orders").groupBy(
         (F.col("o_custkey") % 25).alias("cik"), F.dayofyear("o_orderdate").alias("doc")
     ).agg(F.collect_list(item).alias("x"))
-    recent = F.struct("x.form", "x.reportDate", "x.accessionNumber")
+    recent = F.struct(*[F.col(f"x.{n}").alias(n) for n in ("form", "reportDate", "accessionNumber")])
     docs.select("cik", F.struct(recent.alias("recent")).alias("filings")).write.json(path)
     rows = readers.month_end_filings(readers.read_filing_index(spark, path), date(1998, 1, 1))
     number = F.substring("accession", 5, 10).cast("bigint")

@@ -34,56 +34,52 @@ AMOUNT_COLUMNS = {
 }
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
-
-SECURITY = _struct(
+# The table schemas are DDL text: readers and createDataFrame take it, and importing this module
+# needs no session.
+SECURITY = (
     "security_id bigint, source string, source_id string, company_name string, exchange string, "
     "currency string, country string, sector string, industry string, category string, "
     "sic_code string, related_tickers string, isin string, cusip string, start_date date, "
     "end_date date, delisted_flag boolean, active_flag boolean"
 )
-SECURITY_TICKER = _struct("security_id bigint, ticker string, valid_from date, valid_to date")
-DAILY_PRICE = _struct(
+SECURITY_TICKER = "security_id bigint, ticker string, valid_from date, valid_to date"
+DAILY_PRICE = (
     "security_id bigint, price_date date, open decimal(30,6), high decimal(30,6), "
     "low decimal(30,6), close decimal(30,6), adjusted_close decimal(30,6), "
     "close_unadjusted decimal(30,6), volume bigint, source string, data_version string"
 )
-CORPORATE_ACTION = _struct(
+CORPORATE_ACTION = (
     "security_id bigint, action_type string, effective_date date, value decimal(19,8), "
     "related_security_id bigint, details map<string,string>"
 )
-FUNDAMENTAL = T.StructType(
-    _struct(
-        "security_id bigint, dimension string, calendar_date date, filing_date date, "
-        "report_period date, fiscal_period string"
-    ).fields
-    + [T.StructField(name, AMOUNT) for name in AMOUNT_COLUMNS]
+FUNDAMENTAL = (
+    "security_id bigint, dimension string, calendar_date date, filing_date date, "
+    "report_period date, fiscal_period string, "
+    + ", ".join(f"{name} decimal(24,4)" for name in AMOUNT_COLUMNS)
 )
-DAILY_MARKET_CAP = _struct("security_id bigint, cap_date date, market_cap_usd decimal(24,4)")
-INDEX_MEMBERSHIP = _struct(
+DAILY_MARKET_CAP = "security_id bigint, cap_date date, market_cap_usd decimal(24,4)"
+INDEX_MEMBERSHIP = (
     "index_name string, record_date date, action string, ticker string, company_name string, "
     "contra_ticker string, contra_name string, note string"
 )
-DATA_VERSION = _struct(
+DATA_VERSION = (
     "dataset string, sha256 string, version string, source string, row_count bigint, "
     "downloaded_at timestamp"
 )
-PRICE_VINTAGE = _struct(
+PRICE_VINTAGE = (
     "vintage_id string, description string, status string, stock_rows bigint, "
     "benchmark_rows bigint, finished_at timestamp"
 )
-VINTAGE_PRICE = _struct(
+VINTAGE_PRICE = (
     "security_id bigint, price_date date, close_unadjusted decimal(30,6), "
     "adjusted_close decimal(30,6), volume bigint, vintage_id string"
 )
-CLASSIFICATION = _struct(
+CLASSIFICATION = (
     "security_id bigint, provider string, methodology string, status string, "
     "effective_from date, effective_to date, screening_date date, reason string"
 )
-FINDING = _struct("security_id bigint, check_name string, data_date date, detail string")
-AUDIT_EVENT = _struct(
+FINDING = "security_id bigint, check_name string, data_date date, detail string"
+AUDIT_EVENT = (
     "sequence bigint, occurred_at timestamp, actor string, action string, entity_type string, "
     "entity_id string, reason string"
 )

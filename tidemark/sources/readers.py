@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tidemark.schemas import all_text
@@ -35,9 +34,7 @@ def read_vendor_csv(spark: SparkSession, path: str, required: Sequence[str]) ->
 
 def read_fund_holdings(spark: SparkSession, path: str) -> DataFrame:
     """[file, name, ticker, value_usd, asset_category] of a folder of holding filings."""
-    schema = T.StructType.fromDDL(
-        "name string, valUSD string, assetCat string, identifiers struct<ticker: struct<_value: string>>"
-    )
+    schema = "name string, valUSD string, assetCat string, identifiers struct<ticker: struct<_value: string>>"
     rows = spark.read.format("xml").option("rowTag", "invstOrSec").schema(schema).load(path)
     return rows.select(
         F.input_file_name().alias("file"), F.trim(F.coalesce("name", F.lit(""))).alias("name"),
