@@ -8,12 +8,13 @@ closed day the number of the last trading day before it. Date shifts become inde
 from __future__ import annotations
 
 from datetime import date
-from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidemark.functions.memo import per_session
+
 FIRST_YEAR, LAST_YEAR = 1998, 2027
 FIRST_DAY, LAST_DAY = date(FIRST_YEAR, 1, 1), date(LAST_YEAR, 12, 31)
 
@@ -84,18 +85,14 @@ def _early_pattern(day: Column) -> Column:
     return after_thanksgiving | ((month == 12) & (dom == 24)) | before_fourth
 
 
+@per_session
 def calendar(spark: SparkSession) -> DataFrame:
     """[day, is_trading, holiday, is_early_close, td_index, prev_td, next_td], one row per day.
 
     Kept in memory once per session: every job joins to it, and a lost block is recomputed from the
     rules. Its size is fixed.
     """
-    if spark not in _CALENDARS:
-        _CALENDARS[spark] = _calendar(spark).coalesce(1).cache()
-    return _CALENDARS[spark]
-
-
-_CALENDARS: WeakKeyDictionary[SparkSession, DataFrame] = WeakKeyDictionary()
+    return _calendar(spark).coalesce(1).cache()
 
 
 def _calendar(spark: SparkSession) -> DataFrame:
@@ -131,11 +128,13 @@ def _calendar(spark: SparkSession) -> DataFrame:
     )
 
 
+@per_session
 def trading_days(spark: SparkSession) -> DataFrame:
     """[day, td_index] of open days only."""
     return calendar(spark).filter("is_trading").select("day", "td_index")
 
 
+@per_session
 def month_table(spark: SparkSession) -> DataFrame:
     """[month_no, first_td, last_td, next_last_td, next_first_td] per calendar month.
 
@@ -160,6 +159,7 @@ def month_no(day: Column) -> Column:
     return F.year(day) * 12 + F.month(day)
 
 
+@per_session
 def screening_dates(spark: SparkSession, first: date, last: date) -> DataFrame:
     """[month_no, screening_date, effective_from, effective_to] of the months first..last."""
     lo, hi = first.year * 12 + first.month, last.year * 12 + last.month
@@ -175,6 +175,7 @@ def screening_dates(spark: SparkSession, first: date, last: date) -> DataFrame:
     )
 
 
+@per_session
 def decision_dates(spark: SparkSession, first: date, last: date) -> DataFrame:
     """[month_no, decision_date, prev_td, td_index]: first trading day of each month in range.
 

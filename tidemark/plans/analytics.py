@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.memo import per_session
 from tidemark.functions.numeric import out
 from tidemark.operators import analytics, portfolio
 from tidemark.plans.portfolio import COSTS, build_panel
@@ -16,6 +17,7 @@ from tidemark.sources import panel
 SERIES = ("Industrial", "Software", "Tobacco")
 
 
+@per_session
 def index_series(spark: SparkSession, sf: str) -> DataFrame:
     """[series, day, nav]: mean adjusted close per industry and open day."""
     rows = trading_price(spark, sf).join(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.memo import per_session
 from tidemark.functions.hashing import fingerprint, row_text
 from tidemark.functions.numeric import out
 from tidemark.functions.text import blank_to_null, company_key, normalise_symbol, related_set, strict_date, strict_decimal
@@ -15,6 +16,7 @@ POSITION = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 PRICE_KEY = ("security_id", "price_date")
 
 
+@per_session
 def parsed_prices(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.parse_prices(
         panel.raw_price(spark, sf), panel.security_ticker(spark, sf), keep=POSITION

@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.memo import per_session
 from tidemark.functions.numeric import out
 from tidemark.operators import calendar, scoring
 from tidemark.params import HOLD_ALL, Strategy, strategy_sweep
@@ -18,10 +19,12 @@ from tidemark.sources import panel
 SWEEP_FIRST = date(1999, 7, 1)
 
 
+@per_session
 def sweep_dates(spark: SparkSession) -> DataFrame:
     return calendar.decision_dates(spark, SWEEP_FIRST, LAST)
 
 
+@per_session
 def members(spark: SparkSession, sf: str, key: str = "brand") -> DataFrame:
     return candidate_grid(spark, sf, key).withColumnRenamed("as_of", "decision_date")
 
@@ -62,6 +65,7 @@ def market_cap_rank(spark: SparkSession, sf: str) -> DataFrame:
     return _rank_report(spark, sf, (Strategy("large", "market_cap"),))
 
 
+@per_session
 def market_series(spark: SparkSession, sf: str) -> DataFrame:
     """The market: mean adjusted close of all securities per open day."""
     return trading_price(spark, sf).groupBy("price_date").agg(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.memo import per_session
 from tidemark.functions.numeric import out
 from tidemark.functions.text import sic_number
 from tidemark.operators import asof, calendar, screening
@@ -16,6 +17,7 @@ METHOD = Methodology()
 FIRST_MONTH = FIRST.year * 12 + FIRST.month
 
 
+@per_session
 def manual_list(spark: SparkSession) -> DataFrame:
     """Named companies decided by hand (an example list: a fixed handful)."""
     return spark.createDataFrame(
@@ -24,6 +26,7 @@ def manual_list(spark: SparkSession) -> DataFrame:
     )
 
 
+@per_session
 def classification(
     spark: SparkSession,
     sf: str,

@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.memo import per_session
 from tidemark.functions.numeric import out
 from tidemark.functions.text import normalise_ticker, strict_date
 from tidemark.operators import asof, calendar
@@ -15,6 +16,7 @@ from tidemark.sources import panel
 FIRST, LAST = date(1998, 2, 1), date(2001, 12, 31)
 
 
+@per_session
 def decisions(spark: SparkSession) -> DataFrame:
     return calendar.decision_dates(spark, FIRST, LAST)
 
@@ -130,6 +132,7 @@ def ticker_resolve(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@per_session
 def screening_grid(spark: SparkSession, sf: str, key: str = "brand") -> DataFrame:
     """[security_id, screening_date] for every security and month it could be screened in."""
     months = calendar.screening_dates(spark, FIRST, LAST).select("month_no", "screening_date")

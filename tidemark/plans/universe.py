@@ -7,6 +7,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.memo import per_session
 from tidemark.functions.numeric import out
 from tidemark.operators import asof, calendar, universe
 from tidemark.params import QualityThresholds, UniverseRules
@@ -20,12 +21,14 @@ RULES = UniverseRules()
 QUALITY = QualityThresholds(max_daily_move=Decimal(200), split_ratio=Decimal(200))
 
 
+@per_session
 def trading_price(spark: SparkSession, sf: str, key: str = "brand") -> DataFrame:
     """Prices on open days only (the calendar is broadcast: fixed size)."""
     open_days = calendar.trading_days(spark).select(F.col("day").alias("price_date"))
     return panel.daily_price(spark, sf, key).join(F.broadcast(open_days), "price_date", "left_semi")
 
 
+@per_session
 def as_of_dates(spark: SparkSession) -> DataFrame:
     return decisions(spark).withColumnRenamed("decision_date", "as_of")
 
@@ -37,6 +40,7 @@ def status_in_effect(spark: SparkSession, sf: str, values: list[str], key: str =
     ).drop("screening_date")
 
 
+@per_session
 def candidate_grid(spark: SparkSession, sf: str, key: str = "brand") -> DataFrame:
     securities = panel.security(spark, sf, key)
     grid = asof_grid(securities, as_of_dates(spark).select("month_no", "as_of"), "as_of")

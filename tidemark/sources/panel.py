@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.memo import per_session
 from tidemark.schemas import AMOUNT_COLUMNS
 
 
@@ -31,6 +32,7 @@ SCHEMAS = {
 }
 
 
+@per_session
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf}/{name}.parquet")
 
@@ -51,6 +53,7 @@ def _with_security(lines: DataFrame, spark: SparkSession, sf: str, key: str) ->
     return lines.withColumn("security_id", F.col(column) + 1)
 
 
+@per_session
 def daily_price(spark: SparkSession, sf: str, key: str = "brand") -> DataFrame:
     """One row per (security_id, price_date): first, highest, lowest and last trade of the day.
 
@@ -88,6 +91,7 @@ def daily_price(spark: SparkSession, sf: str, key: str = "brand") -> DataFrame:
     )
 
 
+@per_session
 def security(spark: SparkSession, sf: str, key: str = "brand") -> DataFrame:
     if key == "brand":
         ids = table(spark, sf, "part").select(_brand().alias("security_id")).distinct()
@@ -117,6 +121,7 @@ def security(spark: SparkSession, sf: str, key: str = "brand") -> DataFrame:
     )
 
 
+@per_session
 def security_ticker(spark: SparkSession, sf: str, key: str = "brand") -> DataFrame:
     ids = security(spark, sf, key).select("security_id")
     b = F.col("security_id")
@@ -140,6 +145,7 @@ def security_ticker(spark: SparkSession, sf: str, key: str = "brand") -> DataFra
     ).select("security_id", "t.*")
 
 
+@per_session
 def fundamental(spark: SparkSession, sf: str, key: str = "brand") -> DataFrame:
     """One filing per order. For wide panels the securities are as many as suppliers or parts."""
     width = {"brand": 25, "supplier": None, "part": None}[key]
@@ -180,6 +186,7 @@ def fundamental(spark: SparkSession, sf: str, key: str = "brand") -> DataFrame:
     )
 
 
+@per_session
 def daily_market_cap(spark: SparkSession, sf: str, key: str = "brand") -> DataFrame:
     zero = F.col("security_id") + F.dayofmonth("price_date") == 53
     return daily_price(spark, sf, key).select(
@@ -192,6 +199,7 @@ def daily_market_cap(spark: SparkSession, sf: str, key: str = "brand") -> DataFr
     )
 
 
+@per_session
 def corporate_action(spark: SparkSession, sf: str) -> DataFrame:
     """SPLIT actions on the split day for some of the split securities (10 and 20 are missing)."""
     ids = security(spark, sf).filter(F.col("security_id").isin(5, 15, 25))
@@ -203,6 +211,7 @@ def corporate_action(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@per_session
 def order_state_event(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.col("event_type")
     return table(spark, sf, "events").select(
@@ -219,6 +228,7 @@ def order_state_event(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@per_session
 def order_fill(spark: SparkSession, sf: str) -> DataFrame:
     e = F.col("event_id")
     return (
@@ -234,6 +244,7 @@ def order_fill(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@per_session
 def broker_order(spark: SparkSession, sf: str) -> DataFrame:
     """One order per user that appears in the log; the quantity asked is taken from its id."""
     u = F.col("user_id")
@@ -247,6 +258,7 @@ def broker_order(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@per_session
 def vendor_report(spark: SparkSession, sf: str) -> DataFrame:
     """Outside opinions, one per customer: the symbol carries different share-class spellings."""
     c = F.col("c_custkey")
@@ -261,6 +273,7 @@ def vendor_report(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@per_session
 def raw_price(spark: SparkSession, sf: str) -> DataFrame:
     """Vendor price rows, all text, one per order line, with the usual defects."""
     o = F.col("l_orderkey")
@@ -291,6 +304,7 @@ def raw_price(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@per_session
 def raw_action(spark: SparkSession, sf: str) -> DataFrame:
     """Vendor action rows, all text, one per order: every code, some unmapped, some broken."""
     o = F.col("o_orderkey")
@@ -317,6 +331,7 @@ ACTION_CODES = (
 )
 
 
+@per_session
 def raw_company(spark: SparkSession, sf: str) -> DataFrame:
     """Vendor company rows, all text, one per customer, with each defect."""
     c = F.col("c_custkey")
@@ -340,6 +355,7 @@ def raw_company(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@per_session
 def raw_fundamental(spark: SparkSession, sf: str) -> DataFrame:
     """Vendor filing rows, all text, one per order."""
     o = F.col("o_orderkey")
