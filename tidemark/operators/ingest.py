@@ -44,11 +44,18 @@ def _any(tests: Sequence[Column]) -> Column:
 
 
 def _numbers(raw: DataFrame, columns: dict[str, str]) -> tuple[DataFrame, Column, Column]:
-    """Parse text numbers: the frame with them, "any is bad" and "any is missing"."""
-    typed = raw.withColumns({f"n_{name}": strict_decimal(F.col(c), SCALE) for name, c in columns.items()})
-    bad = _any([is_bad(F.col(c), F.col(f"n_{name}")) for name, c in columns.items()])
-    missing = _any([F.col(f"n_{name}").isNull() for name in columns])
-    return typed, bad, missing
+    """Parse text numbers: the frame with them, "any is bad" and "any is missing".
+
+    Blanks and "N/A" fail the cast like broken text does; which of the two it was is only asked for
+    rows in which a cast failed, so the common row costs one cast per column.
+    """
+    typed = raw.withColumns({f"n_{name}": F.col(c).try_cast(SCALE) for name, c in columns.items()})
+    failed = F.lit(False)
+    for name in columns:
+        failed = failed | F.col(f"n_{name}").isNull()
+    texts = F.array(*[F.when(F.col(f"n_{name}").isNull(), F.col(c)) for name, c in columns.items()])
+    given = F.exists(texts, lambda t: ~F.upper(F.trim(t)).isin("", "N/A"))
+    return typed, failed & F.coalesce(given, F.lit(False)), failed
 
 
 def parse_prices(raw: DataFrame, periods: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -296,29 +303,38 @@ def import_summary(
     parsed: DataFrame, stored: DataFrame, keys: Sequence[str], values: Sequence[str],
     position: Sequence[str],
 ) -> DataFrame:
-    """[what, n]: rows inserted, already present, restated, and skipped by reason."""
-    skipped = (
-        parsed.filter("skip_reason IS NOT NULL")
-        .groupBy(F.concat(F.lit("skipped:"), "skip_reason").alias("what"))
-        .agg(F.count("*").alias("n"))
+    """[what, n]: rows inserted, already present, restated, and skipped by reason.
+
+    One pass: skipped rows are counted per reason and accepted ones per key in the same aggregation
+    (combined before the shuffle), then meet the stored rows.
+    """
+    good = F.col("skip_reason").isNull()
+    keyed = parsed.withColumns({k: F.when(good, F.col(k)) for k in keys})
+    first = keyed.groupBy("skip_reason", *keys).agg(
+        F.min_by(F.struct(*values), F.struct(*position)).alias("_v"), F.count("*").alias("copies")
     )
-    fresh = keep_first(accepted(parsed), keys, position)
     types = {f.name: f.dataType for f in stored.schema.fields}
-    cast = F.struct(*[F.col(v).cast(types[v]).alias(v) for v in values])
-    both = fresh.withColumn("_fresh", cast).join(
+    cast = F.struct(*[F.col(f"_v.{v}").cast(types[v]).alias(v) for v in values])
+    both = first.withColumn("_fresh", cast).join(
         stored.select(*keys, F.struct(*values).alias("_stored")), list(keys), "left"
     )
     there, same = F.col("_stored").isNotNull(), F.col("_fresh").eqNullSafe(F.col("_stored"))
-    totals = both.agg(
-        F.count(F.when(~there, 1)).alias("inserted"), F.count(F.when(there, 1)).alias("already_present"),
-        F.count(F.when(there & ~same, 1)).alias("restated"),
-        F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("skipped:duplicate_in_download"),
-    )
-    names = totals.columns
-    counted = totals.select(
-        F.explode(F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).alias("n")) for c in names])).alias("t")
-    ).select("t.*")
-    return counted.unionByName(skipped)
+
+    def entry(what: Column, n: Column) -> Column:
+        return F.struct(what.alias("what"), n.cast("bigint").alias("n"))
+
+    def flag(test: Column) -> Column:
+        return F.when(good & test, 1).otherwise(0)
+
+    entries = [
+        entry(F.lit("inserted"), flag(~there)),
+        entry(F.lit("already_present"), flag(there)),
+        entry(F.lit("restated"), flag(there & ~same)),
+        entry(F.lit("skipped:duplicate_in_download"), F.when(good, F.col("copies") - 1).otherwise(0)),
+        entry(F.concat(F.lit("skipped:"), F.coalesce("skip_reason", F.lit(""))), F.when(~good, F.col("copies")).otherwise(0)),
+    ]
+    rows = both.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    return rows.groupBy("what").agg(F.sum("n").alias("n")).filter("what <> 'skipped:'")
 
 
 def unmatched_tickers(parsed: DataFrame, top: int = 5) -> DataFrame:
