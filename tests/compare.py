@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import os
 import sys
 import time
 from decimal import Decimal
@@ -57,7 +58,12 @@ def main(argv):
     from tidemark.session import local_session
 
     sf = f"/root/testdata/sf{argv[0]}"
-    spark = local_session("compare")
+    if os.environ.get("PLAIN"):  # a session without this package's settings
+        from pyspark.sql import SparkSession
+
+        spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").getOrCreate()
+    else:
+        spark = local_session("compare")
     con = connect(sf)
     queries, oracle = entry.queries(), entry.oracle_sql()
     wanted = [q for q in queries if not argv[1:] or any(a in q for a in argv[1:])]

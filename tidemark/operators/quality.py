@@ -105,7 +105,9 @@ def price_findings(
     last: date,
     t: QualityThresholds,
     today: date,
+    details: bool = True,
 ) -> DataFrame:
+    """All price checks. Without `details` the texts are left out, for callers that only need dates."""
     cal = calendar.calendar(spark).select(
         F.col("day").alias("price_date"), "is_trading", F.col("td_index").alias("td")
     )
@@ -114,7 +116,7 @@ def price_findings(
     )
     master = securities.select("security_id", "end_date").join(
         ticker_spans(periods), "security_id", "left"
-    )
+    ).withColumn("_known", F.lit(True))
     rows = (
         with_previous(prices, first, last, t)
         .join(F.broadcast(cal), "price_date", "left")
@@ -152,37 +154,35 @@ def price_findings(
         ),
         F.lit(False),
     )
-    known = c("_known")
     after_end = day > c("end_date")
-    return _explode(
-        rows.withColumn("_known", F.lit(True)),
-        "price_date",
-        [
-            _finding(
+    checks = [
+            (
                 "ohlc_inconsistent", ohlc,
                 _text("open ", c("open"), ", high ", c("high"), ", low ", c("low"), ", close ", c("close")),
             ),
-            _finding(
+            (
                 "bad_price_date", future | closed,
                 F.when(future, "dated in the future").otherwise("dated on a day the NYSE was closed"),
             ),
-            _finding(
+            (
                 "abnormal_jump", jump,
                 _text("close ", c("prev_close"), " -> ", c("close"), " (", move_text, "%) since ", c("prev_date")),
             ),
-            _finding("price_gap", gap, _text(missing, " trading days with no price since ", c("prev_date"))),
-            _finding(
+            (
+                "price_gap", gap, _text(missing, " trading days with no price since ", c("prev_date"))),
+            (
                 "possible_missing_split", split,
                 _text("price paid ", before, " -> ", now, " with no split action near"),
             ),
-            _finding(
-                "price_outside_ticker_history", known & (~has_ticker | F.coalesce(after_end, F.lit(False))),
+            (
+                "price_outside_ticker_history",
+                c("_known").isNotNull() & (~has_ticker | F.coalesce(after_end, F.lit(False))),
                 F.when(has_ticker, _text("after the security's last trading day ", c("end_date"))).otherwise(
                     "no ticker was assigned to the security on this date"
                 ),
             ),
-        ],
-    )
+    ]
+    return _explode(rows, "price_date", [_finding(n, f, d if details else F.lit("")) for n, f, d in checks])
 
 
 def filing_findings(filings: DataFrame, first: date, last: date) -> DataFrame:

@@ -11,6 +11,7 @@ from tidemark.functions.numeric import out
 from tidemark.operators import quality
 from tidemark.params import QualityThresholds
 from tidemark.sources import panel
+from tidemark.sources.checkpoints import cut
 
 FIRST, LAST, AS_OF = date(1998, 1, 1), date(2001, 12, 31), date(2001, 10, 31)
 TODAY = date(2001, 10, 1)  # prices after this day count as dated in the future
@@ -23,15 +24,19 @@ def all_findings(
     t: QualityThresholds = LIMITS,
     key: str = "brand",
     prices: DataFrame | None = None,
+    caps: DataFrame | None = None,
+    details: bool = True,
 ) -> DataFrame:
-    prices = prices if prices is not None else panel.daily_price(spark, sf, key)
+    """Findings of every check. Prices are read three times, so they are derived once and stored."""
+    prices = prices if prices is not None else cut(panel.daily_price(spark, sf, key))
+    caps = caps if caps is not None else panel.market_cap_of(prices)
     securities = panel.security(spark, sf, key)
     price = quality.price_findings(
         spark, prices, panel.corporate_action(spark, sf), panel.security_ticker(spark, sf, key),
-        securities, FIRST, LAST, t, TODAY,
+        securities, FIRST, LAST, t, TODAY, details,
     )
     filing = quality.filing_findings(panel.fundamental(spark, sf, key), FIRST, LAST)
-    value = quality.value_findings(panel.daily_market_cap(spark, sf, key), FIRST, LAST)
+    value = quality.value_findings(caps, FIRST, LAST)
     stale = quality.stale_prices(spark, securities, prices, AS_OF, t)
     return price.unionByName(filing).unionByName(value).unionByName(stale)
 

@@ -14,6 +14,7 @@ from tidemark.params import HOLD_ALL, Strategy, strategy_sweep
 from tidemark.plans.temporal import LAST
 from tidemark.plans.universe import candidate_grid, trading_price
 from tidemark.sources import panel
+from tidemark.sources.checkpoints import cut
 
 # The prices start in 1998: a year and a half of history before the first decision.
 SWEEP_FIRST = date(1999, 7, 1)
@@ -32,10 +33,12 @@ def members(spark: SparkSession, sf: str, key: str = "brand") -> DataFrame:
 def scores(
     spark: SparkSession, sf: str, strategies: tuple[Strategy, ...], key: str = "brand"
 ) -> DataFrame:
+    prices = panel.daily_price(spark, sf, key)
+    if len({s.ranking for s in strategies}) > 1:
+        prices = cut(prices)  # each ranking reads them
     return scoring.all_scores(
-        spark, panel.daily_price(spark, sf, key), panel.daily_market_cap(spark, sf, key),
-        sweep_dates(spark), strategies,
-    )
+        spark, prices, panel.market_cap_of(prices), sweep_dates(spark), strategies
+    )
 
 
 def ranked(

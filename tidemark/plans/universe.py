@@ -15,17 +15,22 @@ from tidemark.plans.quality import all_findings
 from tidemark.plans.screening import FIRST_MONTH, classification
 from tidemark.plans.temporal import asof_grid, decisions
 from tidemark.sources import panel
+from tidemark.sources.checkpoints import cut
 
 RULES = UniverseRules()
 # The given prices are noisy: only moves by a factor of 200 count as suspicious here.
 QUALITY = QualityThresholds(max_daily_move=Decimal(200), split_ratio=Decimal(200))
 
 
-@per_session
-def trading_price(spark: SparkSession, sf: str, key: str = "brand") -> DataFrame:
+def on_open_days(spark: SparkSession, prices: DataFrame) -> DataFrame:
     """Prices on open days only (the calendar is broadcast: fixed size)."""
     open_days = calendar.trading_days(spark).select(F.col("day").alias("price_date"))
-    return panel.daily_price(spark, sf, key).join(F.broadcast(open_days), "price_date", "left_semi")
+    return prices.join(F.broadcast(open_days), "price_date", "left_semi")
+
+
+@per_session
+def trading_price(spark: SparkSession, sf: str, key: str = "brand") -> DataFrame:
+    return on_open_days(spark, panel.daily_price(spark, sf, key))
 
 
 @per_session
@@ -33,10 +38,13 @@ def as_of_dates(spark: SparkSession) -> DataFrame:
     return decisions(spark).withColumnRenamed("decision_date", "as_of")
 
 
-def status_in_effect(spark: SparkSession, sf: str, values: list[str], key: str = "brand") -> DataFrame:
+def status_in_effect(
+    spark: SparkSession, sf: str, values: list[str], key: str = "brand", caps: DataFrame | None = None
+) -> DataFrame:
+    records = classification(spark, sf, key, caps=caps) if caps is not None else classification(spark, sf, key)
     return asof.in_effect_monthly(
-        classification(spark, sf, key), as_of_dates(spark), ["security_id"], "as_of",
-        "effective_from", "effective_to", values, "screening_date",
+        records, as_of_dates(spark), ["security_id"], "as_of", "effective_from", "effective_to",
+        values, "screening_date",
     ).drop("screening_date")
 
 
@@ -50,11 +58,16 @@ def candidate_grid(spark: SparkSession, sf: str, key: str = "brand") -> DataFram
 def universe_table(
     spark: SparkSession, sf: str, key: str = "brand", rules: UniverseRules = RULES
 ) -> DataFrame:
-    """[as_of, security_id, ..., reason] of all candidates; reason NULL = eligible."""
+    """[as_of, security_id, ..., reason] of all candidates; reason NULL = eligible.
+
+    Six parts of the job read prices: they are derived once and stored.
+    """
+    stored = cut(panel.daily_price(spark, sf, key))
+    prices, caps = on_open_days(spark, stored), panel.market_cap_of(stored)
+    findings = all_findings(spark, sf, QUALITY, key, prices=prices, caps=caps, details=False)
     assessed = universe.assess(
         spark, candidate_grid(spark, sf, key), as_of_dates(spark),
-        status_in_effect(spark, sf, ["status"], key), trading_price(spark, sf, key),
-        all_findings(spark, sf, QUALITY, key, prices=trading_price(spark, sf, key)), rules,
+        status_in_effect(spark, sf, ["status"], key, caps), prices, findings, rules,
     )
     return universe.build(assessed, panel.security(spark, sf, key), panel.security_ticker(spark, sf, key))
 

@@ -186,10 +186,10 @@ def fundamental(spark: SparkSession, sf: str, key: str = "brand") -> DataFrame:
     )
 
 
-@per_session
-def daily_market_cap(spark: SparkSession, sf: str, key: str = "brand") -> DataFrame:
+def market_cap_of(prices: DataFrame) -> DataFrame:
+    """The market-value table that belongs to a price table."""
     zero = F.col("security_id") + F.dayofmonth("price_date") == 53
-    return daily_price(spark, sf, key).select(
+    return prices.select(
         "security_id",
         F.col("price_date").alias("cap_date"),
         F.when(zero, 0)
@@ -199,6 +199,11 @@ def daily_market_cap(spark: SparkSession, sf: str, key: str = "brand") -> DataFr
     )
 
 
+@per_session
+def daily_market_cap(spark: SparkSession, sf: str, key: str = "brand") -> DataFrame:
+    return market_cap_of(daily_price(spark, sf, key))
+
+
 @per_session
 def corporate_action(spark: SparkSession, sf: str) -> DataFrame:
     """SPLIT actions on the split day for some of the split securities (10 and 20 are missing)."""
