@@ -73,24 +73,28 @@ def diff_summary(diff: DataFrame) -> DataFrame:
 def ticker_history(events: DataFrame) -> DataFrame:
     """[security_id, ticker, valid_from, valid_to, refusal] from listing, change and delisting events.
 
-    events: [security_id, kind, ticker, effective] with kind open, change or close. A change starts
-    the new ticker on its day and ends the old one; a close ends the ticker the day after the last
-    trading day. A change to the same ticker, or one not after the current start, is refused, and
-    so is a close before the start; refused events do not take part. A security has few events.
+    events: [security_id, kind, ticker, effective] with kind open, change or close, one per security,
+    day and kind. A change starts the new ticker on its day and ends the old one; a close ends the
+    ticker the day after the last trading day. Refused, and without effect, are a change or close
+    while no ticker is open, a change to the same ticker, and a change on the day the current one
+    starts. A security has few events. Clashes between securities: `asof.overlapping_periods`.
     """
     order = F.when(F.col("kind") == "open", 0).when(F.col("kind") == "change", 1).otherwise(2)
     w = W.partitionBy("security_id").orderBy("effective", "_o")
-    rows = events.withColumn("_o", order)
-    prev_ticker = F.last(F.when(F.col("kind") != "close", F.col("ticker")), True).over(
-        w.rowsBetween(W.unboundedPreceding, -1)
-    )
-    prev_from = F.max(F.when(F.col("kind") != "close", F.col("effective"))).over(
-        w.rowsBetween(W.unboundedPreceding, -1)
+    earlier = w.rowsBetween(W.unboundedPreceding, -1)
+    opened = F.max(F.when(F.col("kind") == "open", 1)).over(W.partitionBy("security_id", "effective"))
+    rows = events.withColumn("_o", order).withColumn(
+        "_too_early", (F.col("kind") == "change") & opened.isNotNull()
     )
+    # A change to the ticker already held changes nothing, so it may stand for the current one.
+    counts = ~F.col("_too_early")
+    prev_ticker = F.last(F.when((F.col("kind") != "close") & counts, F.col("ticker")), True).over(earlier)
+    prev_kind = F.last(F.when(F.col("kind") != "change", F.col("kind")), True).over(earlier)
+    closed = prev_kind.isNull() | (prev_kind == "close")
     refusal = (
-        F.when((F.col("kind") != "open") & prev_from.isNull(), "no current ticker")
+        F.when(F.col("_too_early"), "not after the current start")
+        .when((F.col("kind") != "open") & closed, "no current ticker")
         .when((F.col("kind") == "change") & (F.col("ticker") == prev_ticker), "already trades as this ticker")
-        .when((F.col("kind") == "change") & (F.col("effective") <= prev_from), "not after the current start")
     )
     judged = rows.withColumn("refusal", refusal)
     good = judged.filter("refusal IS NULL")
