@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, simhash
+from tidemark.llm import decontaminate, simhash, substrings
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -32,9 +32,16 @@ def op3_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op7_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document without the passages that a document with a smaller id has too."""
+    rows = substrings.without_repeats(_table(spark, sf, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op7_substring_dedup": op7_substring_dedup,
 }
 
 OP3 = r"""
@@ -67,4 +74,24 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM docs LEFT JOIN hit USING (rid) LEFT JOIN named USING (rid)
 """
 
-SQL: dict[str, str] = {"op3_benchmark_decontamination": OP3}
+OP7 = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT rid, doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS gram
+  FROM (SELECT *, unnest(range(1, len(w) - 48)) AS i FROM docs WHERE len(w) >= 50)
+), first AS (SELECT gram, min(doc_id) AS least FROM windows GROUP BY gram
+), removed AS (
+  SELECT DISTINCT rid, word FROM (
+    SELECT rid, unnest(range(i, i + 50)) AS word FROM windows JOIN first USING (gram) WHERE doc_id > least)
+), words AS (SELECT rid, unnest(w) AS token, unnest(range(1, len(w) + 1)) AS word FROM docs
+), kept AS (
+  SELECT rid, count(*) AS n, string_agg(token, ' ' ORDER BY word) AS text
+  FROM words ANTI JOIN removed USING (rid, word) GROUP BY rid
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(text, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (rid)
+"""
+
+SQL: dict[str, str] = {"op3_benchmark_decontamination": OP3, "op7_substring_dedup": OP7}
