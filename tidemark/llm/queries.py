@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, simhash, substrings
+from tidemark.llm import decontaminate, simhash, substrings, token_counts
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -32,6 +33,11 @@ def op3_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op4_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's bytes and tokens."""
+    return token_counts.token_counts(_table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Every document without the passages that a document with a smaller id has too."""
     rows = substrings.without_repeats(_table(spark, sf, "documents"))
@@ -41,6 +47,7 @@ def op7_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_token_counts": op4_token_counts,
     "op7_substring_dedup": op7_substring_dedup,
 }
 
