@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, simhash, substrings, token_counts
+from tidemark.llm import decontaminate, mixing, simhash, substrings, token_counts
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -44,11 +44,17 @@ def op7_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    """How many words of every document the mix of sources takes."""
+    return mixing.mixture(_table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_token_counts": op4_token_counts,
     "op7_substring_dedup": op7_substring_dedup,
+    "op10_mixing": op10_mixing,
 }
 
 OP3 = r"""
@@ -101,4 +107,38 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 FROM docs LEFT JOIN kept USING (rid)
 """
 
-SQL: dict[str, str] = {"op3_benchmark_decontamination": OP3, "op7_substring_dedup": OP7}
+OP10 = r"""
+WITH docs AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+    [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight
+  FROM docs GROUP BY source
+), sums AS (SELECT 3 * CAST(sum(source_size) AS HUGEINT) AS words3, sum(weight) AS weights FROM sources
+), filled AS (  -- in the order in which sources become full
+  SELECT *, row_number() OVER full_order AS k,
+    coalesce(sum(source_size) OVER (full_order ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS size_before,
+    coalesce(sum(weight) OVER (full_order ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS weight_before
+  FROM sources, sums WINDOW full_order AS (ORDER BY source_size::DOUBLE / weight, source NULLS LAST)
+), last_open AS (
+  SELECT min(k) AS k FROM filled
+  WHERE weight * (words3 - 4 * size_before) <= 4 * CAST(source_size AS HUGEINT) * (weights - weight_before)
+), level AS (
+  SELECT words3 - 4 * size_before AS left2, weights - weight_before AS weight_left, k FROM filled JOIN last_open USING (k)
+), targets AS (
+  SELECT source, source_size,
+    CASE WHEN f.k < l.k THEN CAST(2 * source_size AS DOUBLE) ELSE CAST(weight * left2 AS DOUBLE) / CAST(2 * weight_left AS DOUBLE) END AS target,
+    CAST(CAST('0x' || substr(md5('42' || coalesce('=' || source, '-')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0::DOUBLE AS start
+  FROM filled f, level l
+), placed AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.start,
+    CAST(row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id NULLS FIRST) - 1 AS DOUBLE) AS place,
+    t.target / nullif(CAST(t.source_size AS DOUBLE), 0) AS each
+  FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+  size * CAST(least(2, coalesce(floor((place + 1) * each + start) - floor(place * each + start), 0)) AS BIGINT) AS taken
+FROM placed
+"""
+
+SQL: dict[str, str] = {"op3_benchmark_decontamination": OP3, "op7_substring_dedup": OP7, "op10_mixing": OP10}
