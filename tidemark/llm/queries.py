@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, mixing, simhash, substrings, token_counts
+from tidemark.llm import decontaminate, mixing, simhash, substrings, token_counts, urls
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -38,6 +38,11 @@ def op4_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page's host, path, rule and verdict."""
+    return urls.verdicts(_table(spark, sf, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op7_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Every document without the passages that a document with a smaller id has too."""
     rows = substrings.without_repeats(_table(spark, sf, "documents"))
@@ -53,6 +58,7 @@ QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_token_counts": op4_token_counts,
+    "op6_url_filter": op6_url_filter,
     "op7_substring_dedup": op7_substring_dedup,
     "op10_mixing": op10_mixing,
 }
