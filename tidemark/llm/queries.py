@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, mixing, simhash, substrings, token_counts, urls
+from tidemark.llm import decontaminate, mixing, quality, simhash, substrings, token_counts, urls
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -49,6 +49,11 @@ def op7_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op8_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's quality, learned from the labels outside the held-out fold."""
+    return quality.quality(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
 def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
     """How many words of every document the mix of sources takes."""
     return mixing.mixture(_table(spark, sf, "documents"))
@@ -60,6 +65,7 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op6_url_filter": op6_url_filter,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_quality_classifier": op8_quality_classifier,
     "op10_mixing": op10_mixing,
 }
 
