@@ -3,16 +3,30 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, mixing, quality, simhash, substrings, token_counts, urls
+from tidemark.llm import decontaminate, mixing, pii, quality, simhash, substrings, token_counts, urls
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's personal data, as spans."""
+    docs = _table(spark, sf, "documents")
+    rows = pii.find(docs, pii.fit(docs))
+
+    def listed(spans: str) -> Column:
+        return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))))
+
+    def counted(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    return rows.select("doc_id", *map(counted, pii.BASE_KINDS), F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's SimHash and the least doc_id of its group of near-duplicates."""
     rows = simhash.near_duplicates(_table(spark, sf, "documents"))
@@ -60,6 +74,7 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_token_counts": op4_token_counts,
