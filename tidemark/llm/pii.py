@@ -119,7 +119,7 @@ def votes(kind: int, text: str, start: int, end: int, base: bool) -> tuple[int,
         value = 1 if 13 <= len(digits) <= 19 and luhn(digits) and len(set(digits)) > 2 else -1
     elif name == "phone":
         code = digits.lstrip("0")
-        gazetteer = 1 if span[0] in "+0(" and (code[:1] in _CALLING or code[:2] in _CALLING) else 0
+        gazetteer = 1 if span[0] in "+0(" and (code[:1] in _CALLING or code[:2] in _CALLING) else -1
         value = 1 if 9 <= len(digits) <= 15 and len(set(digits)) > 2 else -1
     else:
         letters = "".join(str(int(c, 36)) for c in (span[4:] + span[:4]).replace(" ", ""))
