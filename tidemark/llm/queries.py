@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, mixing, pii, quality, simhash, substrings, token_counts, urls
+from tidemark.llm import decontaminate, mixing, neighbours, pii, quality, simhash, substrings, token_counts, urls
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -68,6 +68,11 @@ def op8_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The 20 nearest of every query vector."""
+    return neighbours.nearest(_table(spark, sf, "embeddings"))
+
+
 def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
     """How many words of every document the mix of sources takes."""
     return mixing.mixture(_table(spark, sf, "documents"))
@@ -81,6 +86,7 @@ QUERIES = {
     "op6_url_filter": op6_url_filter,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_mixing": op10_mixing,
 }
 
