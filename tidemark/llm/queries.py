@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, mixing, neighbours, pii, quality, simhash, substrings, token_counts, urls
+from tidemark.llm import decontaminate, html, mixing, neighbours, pii, quality, simhash, substrings, token_counts, urls
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -52,6 +52,11 @@ def op4_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page's main text."""
+    return html.extract(_table(spark, sf, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op6_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     """Every page's host, path, rule and verdict."""
     return urls.verdicts(_table(spark, sf, "pages")).select("page_id", "host", "path", "rule", "verdict")
@@ -83,6 +88,7 @@ QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_token_counts": op4_token_counts,
+    "op5_html_extraction": op5_html_extraction,
     "op6_url_filter": op6_url_filter,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_quality_classifier": op8_quality_classifier,
