@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,22 +93,25 @@ def _stretch_rows(docs: DataFrame, window: int, seed: int) -> DataFrame:
     return docs.mapInArrow(run, _STRETCH)
 
 
-def _version(docs: DataFrame) -> DataFrame:
-    """Adds a hash of the text, so that rows that repeat a doc_id with another text stay apart."""
+def _packed(docs: DataFrame) -> DataFrame:
+    """[doc_id, version, packed]: a hash of the text, so that rows that repeat a doc_id with another text stay apart, and
+    the text compressed for the way through a shuffle (about half of what Spark's own compression leaves)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            own = np.fromiter((xxhash.xxh64_intdigest(t) for t in utf8(batch.column(1))), np.uint64, batch.num_rows)
-            yield pa.record_batch([*batch.columns, pa.array(signed(own))], ["doc_id", "text", "version"])
+            texts = utf8(batch.column(1))
+            own = np.fromiter(map(xxhash.xxh64_intdigest, texts), np.uint64, len(texts))
+            yield pa.record_batch([batch.column(0), pa.array(signed(own)), pa.array(map(pack, texts), pa.binary())], ["doc_id", "version", "packed"])
 
-    return docs.mapInArrow(run, "doc_id long, text string, version long")
+    return docs.mapInArrow(run, "doc_id long, version long, packed binary")
 
 
 def _window_rows(docs: DataFrame, window: int) -> DataFrame:
-    """docs [doc_id, version, text, wanted array<anchor, start, windows>] -> one row per window of these stretches."""
+    """docs [doc_id, version, packed, wanted array<anchor, start, windows>] -> one row per window of these stretches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known, unpack = WordHashes(), zstandard.ZstdDecompressor().decompress
         for batch in batches:
             wanted = batch.column(3)
             flat, n = wanted.flatten(), np.asarray(wanted.value_lengths())
@@ -115,9 +119,9 @@ def _window_rows(docs: DataFrame, window: int) -> DataFrame:
             at = np.r_[0, np.cumsum(n)]
             docs_, versions = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             out = []
-            for k, text in enumerate(utf8(batch.column(2))):
+            for k, packed in enumerate(batch.column(2).to_pylist()):
                 anchor, start, count = (f[at[k] : at[k + 1]] for f in fields)
-                rolling = Rolling(known.of(text.split()))
+                rolling = Rolling(known.of(unpack(packed).split()))
                 begins = np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())
                 hashes = signed(rolling.runs(begins, begins + window))
                 size = len(begins)
@@ -157,7 +161,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
     judged = mixed.join(leading, ["anchor", "content"])
     copied = judged.filter("doc_id > least").select(*own)
     extend = judged.filter("doc_id = least").groupBy("doc_id", "version").agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("wanted"))
-    windows = cut(_window_rows(_version(rows).join(extend, ["doc_id", "version"]).select("doc_id", "version", "text", "wanted"), window))
+    windows = cut(_window_rows(_packed(rows).join(extend, ["doc_id", "version"]).select("doc_id", "version", "packed", "wanted"), window))
     first = windows.groupBy("anchor", "hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
     parted = windows.join(first, ["anchor", "hash"]).filter("doc_id > least").select("doc_id", "version", "start", F.lit(1).alias("windows"))
 
@@ -185,15 +189,16 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     One row per input row; null texts have no words.
     """
-    rows = _version(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
+    rows = _packed(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
     spans = repeats(docs, doc_id, text, window, seed)
-    joined = rows.join(spans, ["doc_id", "version"], "left").select("doc_id", "text", "starts", "ends")
+    joined = rows.join(spans, ["doc_id", "version"], "left").select("doc_id", "packed", "starts", "ends")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             out = []
-            for text, starts, ends in zip(utf8(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                words = text.split()
+            for packed, starts, ends in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                words = unpack(packed).split()
                 kept, at = [], 0
                 for start, end in zip(starts or [], ends or [], strict=True):
                     kept += words[at:start]
