@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -255,26 +256,24 @@ def contamination(
     The benchmark is the query set. It is held in the tasks in slices of about `slice_words` words; more
     words mean more passes over the documents, not more memory.
     """
-    items = benchmark.select(
-        F.col(item_id).cast("string").alias("item"),
-        F.coalesce(F.col(item_text), F.lit("")).alias("words"),
-    )
-    total = items.agg(F.sum(F.octet_length("words"))).first()[0] or 0
-    slices = max(1, -(-total // (slice_words * 6)))
+    slices = _slices(benchmark, item_id, item_text, window, slice_words)
     rows = docs.select(F.lit(0).cast("long").alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    if slices == 1:
-        return _search(rows, _tests(items, window), shard_bytes).drop("row")
+    if len(slices) == 1:
+        return _search(rows, slices[0], shard_bytes).drop("row")
     rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
-    found = None
-    for k in range(slices):
-        own = items.filter(F.pmod(F.xxhash64("item", "words"), F.lit(slices)) == k)
-        part = _search(rows, _tests(own, window), shard_bytes)
-        found = part if found is None else found.unionByName(part)
-    return _joined(found)
+    return _joined(reduce(DataFrame.unionByName, (_search(rows, tests, shard_bytes) for tests in slices)))
 
 
-def _tests(items: DataFrame, window: int) -> Tests | None:
-    return Tests.of([(r.item, r.words.encode()) for r in items.orderBy("item", "words").collect()], window)
+def _slices(benchmark: DataFrame, item_id: str, item_text: str, window: int, slice_words: int) -> list[Tests | None]:
+    """The benchmark in slices of about `slice_words` words."""
+    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("words"))
+    total = items.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    slices = max(1, -(-total // (slice_words * 6)))
+    which = F.pmod(F.xxhash64("item", "words"), F.lit(slices))
+    return [
+        Tests.of([(r.item, r.words.encode()) for r in items.filter(which == k).orderBy("item", "words").collect()], window)
+        for k in range(slices)
+    ]
 
 
 def _joined(found: DataFrame) -> DataFrame:
@@ -321,7 +320,32 @@ def n_hit() -> F.Column:
     return F.aggregate(spans, F.lit(0).cast("long"), lambda acc, s: acc + (s.hit_ends - s.hit_starts))
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The documents without any hit. Rows that repeat one doc_id go together; rows without an id stay."""
-    hit = contamination(docs, benchmark, doc_id, **options).filter(F.size("hit_starts") > 0)
-    return docs.join(hit.select(F.col("doc_id").alias(doc_id)).distinct(), doc_id, "left_anti")
+def remove_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    window: int = WINDOW,
+    shard_bytes: int = SHARD_BYTES,
+    slice_words: int = SLICE_WORDS,
+) -> DataFrame:
+    """The rows without any hit, unchanged; cases as in contamination. A filter: nothing is shuffled."""
+    for tests in _slices(benchmark, item_id, item_text, window, slice_words):
+        docs = docs if tests is None else docs.filter(_clean(docs, tests, shard_bytes)(F.col(text)))
+    return docs
+
+
+def _clean(docs: DataFrame, tests: Tests, shard_bytes: int):
+    """A column function: whether a text has no hit."""
+    shared = docs.sparkSession.sparkContext.broadcast(tests)
+
+    @F.pandas_udf("boolean")
+    def clean(texts):
+        import pandas as pd
+
+        whole = [(t or "").encode() for t in texts]
+        parts = pieces(whole, map(len, whole), shard_bytes)
+        return pd.Series([len(row[1]) == 0 for part in parts for row in Shard(part, shared.value).rows()], dtype=bool)
+
+    return clean

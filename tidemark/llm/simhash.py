@@ -333,10 +333,22 @@ def near_duplicates(
     return marked.join(named.join(least, "_group").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The documents whose id is the least of their group; everything else about them is unchanged.
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
+    """One document of each group: the row whose id is the group's least; its columns are unchanged.
 
-    Rows that repeat one doc_id count as one document and stay or go together; rows without an id stay.
+    Rows that repeat an id with texts of one fingerprint are one document, of which one row stays. Rows
+    without an id all stay.
     """
-    groups = near_duplicates(docs, doc_id, **options).filter("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(groups, doc_id, "left_anti")
+    groups = near_duplicates(docs, doc_id, text, distance, shingle_words).filter("doc_id <> component_id")
+    gone = groups.select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")).distinct()
+
+    @F.pandas_udf("long")
+    def marked(texts):
+        import pandas as pd
+
+        fps = np.fromiter((fingerprint((t or "").encode(), shingle_words) for t in texts), np.uint64, len(texts))
+        return pd.Series(signed(fps))
+
+    named = docs.filter(F.col(doc_id).isNotNull()).withColumn("_id", F.col(doc_id).cast("long")).withColumn("_fp", marked(F.col(text)))
+    kept = named.join(gone, ["_id", "_fp"], "left_anti").dropDuplicates(["_id", "_fp"])
+    return kept.select(*docs.columns).unionByName(docs.filter(F.col(doc_id).isNull()))
