@@ -33,19 +33,27 @@ from tidemark.sources.checkpoints import cut
 WINDOW = 50
 SEED_WORDS = 12
 
+#: Words of a text at most, as a power of two.
+_PLACE_BITS = 28
+
 _STRETCH = "anchor long, content long, doc_id long, version long, start int, windows int"
 
 
 def anchors(hashes: np.ndarray, window: int, seed: int) -> np.ndarray:
-    """For each window, the place of its anchor: the seed of least hash inside it, the last one of several."""
+    """For each window, the place of its anchor: the seed of least hash inside it, the last one of several.
+
+    36 bits of the hash are compared, then the place, so one least number tells both. Sliding minima come from
+    running minima from both ends of stretches as long as a window.
+    """
     span = window - seed + 1
-    views = np.lib.stride_tricks.sliding_window_view(hashes[::-1], span)
-    count = len(hashes) - span + 1
-    out = np.empty(count, np.int64)
-    for at in range(0, count, 65_536):  # bounds the memory of argmin for very long texts
-        out[at : at + 65_536] = views[at : at + 65_536].argmin(axis=1)
-    # In the reversed order, window r starts at r; argmin takes the first, which is the last in the text.
-    return (len(hashes) - 1 - (np.arange(count) + out))[::-1]
+    n, low = len(hashes), np.uint64((1 << _PLACE_BITS) - 1)
+    held = np.full(-(-n // span) * span, np.iinfo(np.uint64).max)
+    held[:n] = (hashes & ~low) | (low - np.arange(n, dtype=np.uint64))
+    rows = held.reshape(-1, span)
+    onward = np.minimum.accumulate(rows, axis=1).ravel()
+    back = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
+    least = np.minimum(back[: n - span + 1], onward[span - 1 : n])
+    return (low - (least & low)).astype(np.int64)
 
 
 def stretches(rolling: Rolling, window: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
