@@ -51,7 +51,50 @@ SELECT *, CASE code WHEN 'OK' THEN 'APPROVED' WHEN 'MANUAL_REVIEW_ORDER_SIZE' TH
   LEFT JOIN (SELECT portfolio, sector, sum(mv) AS mv FROM risk_position WHERE instrument = 'stock' GROUP BY 1, 2) s ON s.portfolio = o.p AND s.sector = f.sector
   LEFT JOIN (SELECT portfolio, sum(mv) AS mv FROM risk_position GROUP BY 1) t ON t.portfolio = o.p) z
 """
+# Orders in sequence: one step of the recursion judges the next order of every portfolio. State: what is
+# held by symbol and by sector (maps), in all, spent and traded.
+VIEWS["batch_order"] = """
+SELECT o.*, f.instrument, f.sector, c.code AS alone, row_number() OVER (PARTITION BY o.p ORDER BY o.side <> 'SELL', o.symbol, o.order_id) AS k
+FROM risk_order o JOIN checked c USING (order_id) LEFT JOIN risk_fact f ON f.symbol = o.symbol
+"""
+BATCH = """
+SELECT * FROM (WITH RECURSIVE start AS (
+  SELECT p, CAST(coalesce((SELECT sum(mv) FROM risk_position h WHERE h.portfolio = p), 0) AS DECIMAL(28,4)) AS invested,
+    coalesce((SELECT map_from_entries(list((symbol, CAST(mv AS DECIMAL(28,4))))) FROM risk_position h WHERE h.portfolio = p), MAP {}) AS held,
+    coalesce((SELECT map_from_entries(list((sector, v))) FROM (SELECT sector, CAST(sum(mv) AS DECIMAL(28,4)) AS v FROM risk_position h
+      WHERE h.portfolio = p AND instrument = 'stock' AND sector <> '' GROUP BY 1) s), MAP {}) AS sectors
+  FROM (SELECT DISTINCT p FROM risk_order) d
+), walk AS (
+  SELECT p, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS order_id, CAST(NULL AS VARCHAR) AS symbol, CAST(NULL AS VARCHAR) AS side, CAST(NULL AS VARCHAR) AS code,
+    invested, held, sectors, CAST(0 AS DECIMAL(28,4)) AS spent, CAST(0 AS DECIMAL(28,4)) AS traded_now FROM start
+  UNION ALL
+  SELECT p, k, order_id, symbol, side, code, CAST(invested + change AS DECIMAL(28,4)),
+    map_concat(held, MAP {symbol: CAST(own + change AS DECIMAL(28,4))}),
+    CASE WHEN instrument = 'stock' AND sector <> '' THEN map_concat(sectors, MAP {sector: CAST(peers + change AS DECIMAL(28,4))}) ELSE sectors END,
+    CAST(spent + CASE WHEN NOT filled THEN 0 WHEN side = 'BUY' THEN n ELSE -n END AS DECIMAL(28,4)), CAST(traded_now + CASE WHEN filled THEN n ELSE 0 END AS DECIMAL(28,4))
+  FROM (
+    SELECT *, code IN ('OK', 'MANUAL_REVIEW_ORDER_SIZE') AS filled, CASE WHEN code NOT IN ('OK', 'MANUAL_REVIEW_ORDER_SIZE') THEN 0
+        WHEN side = 'BUY' THEN n WHEN own - n > 0.005 THEN -n ELSE -own END AS change
+    FROM (
+      SELECT *, CASE WHEN early THEN alone
+          WHEN side = 'BUY' AND (own + n) * 100 > CASE instrument WHEN 'fund' THEN 60 ELSE 10 END * nav THEN 'POSITION_LIMIT'
+          WHEN side = 'BUY' AND instrument = 'stock' AND sector <> '' AND (peers + n) * 100 > 30 * nav THEN 'SECTOR_LIMIT'
+          WHEN side = 'BUY' AND (invested + n) * 100 > 100 * nav THEN 'EXPOSURE_LIMIT' WHEN side = 'BUY' AND n > cash - spent THEN 'CASH_INSUFFICIENT'
+          WHEN n > 50000 THEN 'ORDER_TOO_LARGE' WHEN (traded + traded_now + n) * 100 > 60 * nav THEN 'DAILY_TURNOVER_LIMIT'
+          WHEN p % 17 = 0 THEN 'BROKER_DISCONNECTED' WHEN n > 20000 THEN 'MANUAL_REVIEW_ORDER_SIZE' ELSE 'OK' END AS code
+      FROM (
+        SELECT o.p, o.k, o.order_id, o.symbol, o.side, o.n, o.nav, o.cash, o.traded, o.instrument, o.sector, o.alone, w.invested, w.held, w.sectors, w.spent, w.traded_now,
+          o.alone IN ('KILL_SWITCH_ENGAGED', 'BAD_ORDER', 'UNKNOWN_SECURITY', 'FUND_NOT_APPROVED', 'SHARIA_NON_HALAL', 'SHARIA_UNKNOWN', 'STALE_PRICE', 'ILLIQUID',
+            'PORTFOLIO_DRAWDOWN_LIMIT', 'DAILY_LOSS_LIMIT') AS early,
+          coalesce(w.held[o.symbol], 0) AS own, coalesce(w.sectors[o.sector], 0) AS peers
+        FROM walk w JOIN batch_order o ON o.p = w.p AND o.k = w.k + 1) a) b) c
+)
+SELECT p AS portfolio, k AS place, order_id, symbol, side, code AS reason_code,
+  CASE code WHEN 'OK' THEN 'APPROVED' WHEN 'MANUAL_REVIEW_ORDER_SIZE' THEN 'REQUIRES_MANUAL_REVIEW' ELSE 'REJECTED' END AS result
+FROM walk WHERE k > 0) judged
+"""
 SQL = {
+    "order_batch": BATCH,
     "order_latest_state": "SELECT * FROM state_now",
     "illegal_transitions": "SELECT * FROM illegal",
     "transition_counts": "SELECT from_state, state, count(*) AS n FROM illegal GROUP BY 1, 2",

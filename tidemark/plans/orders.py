@@ -209,7 +209,7 @@ def fired_rules(spark: SparkSession, sf: str) -> DataFrame:
 def order_batch(spark: SparkSession, sf: str) -> DataFrame:
     """The same orders in sequence per portfolio."""
     rows = risk.check_batch(risk_rows(spark, sf), risk_positions(spark, sf), LIMITS)
-    return rows.select("portfolio", "place", "symbol", "side", "reason_code", "result")
+    return rows.select("portfolio", "place", "order_id", "symbol", "side", "reason_code", "result")
 
 
 def system_alerts(spark: SparkSession, sf: str) -> DataFrame:
