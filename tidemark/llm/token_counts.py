@@ -26,6 +26,9 @@ from tokenizers import Tokenizer
 from tidemark.llm.texts import utf8
 
 MAX_TOKENS = 2048
+#: Buckets that pre-tokens are dealt to, whatever the partitions: a block has at most a row for each. A
+#: task streams through its buckets, so their size is a matter of parallelism, not of memory.
+BUCKETS = 4096
 #: Bytes of text and number of documents of a block.
 BLOCK_BYTES, BLOCK_DOCS = 32_000_000, 32_000
 #: A pre-token in at least one of so many documents of its block is hot.
@@ -241,7 +244,7 @@ def _finish(summed: DataFrame, max_tokens: int) -> DataFrame:
     return summed.groupBy("block").applyInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
-def token_counts(docs: DataFrame, tokenizer_file: str, doc_id: str = "doc_id", text: str = "text", max_tokens: int = MAX_TOKENS) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer_file: str, doc_id: str = "doc_id", text: str = "text", max_tokens: int = MAX_TOKENS, buckets: int = BUCKETS) -> DataFrame:
     """[doc_id, n_bytes, n_tokens, over_limit]: one row per input row.
 
     n_tokens is the number of tokens that the tokenizer file's library gives for the whole text, without
@@ -252,8 +255,6 @@ def token_counts(docs: DataFrame, tokenizer_file: str, doc_id: str = "doc_id", t
     with open(tokenizer_file, encoding="utf-8") as file:
         model = file.read()
     PreTokens(model)
-    spark = docs.sparkSession
-    buckets = 64 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     dealt = _deal(rows, model, buckets)
     met = dealt.repartition("bucket").sortWithinPartitions("block")
