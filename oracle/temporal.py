@@ -4,7 +4,7 @@ from oracle.views import VIEWS, build
 
 VIEWS["screening_month"] = """
 SELECT month_no, last_td AS screening_date, next_first_td AS effective_from, next_last_td AS effective_to
-FROM mon WHERE month_no BETWEEN 1998 * 12 + 2 AND 2001 * 12 + 12
+FROM mon WHERE month_no >= 1998 * 12 + 2 AND month_no <= (SELECT max(year(price_date) * 12 + month(price_date)) FROM daily_price)
 """
 VIEWS["screening_grid"] = """
 SELECT security_id, screening_date FROM security JOIN screening_month

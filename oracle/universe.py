@@ -68,7 +68,15 @@ FROM (SELECT *, sha256({text}) AS h FROM {source}) fp {group}
 """
 
 
+VIEWS["cover"] = """
+SELECT d.decision_date AS as_of, (SELECT max(r.id) FROM (
+    SELECT year(price_date) * 12 + month(price_date) AS id, max(price_date) AS hi FROM daily_price GROUP BY 1) r
+  WHERE r.id % 4 <> 0 AND date_trunc('month', r.hi - INTERVAL 2 MONTH) <= d.decision_date - 28 AND r.hi >= d.decision_date - 1) AS run_id
+FROM decision d
+"""
 SQL = {
+    "quality_cover": "SELECT as_of, CAST(run_id AS BIGINT) AS run_id FROM cover",
+    "universe_gate": "SELECT as_of, CASE WHEN run_id IS NULL THEN 'no_quality_run' ELSE coalesce(reason, 'eligible') END AS reason, count(*) AS n FROM universe JOIN cover USING (as_of) GROUP BY 1, 2",
     "universe_funnel": "SELECT as_of, coalesce(reason, 'eligible') AS reason, count(*) AS n FROM universe GROUP BY 1, 2",
     "universe_members": "SELECT as_of, security_id, round(CAST(median_usd AS DOUBLE), 2) AS median_usd FROM member",
     "universe_fingerprint": fingerprint(

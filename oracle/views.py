@@ -9,10 +9,13 @@ import re
 
 VIEWS: dict[str, str] = {}
 
+# Dates move by 157 weeks, so that the first lies inside the calendar.
+VIEWS["line"] = "SELECT * REPLACE (l_shipdate + INTERVAL 1099 DAY AS l_shipdate) FROM lineitem"
+VIEWS["ord"] = "SELECT * REPLACE (o_orderdate + INTERVAL 1099 DAY AS o_orderdate) FROM orders"
 VIEWS["px"] = """
 SELECT CAST(substr(p_brand,7) AS INT) AS security_id, CAST(l_shipdate AS DATE) AS price_date,
   l_orderkey, l_linenumber, CAST(l_extendedprice AS DECIMAL(18,2)) AS p, CAST(l_quantity AS BIGINT) AS q
-FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_shipdate >= TIMESTAMP '1998-01-01 00:00:00'
+FROM line JOIN part ON l_partkey = p_partkey
 """
 VIEWS["px_r"] = """
 SELECT *, row_number() OVER (PARTITION BY security_id, price_date ORDER BY l_orderkey, l_linenumber, p, q) AS rn,
@@ -54,7 +57,7 @@ SELECT CAST(o_custkey % 25 + 1 AS INT) AS security_id, o_orderkey AS filing_id,
   CASE WHEN o_orderkey % 13 = 0 THEN -1 ELSE 4 END * CAST(o_totalprice AS DECIMAL(18,2)) AS revenue,
   CAST(o_totalprice AS DECIMAL(18,2)) * 2 AS ebit,
   CAST(o_totalprice AS DECIMAL(18,2)) * (2 - 0.05 * CAST(o_orderkey % 6 AS INT)) AS operating_income
-FROM orders
+FROM ord
 """
 VIEWS["daily_market_cap"] = """
 SELECT security_id, price_date AS cap_date,
@@ -81,9 +84,12 @@ SELECT DISTINCT user_id AS order_id, concat('T', user_id % 25 + 1) AS symbol,
 FROM events
 """
 VIEWS["vendor_report"] = """
-SELECT concat('t', c_custkey) AS symbol,
-  CASE c_mktsegment WHEN 'BUILDING' THEN 'COMPLIANT' WHEN 'MACHINERY' THEN 'NON_COMPLIANT' WHEN 'AUTOMOBILE' THEN 'QUESTIONABLE' ELSE 'UNRATED' END AS status
-FROM customer
+SELECT *, c_custkey AS position FROM (
+  SELECT c_custkey, concat('t', c_custkey) AS symbol,
+    CASE c_mktsegment WHEN 'BUILDING' THEN 'COMPLIANT' WHEN 'MACHINERY' THEN 'NON_COMPLIANT' WHEN 'AUTOMOBILE' THEN 'QUESTIONABLE' ELSE 'UNRATED' END AS status FROM customer) a
+UNION ALL
+SELECT c_custkey, concat(' T', c_custkey), CASE WHEN c_mktsegment = 'BUILDING' THEN 'UNRATED' ELSE 'COMPLIANT' END, CASE WHEN c_custkey % 2 = 0 THEN -c_custkey ELSE c_custkey + 1000000000 END
+FROM customer WHERE c_custkey % 5 = 2
 """
 VIEWS["raw_price"] = """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
@@ -92,8 +98,8 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
   CASE WHEN l_orderkey % 79 = 0 THEN 'N/A' ELSE t END AS open, t AS high,
   CASE WHEN l_orderkey % 73 = 0 THEN 'NaN' ELSE t END AS low, CASE WHEN l_orderkey % 71 = 0 THEN '-1.5' ELSE t END AS close,
   concat(CAST(l_quantity AS INT), '.5') AS volume, t AS closeadj, t AS closeunadj
-FROM (SELECT *, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) AS t FROM lineitem) l
-JOIN part ON l_partkey = p_partkey WHERE l_shipdate >= TIMESTAMP '1998-01-01 00:00:00'
+FROM (SELECT *, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) AS t FROM line) l
+JOIN part ON l_partkey = p_partkey
 """
 
 VIEWS["raw_action"] = """
@@ -103,7 +109,7 @@ SELECT o_orderkey, CASE WHEN o_orderkey % 61 = 0 THEN '2001-02-30' ELSE strftime
   CASE WHEN o_orderkey % 47 = 0 THEN 'x1' WHEN o_orderkey % 43 = 0 THEN '' ELSE CAST(o_orderkey % 9 AS VARCHAR) END AS value,
   CASE WHEN o_orderkey % 3 = 0 THEN 'N/A' ELSE concat('T', o_orderkey % 25 + 1) END AS contraticker,
   CASE WHEN o_orderkey % 3 = 0 THEN 'n/a' ELSE concat('Contra T', o_orderkey % 25 + 1) END AS contraname
-FROM orders
+FROM ord
 """
 VIEWS["raw_company"] = """
 SELECT c_custkey, CASE WHEN c_custkey % 41 = 0 THEN ' ' ELSE CAST(c_custkey AS VARCHAR) END AS permaticker, concat(' c', c_custkey) AS ticker,
@@ -117,7 +123,7 @@ SELECT o_orderkey, CASE WHEN o_orderkey % 59 = 0 THEN '' ELSE concat('T', o_cust
   CASE o_orderpriority WHEN '1-URGENT' THEN 'arq' WHEN '2-HIGH' THEN 'ARY' WHEN '3-MEDIUM' THEN 'ART' ELSE 'MRQ' END AS dimension,
   CASE WHEN o_orderkey % 17 = 0 THEN 'N/A' ELSE strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') END AS calendardate, CAST(o_orderdate AS DATE) AS filed,
   CAST(o_totalprice AS DECIMAL(18,2)) AS total
-FROM orders
+FROM ord
 """
 
 # The calendar, written from a list of holidays (Good Fridays as fixed dates).
@@ -169,7 +175,7 @@ FROM td GROUP BY year(day) * 12 + month(day)
 VIEWS["decision"] = """
 SELECT m.month_no, m.first_td AS decision_date, c.prev_td, t.td_index - 1 AS td_index
 FROM mon m JOIN td t ON t.day = m.first_td JOIN cal c ON c.day = m.first_td
-WHERE m.first_td BETWEEN DATE '1998-02-01' AND DATE '2001-12-31'
+WHERE m.first_td >= DATE '1998-02-01' AND m.first_td <= (SELECT max(price_date) FROM daily_price)
 """
 
 _NAME = re.compile(r"[a-z_]+[a-z0-9_]*")

@@ -62,8 +62,3 @@ def related_set(value: Column) -> Column:
     """The related tickers as a sorted, distinct, upper-case array ("N/A" dropped)."""
     words = F.split(F.trim(F.upper(F.coalesce(value, F.lit("")))), r"\s+")
     return F.array_sort(F.array_distinct(F.filter(words, lambda w: ~w.isin("", "N/A"))))
-
-
-def percent_text(ratio: Column) -> Column:
-    """A ratio as percent text with two places, e.g. 20.00%."""
-    return F.concat(F.round(ratio * 100, 2).cast("decimal(20,2)").cast("string"), F.lit("%"))

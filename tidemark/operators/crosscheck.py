@@ -67,10 +67,11 @@ def our_records(
 def pair_up(ours: DataFrame, reports: DataFrame) -> DataFrame:
     """Full outer join on the symbol: [symbol, our_status, their_status, side, group].
 
-    reports: [symbol, status]; of several reports for one spelling the last stays.
+    reports: [symbol, status, position]; of several reports for one spelling, whatever its form, the one
+    with the last position stays.
     """
-    theirs = reports.select(normalise_symbol(F.col("symbol")).alias("symbol"), "status").groupBy("symbol").agg(
-        F.max("status").alias("their_status")
+    theirs = reports.select(normalise_symbol(F.col("symbol")).alias("symbol"), "status", "position").groupBy("symbol").agg(
+        F.max_by("status", "position").alias("their_status")
     )
     rows = ours.select("symbol", F.col("status").alias("our_status"), "security_id", "reason").join(
         theirs, "symbol", "full"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import calendar
 from tidemark.operators.ordered import lag_in_log
-from tidemark.params import ORDER_TRANSITIONS
+from tidemark.params import ORDER_STEPS
 
 
 def latest_state(events: DataFrame, key: str, state: str = "state", at: str = "created_at") -> DataFrame:
@@ -25,9 +25,7 @@ def switch_engaged(events: DataFrame) -> DataFrame:
 
 def illegal_transitions(events: DataFrame) -> DataFrame:
     """Log rows whose step from the state before is not allowed. A first event is always allowed."""
-    allowed = F.lit(False)
-    for start, ends in ORDER_TRANSITIONS.items():
-        allowed = allowed | ((F.col("from_state") == start) & F.col("state").isin(*ends))
+    allowed = F.concat_ws(">", "from_state", "state").isin(*[f"{a}>{b}" for a, b in ORDER_STEPS])
     rows = lag_in_log(events, "order_id", "id", ["state"], "from_")
     return rows.filter(F.col("from_state").isNotNull() & ~allowed)
 
@@ -111,7 +109,8 @@ def valued_holdings(
         .select("vintage_id")
     )
     last = (
-        prices.join(F.broadcast(newest), "vintage_id", "left_semi")  # one row
+        prices.filter("adjusted_close IS NOT NULL")
+        .join(F.broadcast(newest), "vintage_id", "left_semi")  # one row
         .groupBy("symbol")
         .agg(F.max("price_date").alias("price_date"), F.max_by("adjusted_close", "price_date").alias("_px"))
     )
@@ -154,65 +153,45 @@ def alerts(
     prices: DataFrame,
     max_age: int = 1,
 ) -> DataFrame:
-    """[rank, severity, code, message], most serious first. Each input is reduced to one row.
+    """[rank, severity, code, n, since], most serious first. Each input is reduced to one row.
 
-    mismatches: reconciliation mismatches of the last 7 days; waiting: proposals to be approved.
+    mismatches: audit events [occurred_on] of reconciliation mismatches, of which the last 7 days count; waiting:
+    proposals to be approved. n is how many there are (for STALE_DATA the age of the newest price in trading days), since the first day it
+    goes back to, where there is one.
     """
+    c = F.col
+    recent = c("occurred_on").between(F.date_sub(F.lit(today), 6), F.lit(today))
     facts = (
-        engaged.select(F.col("engaged").alias("stop"))
-        .join(states.agg(
-            F.count(F.when(F.col("state") == "SUBMISSION_UNKNOWN", 1)).alias("doubt"),
-            F.count(F.when(F.col("state") == "FAILED", 1)).alias("failed"),
-        ))
-        .join(mismatches.agg(F.count("*").alias("mismatch")))
+        engaged.select(c("engaged").cast("bigint").alias("stop"))
+        .join(states.agg(F.count_if(c("state") == "SUBMISSION_UNKNOWN").alias("doubt"), F.count_if(c("state") == "FAILED").alias("failed")))
+        .join(mismatches.filter(recent).agg(F.count("*").alias("mismatch"), F.min("occurred_on").alias("mismatch_since")))
         .join(waiting.agg(F.count("*").alias("waiting")))
         .join(prices.agg(F.max("price_date").alias("newest")))
-    )
+    )
     cal = calendar.calendar(spark).select("day", "td_index", "is_trading")
     # Index of the last open day before today; one step back from there per trading day of age.
-    now = cal.filter(F.col("day") == F.lit(today)).select(
-        (F.col("td_index") - F.col("is_trading").cast("int")).alias("_back")
-    )
-    then = cal.select(F.col("day").alias("newest"), F.col("td_index").alias("_at"))
+    now = cal.filter(c("day") == F.lit(today)).select((c("td_index") - c("is_trading").cast("int")).alias("_back"))
+    then = cal.select(c("day").alias("newest"), c("td_index").alias("_at"))
     facts = facts.join(F.broadcast(now)).join(F.broadcast(then), "newest", "left")
-    age = F.when(F.col("newest") >= F.lit(today), 0).otherwise(
-        F.least(F.greatest(F.col("_back") - F.col("_at") + 1, F.lit(0)), F.lit(30))
-    )
-    c = F.col
-    rows = facts.withColumn("old", age)
-
-    def alert(test: Column, severity: str, code: str, *text: object) -> Column:
-        parts = [t.cast("string") if isinstance(t, Column) else F.lit(t) for t in text]
-        return F.when(
+    age = F.when(c("newest") >= F.lit(today), 0).otherwise(F.greatest(c("_back") - c("_at") + 1, F.lit(0)))
+    none = F.lit(None).cast("date")
+    raised = [
+        ("CRITICAL", "KILL_SWITCH", c("stop") > 0, c("stop"), none),
+        ("CRITICAL", "ORDER_IN_DOUBT", c("doubt") > 0, c("doubt"), none),
+        ("CRITICAL", "RECONCILIATION_MISMATCH", c("mismatch") > 0, c("mismatch"), c("mismatch_since")),
+        ("WARNING", "ORDERS_FAILED", c("failed") > 0, c("failed"), none),
+        ("WARNING", "APPROVALS_WAITING", c("waiting") > 0, c("waiting"), none),
+        ("WARNING", "NO_PRICES", c("newest").isNull(), F.lit(0), none),
+        ("WARNING", "STALE_DATA", age > max_age, age, c("newest")),
+    ]
+    rows = [
+        F.when(
             test,
             F.struct(
-                F.lit(0 if severity == "CRITICAL" else 1).alias("rank"),
-                F.lit(severity).alias("severity"), F.lit(code).alias("code"),
-                F.concat(*parts).alias("message"),
+                F.lit(int(severity != "CRITICAL")).alias("rank"), F.lit(severity).alias("severity"), F.lit(code).alias("code"),
+                n.cast("bigint").alias("n"), since.alias("since"),
             ),
-        )
-
-    raised = F.array(
-        alert(c("stop"), "CRITICAL", "KILL_SWITCH", "Trading is STOPPED: the kill switch is on."),
-        alert(
-            c("doubt") > 0, "CRITICAL", "ORDER_IN_DOUBT", c("doubt"),
-            " order(s) were sent but the broker never answered.",
-        ),
-        alert(
-            c("mismatch") > 0, "CRITICAL", "RECONCILIATION_MISMATCH",
-            "Our records and the broker's positions disagreed in the last 7 days.",
-        ),
-        alert(c("failed") > 0, "WARNING", "ORDERS_FAILED", c("failed"), " order(s) ended in FAILED."),
-        alert(
-            c("waiting") > 0, "WARNING", "APPROVALS_WAITING", c("waiting"),
-            " trade(s) are waiting for your approval.",
-        ),
-        alert(c("newest").isNull(), "WARNING", "NO_PRICES", "There is no market data at all."),
-        alert(
-            c("old") > max_age, "WARNING", "STALE_DATA", "Market data ends ", c("newest"), " (",
-            c("old"), " trading days old).",
-        ),
-    )
-    return rows.select(F.explode(F.filter(raised, lambda a: a.isNotNull())).alias("a")).select(
-        "a.*"
-    ).orderBy("rank")
+        )
+        for severity, code, test, n, since in raised
+    ]
+    return facts.select(F.explode(F.array_compact(F.array(*rows))).alias("a")).select("a.*").orderBy("rank")

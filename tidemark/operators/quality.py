@@ -138,7 +138,7 @@ def price_findings(
         (c("close") > c("prev_close") * up) | (c("close") < c("prev_close") * down)
     )
     move = (c("close").cast("double") / c("prev_close").cast("double") - 1) * 100
-    move_text = _text(F.when(move >= 0, "+").otherwise(""), F.round(move, 1).cast("decimal(20,1)"))
+    move_text = F.round(move, 1).cast("decimal(20,1)").cast("string")
     missing = c("td") - c("prev_ti") - 1
     gap = missing > t.max_gap_trading_days
     now, before = c("close_unadjusted"), c("prev_unadjusted")
@@ -158,27 +158,27 @@ def price_findings(
     checks = [
             (
                 "ohlc_inconsistent", ohlc,
-                _text("open ", c("open"), ", high ", c("high"), ", low ", c("low"), ", close ", c("close")),
+                _text("open=", c("open"), " high=", c("high"), " low=", c("low"), " close=", c("close")),
             ),
             (
                 "bad_price_date", future | closed,
-                F.when(future, "dated in the future").otherwise("dated on a day the NYSE was closed"),
+                F.when(future, "future").otherwise("closed"),
             ),
             (
                 "abnormal_jump", jump,
-                _text("close ", c("prev_close"), " -> ", c("close"), " (", move_text, "%) since ", c("prev_date")),
+                _text("from=", c("prev_close"), " to=", c("close"), " percent=", move_text, " since=", c("prev_date")),
             ),
             (
-                "price_gap", gap, _text(missing, " trading days with no price since ", c("prev_date"))),
+                "price_gap", gap, _text("days=", missing, " since=", c("prev_date"))),
             (
                 "possible_missing_split", split,
-                _text("price paid ", before, " -> ", now, " with no split action near"),
+                _text("from=", before, " to=", now),
             ),
             (
                 "price_outside_ticker_history",
                 c("_known").isNotNull() & (~has_ticker | F.coalesce(after_end, F.lit(False))),
-                F.when(has_ticker, _text("after the security's last trading day ", c("end_date"))).otherwise(
-                    "no ticker was assigned to the security on this date"
+                F.when(has_ticker, _text("ended=", c("end_date"))).otherwise(
+                    "no_ticker"
                 ),
             ),
     ]
@@ -196,11 +196,11 @@ def filing_findings(filings: DataFrame, first: date, last: date) -> DataFrame:
         [
             _finding(
                 "filing_before_period_end", c("filing_date") < period_end,
-                _text(c("dimension"), " filed ", c("filing_date"), ", before its period ended ", period_end),
+                _text("kind=", c("dimension"), " period_end=", period_end),
             ),
             _finding(
                 "negative_balance_sheet_value", negative,
-                _text(c("dimension"), " filing has a negative debt, cash or investments value"),
+                _text("kind=", c("dimension")),
             ),
         ],
     )
@@ -213,7 +213,7 @@ def value_findings(caps: DataFrame, first: date, last: date) -> DataFrame:
         "security_id",
         F.lit("non_positive_market_value").alias("check_name"),
         c("cap_date").alias("data_date"),
-        _text("market value ", c("market_cap_usd")).alias("detail"),
+        _text("value=", c("market_cap_usd")).alias("detail"),
     )
 
 
@@ -236,13 +236,12 @@ def stale_prices(
         F.col("active_flag") & (F.col("start_date").isNull() | (F.col("start_date") <= F.lit(as_of)))
     ).select("security_id")
     rows = live.join(latest, "security_id", "left").join(F.broadcast(cutoff))  # one row
-    limit = f" is older than {t.max_price_age_trading_days} trading days before {as_of}"
     return rows.filter(F.col("last_price").isNull() | (F.col("last_price") < F.col("cutoff"))).select(
         "security_id",
         F.lit("stale_price").alias("check_name"),
         F.lit(as_of).alias("data_date"),
-        F.when(F.col("last_price").isNull(), "no price at all")
-        .otherwise(_text("latest price ", F.col("last_price"), limit))
+        F.when(F.col("last_price").isNull(), "no_price")
+        .otherwise(_text("latest=", F.col("last_price")))
         .alias("detail"),
     )
 

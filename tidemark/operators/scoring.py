@@ -251,14 +251,16 @@ def select_holdings(
 ) -> DataFrame:
     """[strategy, decision_date, security_id, score, rank, scored, held, weight].
 
-    The best top_n tradable names; none on a date whose trend filter is off.
+    The best top_n tradable names, all of them if top_n is null; none on a date whose trend filter is
+    off or cannot tell (`require_signal` refuses the latter).
     """
-    picks = ranked.join(F.broadcast(strategies), "kind").filter(F.col("tradable_rank") <= F.col("top_n"))
+    inside = F.col("tradable") & (F.col("top_n").isNull() | (F.col("tradable_rank") <= F.col("top_n")))
+    picks = ranked.join(F.broadcast(strategies), "kind").filter(inside)
     if signal is not None:
         # Strategies x dates at most; the signal has one row per date and length.
-        off = signal.filter(~F.col("risk_on")).select("decision_date", "trend_days")
+        off = signal.filter(~F.coalesce("risk_on", F.lit(False))).select("decision_date", "trend_days")
         picks = picks.join(F.broadcast(off), ["decision_date", "trend_days"], "left_anti")
-    held = F.least(F.col("tradable_count"), F.col("top_n").cast("bigint"))
+    held = F.least(F.col("tradable_count"), F.col("top_n").cast("bigint"))  # a null limit does not count
     return picks.withColumn("held", held).select(
         "strategy", "decision_date", "security_id", "score", "rank", "scored", "held",
         (F.lit(1.0) / F.col("held")).alias("weight"),

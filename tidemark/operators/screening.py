@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import ratio
-from tidemark.functions.text import percent_text, sic_number
+from tidemark.functions.text import sic_number
 from tidemark.operators import asof
 from tidemark.params import PROVIDER, Methodology
 
@@ -124,82 +124,54 @@ def screen(inputs: DataFrame, method: Methodology) -> DataFrame:
             "_revenue": revenue,
             "_problems": _present(
                 [
-                    _problem(mv.isNull(), "Missing input: market value on the screening date"),
-                    _problem(mv <= 0, "Invalid input: market value ", mv, " is not positive"),
-                    *_age(sheet, "balance-sheet", sheet_ok, day, method),
-                    *_age(income, "income", income_ok, day, method),
-                    _problem(sheet_ok & sheet["debt"].isNull(), "Missing input: debt"),
-                    _problem(sheet_ok & (sheet["debt"] < 0), "Invalid input: negative debt"),
-                    _missing(sheet_ok, {"cashneq": cash, "investments": invested}),
+                    _problem(mv.isNull(), "market_value:missing"),
+                    _problem(mv <= 0, "market_value:not_positive ", mv),
+                    *_age(sheet, "sheet", sheet_ok),
+                    *_age(income, "income", income_ok),
+                    _problem(sheet_ok & sheet["debt"].isNull(), "debt:missing"),
+                    _problem(sheet_ok & (sheet["debt"] < 0), "debt:negative"),
+                    _missing(sheet_ok, "sheet", {"cash": cash, "investments": invested}),
                     _problem(
                         sheet_ok & ~cash_missing & cash_negative,
-                        "Invalid input: negative cash or investments",
+                        "cash:negative",
                     ),
-                    _missing(income_ok, {"revenue": revenue, "ebit": ebit, "opinc": core}),
+                    _missing(income_ok, "income", {"revenue": revenue, "ebit": ebit, "core": core}),
                     _problem(
                         income_ok & ~income_missing & (revenue <= 0),
-                        "Invalid input: revenue is not positive, so the income test cannot run",
+                        "revenue:not_positive",
                     ),
                 ]
             ),
         }
     )
     tests = (
-        ("debt", "_debt", "_mv", method.max_debt, "of market value"),
-        ("cash and investments", "_cash", "_mv", method.max_cash, "of market value"),
-        ("prohibited income", "_noncore", "_revenue", method.max_income, "of revenue"),
+        ("debt", "_debt", "_mv", method.max_debt),
+        ("cash", "_cash", "_mv", method.max_cash),
+        ("income", "_noncore", "_revenue", method.max_income),
     )
     names = ("debt_ratio", "cash_ratio", "income_ratio")
     rows = rows.withColumns(
-        {name: ratio(c(part), c(whole)) for name, (_, part, whole, _, _) in zip(names, tests, strict=True)}
+        {name: ratio(c(part), c(whole)) for name, (_, part, whole, _) in zip(names, tests, strict=True)}
     )
-    failed = _present(
-        [F.when(c(part) > F.lit(limit) * c(whole), F.lit(label)) for label, part, whole, limit, _ in tests]
-    )
-    parts = _present(
-        [
-            F.when(
-                c(name).isNotNull(),
-                F.concat(
-                    F.lit(f"{label} "), percent_text(c(name)), F.lit(f" {basis} (limit {limit * 100:.2f}%)")
-                ),
-            )
-            for name, (label, _, _, limit, basis) in zip(names, tests, strict=True)
-        ]
-    )
-    rows = rows.withColumns({"_failed": failed, "_parts": F.array_join(parts, "; ")})
-    problems = F.array_join("_problems", "; ")
+    over = _present([F.when(c(part) > F.lit(limit) * c(whole), F.lit(code)) for code, part, whole, limit in tests])
+    rows = rows.withColumn("_failed", over)
     has_failed, has_problem = F.size("_failed") > 0, F.size("_problems") > 0
     manual, business = c("manual_status").isNotNull(), c("_category").isNotNull()
-    quoted = F.when(c("industry").isNull(), "None").otherwise(
-        F.concat(F.lit("'"), c("industry"), F.lit("'"))
-    )
-    sic_text = F.coalesce(sic_number(c("sic_code")).cast("string"), F.lit("None"))
     status = (
         F.when(manual, c("manual_status"))
         .when(business | has_failed, "NON_HALAL")
         .when(has_problem, "UNKNOWN")
         .otherwise("HALAL")
     )
-    reason = (
-        F.when(manual, F.concat(F.lit("Manual list: "), "manual_reason"))
-        .when(
-            business,
-            F.concat(
-                F.lit("Prohibited main business: "), "_category", F.lit(" (industry "), quoted,
-                F.lit(", SIC "), sic_text, F.lit(")"),
-            ),
-        )
-        .when(
-            has_failed,
-            F.concat(
-                F.lit("Failed: "), F.array_join("_failed", ", "), F.lit(". "), "_parts",
-                F.when(has_problem, F.concat(F.lit("; also: "), problems)).otherwise(""),
-            ),
-        )
-        .when(has_problem, problems)
-        .otherwise(c("_parts"))
-    )
+    # A code and what decided; the figures are columns of their own.
+    reason = F.concat_ws(
+        " ",
+        F.when(manual, F.concat_ws(" ", F.lit("manual_list"), "manual_reason"))
+        .when(business, F.concat_ws(" ", F.lit("business"), "_category"))
+        .when(has_failed, F.concat_ws(" ", F.lit("over_limit"), F.array_join("_failed", ",")))
+        .when(has_problem, F.array_join("_problems", "; "))
+        .otherwise("within_limits"),
+    )
     tested = ~manual & ~business
     return rows.select(
         *[x for x in inputs.columns if x not in ("arq", "ary", "art")],
@@ -213,24 +185,17 @@ def screen(inputs: DataFrame, method: Methodology) -> DataFrame:
     )
 
 
-def _age(filing: Column, name: str, ok: Column, day: Column, method: Methodology) -> list[Column]:
-    end = filing["period_end"]
-    months = method.max_report_age_months
+def _age(filing: Column, name: str, ok: Column) -> list[Column]:
     return [
-        _problem(filing.isNull(), f"Missing input: no {name} report filed before ", day),
-        _problem(
-            filing.isNotNull() & ~ok,
-            f"Out of date: {name} report period ended ", end, f", more than {months} months before ", day,
-        ),
-    ]
+        _problem(filing.isNull(), f"{name}:none"),
+        _problem(filing.isNotNull() & ~ok, f"{name}:too_old ", filing["period_end"]),
+    ]
 
 
-def _missing(usable: Column, values: dict[str, Column]) -> Column:
-    """One problem text naming every missing value, in order."""
-    names = _present([F.when(value.isNull(), F.lit(name)) for name, value in values.items()])
-    return F.when(
-        usable & (F.size(names) > 0), F.concat(F.lit("Missing input: "), F.array_join(names, ", "))
-    )
+def _missing(usable: Column, name: str, values: dict[str, Column]) -> Column:
+    """One problem naming every missing value, in order."""
+    names = _present([F.when(value.isNull(), F.lit(code)) for code, value in values.items()])
+    return F.when(usable & (F.size(names) > 0), F.concat(F.lit(f"{name}_values:missing "), F.array_join(names, ",")))
 
 
 def source_reference(sheet: Column, income: Column) -> Column:

@@ -15,13 +15,16 @@ DESCRIPTIVE = (
 def master_diff(download: DataFrame, stored: DataFrame, open_tickers: DataFrame) -> DataFrame:
     """[source_id, action, newly_delisted, changed, notes] of one full outer join on source_id.
 
-    download: accepted company rows; stored: the master; open_tickers: [security_id, open_ticker].
-    Facts that disagree but are not ours to change become notes.
+    download: all parsed company rows, with the refused ones (skip_reason) among them; stored: the master;
+    open_tickers: [security_id, open_ticker]. An id counts as seen once it has a row, refused or not: a stored security whose row was
+    refused is `refused`, not `missing`. Facts that disagree but are not ours to change become notes: a code and the figures.
     """
     s = stored.join(open_tickers, "security_id", "left")
     s = s.select(F.col("source_id"), F.struct(*s.columns).alias("old"))
-    d = download.select(F.col("source_id"), F.struct(*download.columns).alias("new"))
-    rows = d.join(s, "source_id", "full")
+    seen = download.filter(F.col("source_id").isNotNull())
+    d = seen.filter("skip_reason IS NULL").select(F.col("source_id"), F.struct(*download.columns).alias("new"))
+    refused = seen.filter("skip_reason IS NOT NULL").groupBy("source_id").agg(F.min("skip_reason").alias("_refused"))
+    rows = d.join(s, "source_id", "full").join(refused, "source_id", "left")
     new, old = F.col("new"), F.col("old")
     have = [c for c in DESCRIPTIVE if c in stored.columns and c in download.columns]
     changed = F.filter(
@@ -29,24 +32,23 @@ def master_diff(download: DataFrame, stored: DataFrame, open_tickers: DataFrame)
     )
     delisting = new["last_price_date"].isNotNull() & ~old["delisted_flag"]
     action = (
-        F.when(new.isNull(), "missing")
+        F.when(new.isNull() & F.col("_refused").isNotNull(), "refused")
+        .when(new.isNull(), "missing")
         .when(old.isNull(), "created")
         .when(F.size("changed") > 0, "updated")
         .when(F.col("newly_delisted"), "newly_delisted")
         .otherwise("unchanged")
     )
     known = new.isNotNull() & old.isNotNull()
-    who = F.concat(F.col("source_id"), F.lit(" ("), new["ticker"], F.lit(")"))
 
-    def note(test: Column, *text: object) -> Column:
-        parts = [t.cast("string") if isinstance(t, Column) else F.lit(t) for t in text]
-        return F.when(test, F.concat(*parts))
+    def note(test: Column, code: str, *figures: Column) -> Column:
+        return F.when(test, F.concat_ws(" ", F.lit(code), *[f.cast("string") for f in figures]))
 
     notes = F.array(
-        note(known & (old["open_ticker"] != new["ticker"]), who, ": ticker is now ", new["ticker"], ", stored as ", old["open_ticker"]),
-        note(known & ~old["start_date"].eqNullSafe(new["first_price_date"]), who, ": first price date is now ", new["first_price_date"], ", stored as ", old["start_date"]),
-        note(known & old["delisted_flag"] & new["last_price_date"].isNull(), who, ": stored as delisted but listed as active again"),
-        note(new.isNull(), F.col("source_id"), ": stored, but not in this download"),
+        note(known & (old["open_ticker"] != new["ticker"]), "ticker_differs", old["open_ticker"], new["ticker"]),
+        note(known & ~old["start_date"].eqNullSafe(new["first_price_date"]), "start_differs", old["start_date"], new["first_price_date"]),
+        note(known & old["delisted_flag"] & new["last_price_date"].isNull(), "active_again"),
+        note(new.isNull(), "no_row", F.col("_refused")),
     )
     return (
         rows.withColumn("changed", F.when(known, changed).otherwise(F.array().cast("array<string>")))
@@ -58,13 +60,13 @@ def master_diff(download: DataFrame, stored: DataFrame, open_tickers: DataFrame)
 
 
 def diff_summary(diff: DataFrame) -> DataFrame:
-    """[what, n]: created, updated, unchanged, newly delisted, missing, notes to review."""
+    """[what, n]: created, updated, unchanged, newly delisted, missing, refused, notes to review."""
     n = lambda test: F.count(F.when(test, 1))
     a = F.col("action")
     totals = diff.agg(
         n(a == "created").alias("created"), n(a == "updated").alias("updated"),
         n(a == "unchanged").alias("unchanged"), n(F.col("newly_delisted")).alias("newly_delisted"),
-        n(a == "missing").alias("missing"), F.coalesce(F.sum(F.size("notes")), F.lit(0)).alias("notes"),
+        n(a == "missing").alias("missing"), n(a == "refused").alias("refused"), F.coalesce(F.sum(F.size("notes")), F.lit(0)).alias("notes"),
     )
     pairs = [F.struct(F.lit(c).alias("what"), F.col(c).cast("bigint").alias("n")) for c in totals.columns]
     return totals.select(F.explode(F.array(*pairs)).alias("t")).select("t.*")

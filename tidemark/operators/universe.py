@@ -69,6 +69,24 @@ def flagged(spark: SparkSession, findings: DataFrame, dates: DataFrame, length:
     )
 
 
+def covering_runs(dates: DataFrame, runs: DataFrame) -> DataFrame:
+    """[as_of, run_id]: for every date the newest quality run whose range covers its [first, last], or null.
+
+    dates: [as_of, first, last], a calendar's worth; runs: [id, first_date, last_date], which may be many: the dates go to
+    them, and one partially aggregated maximum comes back.
+    """
+    held = (F.col("first_date") <= F.col("first")) & (F.col("last_date") >= F.col("last"))
+    newest = runs.join(F.broadcast(dates), held).groupBy("as_of").agg(F.max("id").alias("run_id"))
+    return dates.select("as_of").join(newest, "as_of", "left")
+
+
+def gated(universe: DataFrame, cover: DataFrame) -> DataFrame:
+    """A universe in which dates without a covering quality run are refused: every candidate with that reason."""
+    rows = universe.join(F.broadcast(cover), "as_of", "left")
+    reason = F.when(F.col("run_id").isNull(), "no_quality_run").otherwise(F.col("reason"))
+    return rows.withColumn("reason", reason)
+
+
 def covering_run(runs: DataFrame, first: object, last: object) -> int:
     """The newest quality run whose range covers [first, last]; none is an error."""
     covered = runs.filter((F.col("first_date") <= F.lit(first)) & (F.col("last_date") >= F.lit(last)))

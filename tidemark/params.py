@@ -94,14 +94,11 @@ class Strategy:
     ranking: str = "momentum"  # momentum, low_volatility or market_cap
     lookback: int = 126
     skip: int = 0
-    top_n: int = 100
+    top_n: int | None = 100  # None: every scored member is held
     trend_days: int | None = None
     trend_symbol: str = "SPY"
 
 
-HOLD_ALL = 100_000  # larger than any universe: every scored member is held
-
-
 def strategy_sweep() -> tuple[Strategy, ...]:
     """The 31 strategies of the study, built from its grid."""
     grid = [Strategy("momentum-v1", lookback=126, skip=21, top_n=20)]
@@ -117,9 +114,9 @@ def strategy_sweep() -> tuple[Strategy, ...]:
                             top_n=top_n,
                         )
                     )
-    equal = Strategy("equal_weight_universe_v1", lookback=126, skip=21, top_n=HOLD_ALL)
+    equal = Strategy("equal_weight_universe_v1", lookback=126, skip=21, top_n=None)
     trends = [
-        Strategy(f"a2_ew_trend{days}", lookback=126, skip=21, top_n=HOLD_ALL, trend_days=days)
+        Strategy(f"a2_ew_trend{days}", lookback=126, skip=21, top_n=None, trend_days=days)
         for days in (150, 200)
     ]
     overlays = [
@@ -178,15 +175,16 @@ class RiskLimits:
     approved_funds: tuple[str, ...] = ("SPUS", "HLAL")
 
 
-# Allowed steps of the order state machine.
-_AFTER_SEND = ("ACKNOWLEDGED", "PARTIALLY_FILLED", "FILLED", "REJECTED_BY_BROKER", "CANCELLED")
-ORDER_TRANSITIONS: dict[str, tuple[str, ...]] = {
-    "APPROVED": ("SUBMITTED", "FAILED", "CANCELLED"),
-    "SUBMITTED": (*_AFTER_SEND, "SUBMISSION_UNKNOWN", "FAILED"),
-    "SUBMISSION_UNKNOWN": (*_AFTER_SEND, "FAILED"),
-    "ACKNOWLEDGED": ("PARTIALLY_FILLED", "FILLED", "CANCELLED", "REJECTED_BY_BROKER"),
-    "PARTIALLY_FILLED": ("PARTIALLY_FILLED", "FILLED", "CANCELLED"),
-}
+# Allowed steps of the order state machine, from and to.
+ORDER_STEPS = (
+    ("APPROVED", "CANCELLED"), ("APPROVED", "FAILED"), ("APPROVED", "SUBMITTED"),
+    ("SUBMITTED", "ACKNOWLEDGED"), ("SUBMITTED", "CANCELLED"), ("SUBMITTED", "FAILED"), ("SUBMITTED", "FILLED"),
+    ("SUBMITTED", "PARTIALLY_FILLED"), ("SUBMITTED", "REJECTED_BY_BROKER"), ("SUBMITTED", "SUBMISSION_UNKNOWN"),
+    ("SUBMISSION_UNKNOWN", "ACKNOWLEDGED"), ("SUBMISSION_UNKNOWN", "CANCELLED"), ("SUBMISSION_UNKNOWN", "FAILED"),
+    ("SUBMISSION_UNKNOWN", "FILLED"), ("SUBMISSION_UNKNOWN", "PARTIALLY_FILLED"), ("SUBMISSION_UNKNOWN", "REJECTED_BY_BROKER"),
+    ("ACKNOWLEDGED", "CANCELLED"), ("ACKNOWLEDGED", "FILLED"), ("ACKNOWLEDGED", "PARTIALLY_FILLED"), ("ACKNOWLEDGED", "REJECTED_BY_BROKER"),
+    ("PARTIALLY_FILLED", "CANCELLED"), ("PARTIALLY_FILLED", "FILLED"), ("PARTIALLY_FILLED", "PARTIALLY_FILLED"),
+)
 
 # Vendor action code -> stored action type; only the last two keep a value.
 ACTION_TYPES = {

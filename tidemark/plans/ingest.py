@@ -10,7 +10,8 @@ from tidemark.functions.hashing import fingerprint, row_text
 from tidemark.functions.numeric import out
 from tidemark.functions.text import blank_to_null, company_key, normalise_symbol, related_set, strict_date, strict_decimal
 from tidemark.operators import ingest
-from tidemark.sources import panel
+from tidemark.sources import panel, sinks
+from tidemark.sources.checkpoints import scratch
 
 POSITION = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 PRICE_KEY = ("security_id", "price_date")
@@ -148,6 +149,17 @@ def data_version(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprint(raw, row_text(*[F.col(c) for c in ("ticker", "date", "open", "high", "low", "close", "volume")]))
 
 
+def version_registry(spark: SparkSession, sf: str) -> DataFrame:
+    """Downloads registered one after the other, one of them twice: the first record of equal data stays."""
+    path = f"{scratch(spark)}/versions"
+    raw = panel.raw_price(spark, sf)
+    text = row_text(*[F.col(c) for c in ("ticker", "date", "open", "high", "low", "close", "volume")])
+    for source, rows in (("first", raw), ("again", raw.repartition(3)), ("part", raw.filter("l_orderkey % 2 = 0"))):
+        sinks.register_version(rows, text, "prices", source, path)
+    stored = spark.read.schema("dataset string, sha256 string, version string, source string, row_count bigint, downloaded_at timestamp").parquet(path)
+    return stored.select("dataset", "sha256", "version", "source", "row_count")
+
+
 QUERIES = {
     "price_parse": price_parse,
     "clean_values": clean_values,
@@ -165,4 +177,5 @@ QUERIES = {
     "company_parse": company_parse,
     "membership_parse": membership_parse,
     "data_version": data_version,
+    "version_registry": version_registry,
 }

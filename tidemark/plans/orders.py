@@ -107,7 +107,9 @@ def valued_holdings(spark: SparkSession, sf: str) -> DataFrame:
     px = panel.daily_price(spark, sf)
     symbol = F.concat(F.lit("T"), F.col("security_id").cast("string")).alias("symbol")
     both = F.explode(F.array(F.lit("v1"), F.lit("v2"))).alias("vintage_id")
-    prices = px.filter("security_id <> 9").select(both, symbol, "price_date", "adjusted_close")
+    prices = px.select(both, symbol, "price_date",
+        F.when(F.col("security_id") != 9, F.col("adjusted_close")).alias("adjusted_close"),
+    )
     vintages = spark.createDataFrame(
         [("v1", "complete", "2002-01-01"), ("v2", "building", None)],
         "vintage_id string, status string, finished_at string",
@@ -215,14 +217,15 @@ def order_batch(spark: SparkSession, sf: str) -> DataFrame:
 def system_alerts(spark: SparkSession, sf: str) -> DataFrame:
     states = orders.latest_state(panel.order_state_event(spark, sf), "order_id")
     checked = risk.check_orders(risk_rows(spark, sf), LIMITS)
-    mismatch = orders.position_mismatches(
-        orders.positions(panel.order_fill(spark, sf)), _reported(spark, sf)
-    )
+    today = date(2004, 11, 23)
+    # The broker missed every 50th execution; each was noted on one of the last 15 days.
+    missed = panel.order_fill(spark, sf).filter("exec_id % 50 = 0")
+    mismatch = missed.select(F.date_sub(F.lit(today), (F.col("exec_id") % 15).cast("int")).alias("occurred_on"))
     rows = orders.alerts(
-        spark, date(2001, 11, 20), switch_state(spark, sf), states, mismatch,
+        spark, today, switch_state(spark, sf), states, mismatch,
         checked.filter("result = 'REQUIRES_MANUAL_REVIEW'"), panel.daily_price(spark, sf),
     )
-    return rows.select("severity", "code", "message")
+    return rows.select("severity", "code", "n", "since")
 
 
 QUERIES = {

@@ -13,8 +13,8 @@ from tidemark.params import QualityThresholds
 from tidemark.sources import panel
 from tidemark.sources.checkpoints import cut
 
-FIRST, LAST, AS_OF = date(1998, 1, 1), date(2001, 12, 31), date(2001, 10, 31)
-TODAY = date(2001, 10, 1)  # prices after this day count as dated in the future
+FIRST, AS_OF = date(1998, 1, 1), date(2004, 11, 3)
+TODAY = date(2004, 10, 4)  # prices after this day count as dated in the future
 LIMITS = QualityThresholds()
 
 
@@ -30,13 +30,13 @@ def all_findings(
     """Findings of every check. Prices are read three times, so they are derived once and stored."""
     prices = prices if prices is not None else cut(panel.daily_price(spark, sf, key))
     caps = caps if caps is not None else panel.market_cap_of(prices)
-    securities = panel.security(spark, sf, key)
+    securities, last = panel.security(spark, sf, key), panel.last_day(spark, sf)
     price = quality.price_findings(
         spark, prices, panel.corporate_action(spark, sf), panel.security_ticker(spark, sf, key),
-        securities, FIRST, LAST, t, TODAY, details,
+        securities, FIRST, last, t, TODAY, details,
     )
-    filing = quality.filing_findings(panel.fundamental(spark, sf, key), FIRST, LAST)
-    value = quality.value_findings(caps, FIRST, LAST)
+    filing = quality.filing_findings(panel.fundamental(spark, sf, key), FIRST, last)
+    value = quality.value_findings(caps, FIRST, last)
     stale = quality.stale_prices(spark, securities, prices, AS_OF, t)
     return price.unionByName(filing).unionByName(value).unionByName(stale)
 
@@ -55,7 +55,7 @@ def quality_examples(spark: SparkSession, sf: str) -> DataFrame:
 
 def previous_prices(spark: SparkSession, sf: str) -> DataFrame:
     """Each price with the row before it, seen from its yearly chunk."""
-    rows = quality.with_previous(panel.daily_price(spark, sf), date(1999, 3, 1), LAST, LIMITS)
+    rows = quality.with_previous(panel.daily_price(spark, sf), date(1999, 3, 1), panel.last_day(spark, sf), LIMITS)
     return rows.select(
         "security_id", "price_date", "prev_date", out(F.col("prev_close")).alias("prev_close"),
         out(F.col("prev_unadjusted")).alias("prev_unadjusted"),
@@ -65,7 +65,7 @@ def previous_prices(spark: SparkSession, sf: str) -> DataFrame:
 def stale_prices(spark: SparkSession, sf: str) -> DataFrame:
     """The staleness check on a day after many securities went quiet."""
     return quality.stale_prices(
-        spark, panel.security(spark, sf), panel.daily_price(spark, sf), date(2001, 11, 12), LIMITS
+        spark, panel.security(spark, sf), panel.daily_price(spark, sf), date(2004, 11, 15), LIMITS
     )
 
 

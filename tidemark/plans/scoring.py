@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.memo import per_session
 from tidemark.functions.numeric import out
 from tidemark.operators import calendar, scoring
-from tidemark.params import HOLD_ALL, Strategy, strategy_sweep
-from tidemark.plans.temporal import LAST
+from tidemark.params import Strategy, strategy_sweep
 from tidemark.plans.universe import candidate_grid, trading_price
 from tidemark.sources import panel
 from tidemark.sources.checkpoints import cut
@@ -21,8 +20,8 @@ SWEEP_FIRST = date(1999, 7, 1)
 
 
 @per_session
-def sweep_dates(spark: SparkSession) -> DataFrame:
-    return calendar.decision_dates(spark, SWEEP_FIRST, LAST)
+def sweep_dates(spark: SparkSession, sf: str) -> DataFrame:
+    return calendar.decision_dates(spark, SWEEP_FIRST, panel.last_day(spark, sf))
 
 
 @per_session
@@ -37,7 +36,7 @@ def scores(
     if len({s.ranking for s in strategies}) > 1:
         prices = cut(prices)  # each ranking reads them
     return scoring.all_scores(
-        spark, prices, panel.market_cap_of(prices), sweep_dates(spark), strategies
+        spark, prices, panel.market_cap_of(prices), sweep_dates(spark, sf), strategies
     )
 
 
@@ -81,7 +80,7 @@ def market_series(spark: SparkSession, sf: str) -> DataFrame:
 
 def trend_filter(spark: SparkSession, sf: str) -> DataFrame:
     """The trend signal of every decision date, also the early ones that are too short."""
-    dates = calendar.decision_dates(spark, date(1998, 2, 1), LAST)
+    dates = calendar.decision_dates(spark, date(1998, 2, 1), panel.last_day(spark, sf))
     return scoring.trend_signal(market_series(spark, sf), dates, [150, 200], "SPY")
 
 
@@ -89,19 +88,24 @@ def trend_filter(spark: SparkSession, sf: str) -> DataFrame:
 SWEEP = tuple(
     Strategy(
         s.version, s.ranking, s.lookback, s.skip,
-        s.top_n if s.top_n == HOLD_ALL else s.top_n // 10, s.trend_days, s.trend_symbol,
+        None if s.top_n is None else s.top_n // 10, s.trend_days, s.trend_symbol,
     )
     for s in strategy_sweep()
 )
 
 
+@per_session
+def trend_of_sweep(spark: SparkSession, sf: str, lengths: tuple[int, ...]) -> DataFrame:
+    """The trend signal of every date of the sweep; refused if one of them has none."""
+    signal = scoring.trend_signal(market_series(spark, sf), sweep_dates(spark, sf), list(lengths), "SPY")
+    return scoring.require_signal(cut(signal))
+
+
 def holdings(
     spark: SparkSession, sf: str, strategies: tuple[Strategy, ...] = SWEEP, key: str = "brand"
 ) -> DataFrame:
     trend = sorted({s.trend_days for s in strategies if s.trend_days})
-    signal = (
-        scoring.trend_signal(market_series(spark, sf), sweep_dates(spark), trend, "SPY") if trend else None
-    )
+    signal = trend_of_sweep(spark, sf, tuple(trend)) if trend else None
     return scoring.select_holdings(
         ranked(spark, sf, strategies, key), scoring.strategy_table(spark, strategies), signal
     )

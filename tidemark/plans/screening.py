@@ -10,7 +10,7 @@ from tidemark.functions.numeric import out
 from tidemark.functions.text import sic_number
 from tidemark.operators import asof, calendar, screening
 from tidemark.params import COMMON_STOCK_CATEGORIES, Methodology
-from tidemark.plans.temporal import FIRST, LAST, asof_grid, decisions
+from tidemark.plans.temporal import FIRST, asof_grid, decisions
 from tidemark.sources import panel
 
 METHOD = Methodology()
@@ -36,8 +36,8 @@ def classification(
 ) -> DataFrame:
     """Classification records of all months for common stock."""
     securities = panel.security(spark, sf, key).filter(F.col("category").isin(*COMMON_STOCK_CATEGORIES))
-    months = calendar.screening_dates(spark, FIRST, LAST)
-    grid = asof_grid(securities, months.select("month_no", "screening_date"), "screening_date")
+    months = calendar.screening_dates(spark, FIRST, panel.last_day(spark, sf))
+    grid = asof_grid(securities, months.select("month_no", "screening_date"), "screening_date", panel.last_day(spark, sf))
     return screening.classify(
         spark, securities, grid, panel.fundamental(spark, sf, key),
         caps if caps is not None else panel.daily_market_cap(spark, sf, key), months,
@@ -81,7 +81,7 @@ def business_exclusions(spark: SparkSession, sf: str) -> DataFrame:
 def classification_in_effect(spark: SparkSession, sf: str) -> DataFrame:
     """The status that applies on each decision date, and since which screening."""
     return asof.in_effect_monthly(
-        classification(spark, sf), decisions(spark), ["security_id"], "decision_date",
+        classification(spark, sf), decisions(spark, sf), ["security_id"], "decision_date",
         "effective_from", "effective_to", ["status"], "screening_date",
     )
 

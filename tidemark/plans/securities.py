@@ -13,11 +13,12 @@ def _diff(spark: SparkSession, sf: str) -> DataFrame:
     """A new company download against the master an earlier one left.
 
     The stored master holds every customer but each seventh, with an older name for each ninth,
-    another start for each thirteenth and one security the download does not have per nation.
+    another start for each thirteenth and one security the download does not have per nation. Some
+    stored securities have a row in the download that is refused.
     """
-    download = ingest.accepted(ingest.parse_companies(panel.raw_company(spark, sf)))
+    download = ingest.parse_companies(panel.raw_company(spark, sf))
     c = F.col("source_id").cast("bigint")
-    stored = download.filter(c % 7 != 0).select(
+    stored = download.filter(F.col("source_id").isNotNull() & (c % 7 != 0)).select(
         (c + 1).alias("security_id"), "source_id", "ticker",
         F.when(c % 9 == 0, F.concat(F.lit("Old "), "company_name")).otherwise(F.col("company_name")).alias("company_name"),
         "sector", "industry", "category", "sic_code", "exchange", "currency", "country", "related_tickers",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,17 +12,11 @@ from tidemark.operators import ingest
 from tidemark.plans.crosscheck import fund_holdings
 from tidemark.schemas import RAW_PRICE_COLUMNS
 from tidemark.sources import panel, readers, sinks
-from tidemark.sources.checkpoints import ensure_folder
+from tidemark.sources.checkpoints import scratch
 from tidemark.streaming import orders as order_stream
 from tidemark.streaming.prices import ingest_price_drops
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared checkpoint folder."""
-    ensure_folder(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"
-
-
 def csv_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Vendor rows through CSV files: every cell comes back as text."""
     path = scratch(spark)
@@ -91,14 +84,14 @@ def filing_index(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def price_sink(spark: SparkSession, sf: str) -> DataFrame:
-    """Three loads into one add-only table and a vintage: overlap and rerun add nothing twice."""
+    """Four loads, the last two of everything, into one add-only table and a vintage: overlap and rerun add nothing twice."""
     path = scratch(spark)
     px = panel.daily_price(spark, sf).select(
         "security_id", "price_date", "close_unadjusted", "adjusted_close", "volume"
     )
     keys = ("security_id", "price_date")
-    for hi in ("1999-12-31", "2000-12-31", "2000-12-31"):
-        sinks.append_new(px.filter(F.col("price_date") <= hi), f"{path}/prices", keys, "price_date")
+    for load in (px.filter("price_date <= '1999-12-31'"), px.filter("price_date <= '2000-12-31'"), px, px):
+        sinks.append_new(load, f"{path}/prices", keys, "price_date")
     sinks.start_vintage(spark, f"{path}/vintages", "v1", "first")
     sinks.add_to_vintage(px, f"{path}/vintage_price", f"{path}/vintages", "v1", keys)
     sinks.finish_vintage(spark, f"{path}/vintage_price", f"{path}/vintages", "v1")
@@ -116,13 +109,14 @@ def stream_price_ingest(spark: SparkSession, sf: str) -> DataFrame:
     raw = panel.raw_price(spark, sf)
     periods = panel.security_ticker(spark, sf)
     early = F.col("l_orderkey") % 2 == 0
-    for part in (early, ~early, early):
-        raw.filter(part).select(*RAW_PRICE_COLUMNS).write.mode("append").option("header", True).csv(f"{path}/drops")
+    for drop, part in enumerate((early, ~early, early)):
+        place = F.format_string(f"{drop:04d}-%012d-%04d", "l_orderkey", "l_linenumber").alias("position")
+        raw.filter(part).select(*RAW_PRICE_COLUMNS, place).write.mode("append").option("header", True).csv(f"{path}/drops")
         ingest_price_drops(
             spark, f"{path}/drops", periods, f"{path}/prices", f"{path}/rejects", f"{path}/state"
         )
     stored = spark.read.parquet(f"{path}/prices")
-    return stored.select("security_id", "price_date")
+    return stored.select("security_id", "price_date", out(F.col("close")).alias("close"), "volume")
 
 
 def stream_positions(spark: SparkSession, sf: str) -> DataFrame:
@@ -139,7 +133,7 @@ def stream_positions(spark: SparkSession, sf: str) -> DataFrame:
     order_stream.run_available(order_stream.running_positions(stream), keep, f"{path}/state")
     seen = spark.read.parquet(f"{path}/out")
     last = seen.groupBy("symbol").agg(F.max_by("quantity", "batch").alias("quantity"))
-    return last.withColumn("quantity", out(F.col("quantity"), 2))
+    return last.filter("quantity <> 0").withColumn("quantity", out(F.col("quantity"), 2))
 
 
 def stream_states(spark: SparkSession, sf: str) -> DataFrame:

@@ -13,12 +13,12 @@ from tidemark.functions.text import normalise_ticker, strict_date
 from tidemark.operators import asof, calendar
 from tidemark.sources import panel
 
-FIRST, LAST = date(1998, 2, 1), date(2001, 12, 31)
+FIRST = date(1998, 2, 1)
 
 
 @per_session
-def decisions(spark: SparkSession) -> DataFrame:
-    return calendar.decision_dates(spark, FIRST, LAST)
+def decisions(spark: SparkSession, sf: str) -> DataFrame:
+    return calendar.decision_dates(spark, FIRST, panel.last_day(spark, sf))
 
 
 def calendar_days(spark: SparkSession, sf: str) -> DataFrame:
@@ -73,7 +73,7 @@ def year_load_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 def liquidity_windows(spark: SparkSession, sf: str) -> DataFrame:
     """Per decision date: the 20 trading days before it, the staleness cutoff, prices inside."""
-    dates = decisions(spark).withColumnRenamed("decision_date", "as_of")
+    dates = decisions(spark, sf).withColumnRenamed("decision_date", "as_of")
     days = calendar.window_days(dates.select("as_of", "td_index"), spark, 20)
     counts = (
         panel.daily_price(spark, sf)
@@ -135,16 +135,16 @@ def ticker_resolve(spark: SparkSession, sf: str) -> DataFrame:
 @per_session
 def screening_grid(spark: SparkSession, sf: str, key: str = "brand") -> DataFrame:
     """[security_id, screening_date] for every security and month it could be screened in."""
-    months = calendar.screening_dates(spark, FIRST, LAST).select("month_no", "screening_date")
+    months = calendar.screening_dates(spark, FIRST, panel.last_day(spark, sf)).select("month_no", "screening_date")
     s = panel.security(spark, sf, key).select("security_id", "start_date", "end_date")
-    return asof_grid(s, months, "screening_date")
+    return asof_grid(s, months, "screening_date", panel.last_day(spark, sf))
 
 
-def asof_grid(securities: DataFrame, months: DataFrame, date_col: str) -> DataFrame:
-    """Securities unrolled over the monthly dates of their life, without a cross join."""
-    lo, hi = FIRST.year * 12 + FIRST.month, LAST.year * 12 + LAST.month
+def asof_grid(securities: DataFrame, months: DataFrame, date_col: str, end: date) -> DataFrame:
+    """Securities unrolled over the monthly dates of their life, up to `end`, without a cross join."""
+    lo, hi = FIRST.year * 12 + FIRST.month, end.year * 12 + end.month
     first = F.greatest(calendar.month_no(F.coalesce("start_date", F.lit(FIRST))), F.lit(lo))
-    last = F.least(calendar.month_no(F.coalesce("end_date", F.lit(LAST))), F.lit(hi))
+    last = F.least(calendar.month_no(F.coalesce("end_date", F.lit(end))), F.lit(hi))
     lived = securities.withColumn(
         "month_no", F.explode(F.when(first <= last, F.sequence(first, last)))
     )
@@ -158,7 +158,7 @@ def asof_grid(securities: DataFrame, months: DataFrame, date_col: str) -> DataFr
 
 def filing_asof(spark: SparkSession, sf: str) -> DataFrame:
     """Per security and screening date: the latest filing of each kind filed strictly before."""
-    months = calendar.screening_dates(spark, FIRST, LAST).select("month_no", "screening_date")
+    months = calendar.screening_dates(spark, FIRST, panel.last_day(spark, sf)).select("month_no", "screening_date")
     filings = panel.fundamental(spark, sf).filter(F.col("dimension").isin("ARQ", "ARY", "ART"))
     grid = screening_grid(spark, sf).withColumn(
         "dimension", F.explode(F.array(F.lit("ARQ"), F.lit("ARY"), F.lit("ART")))
@@ -199,7 +199,7 @@ def filing_asof_same_day(spark: SparkSession, sf: str) -> DataFrame:
 def price_asof_bounded(spark: SparkSession, sf: str) -> DataFrame:
     """Latest price on or before each decision date, less than 7 days old."""
     got = asof.asof_within(
-        panel.daily_price(spark, sf), decisions(spark), ["security_id"], "price_date",
+        panel.daily_price(spark, sf), decisions(spark, sf), ["security_id"], "price_date",
         "decision_date", ["close_unadjusted"], lookback=7, inclusive=True,
     )
     return got.withColumn("close_unadjusted", out(F.col("close_unadjusted")))
@@ -208,7 +208,7 @@ def price_asof_bounded(spark: SparkSession, sf: str) -> DataFrame:
 def price_before_decision(spark: SparkSession, sf: str) -> DataFrame:
     """Latest price before each decision date within 60 days."""
     got = asof.asof_within(
-        panel.daily_price(spark, sf), decisions(spark), ["security_id"], "price_date",
+        panel.daily_price(spark, sf), decisions(spark, sf), ["security_id"], "price_date",
         "decision_date", ["close_unadjusted"], lookback=60, inclusive=False,
     )
     return got.withColumn("close_unadjusted", out(F.col("close_unadjusted")))
@@ -217,7 +217,7 @@ def price_before_decision(spark: SparkSession, sf: str) -> DataFrame:
 def market_value_asof(spark: SparkSession, sf: str) -> DataFrame:
     """Market value on or before the last close before each decision, within a week."""
     got = asof.asof_within(
-        panel.daily_market_cap(spark, sf), decisions(spark), ["security_id"], "cap_date", "prev_td",
+        panel.daily_market_cap(spark, sf), decisions(spark, sf), ["security_id"], "cap_date", "prev_td",
         ["market_cap_usd"], lookback=7, inclusive=True,
     )
     return got.withColumn("market_cap_usd", out(F.col("market_cap_usd"), 2))

@@ -34,8 +34,8 @@ def trading_price(spark: SparkSession, sf: str, key: str = "brand") -> DataFrame
 
 
 @per_session
-def as_of_dates(spark: SparkSession) -> DataFrame:
-    return decisions(spark).withColumnRenamed("decision_date", "as_of")
+def as_of_dates(spark: SparkSession, sf: str) -> DataFrame:
+    return decisions(spark, sf).withColumnRenamed("decision_date", "as_of")
 
 
 def status_in_effect(
@@ -43,7 +43,7 @@ def status_in_effect(
 ) -> DataFrame:
     records = classification(spark, sf, key, caps=caps) if caps is not None else classification(spark, sf, key)
     return asof.in_effect_monthly(
-        records, as_of_dates(spark), ["security_id"], "as_of", "effective_from", "effective_to",
+        records, as_of_dates(spark, sf), ["security_id"], "as_of", "effective_from", "effective_to",
         values, "screening_date",
     ).drop("screening_date")
 
@@ -51,7 +51,7 @@ def status_in_effect(
 @per_session
 def candidate_grid(spark: SparkSession, sf: str, key: str = "brand") -> DataFrame:
     securities = panel.security(spark, sf, key)
-    grid = asof_grid(securities, as_of_dates(spark).select("month_no", "as_of"), "as_of")
+    grid = asof_grid(securities, as_of_dates(spark, sf).select("month_no", "as_of"), "as_of", panel.last_day(spark, sf))
     return universe.candidates(securities, grid, RULES)
 
 
@@ -66,7 +66,7 @@ def universe_table(
     prices, caps = on_open_days(spark, stored), panel.market_cap_of(stored)
     findings = all_findings(spark, sf, QUALITY, key, prices=prices, caps=caps, details=False)
     assessed = universe.assess(
-        spark, candidate_grid(spark, sf, key), as_of_dates(spark),
+        spark, candidate_grid(spark, sf, key), as_of_dates(spark, sf),
         status_in_effect(spark, sf, ["status"], key, caps), prices, findings, rules,
     )
     return universe.build(assessed, panel.security(spark, sf, key), panel.security_ticker(spark, sf, key))
@@ -77,6 +77,21 @@ def universe_funnel(spark: SparkSession, sf: str) -> DataFrame:
     return universe.funnel(universe_table(spark, sf))
 
 
+def quality_cover(spark: SparkSession, sf: str) -> DataFrame:
+    """[as_of, run_id]: quality runs at the end of each month but every fourth, over two months; the liquidity window must lie inside."""
+    px = panel.daily_price(spark, sf)
+    month = calendar.month_no(F.col("price_date"))
+    runs = px.groupBy(month.cast("bigint").alias("id")).agg(F.max("price_date").alias("last_date")).filter("id % 4 <> 0")
+    runs = runs.withColumn("first_date", F.trunc(F.add_months("last_date", -2), "month"))
+    dates = as_of_dates(spark, sf).select("as_of", F.date_sub("as_of", 28).alias("first"), F.date_sub("as_of", 1).alias("last"))
+    return universe.covering_runs(dates, runs)
+
+
+def universe_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """The funnel with the gate: dates that no quality run covers are refused, with all their candidates."""
+    return universe.funnel(universe.gated(universe_table(spark, sf), quality_cover(spark, sf)))
+
+
 def universe_members(spark: SparkSession, sf: str) -> DataFrame:
     rows = universe.members(universe_table(spark, sf))
     return rows.withColumn("median_usd", out(F.col("median_usd"), 2))
@@ -92,7 +107,7 @@ def universe_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 def median_dollar_volume(spark: SparkSession, sf: str) -> DataFrame:
     got = universe.median_dollar_volume(
-        spark, trading_price(spark, sf), as_of_dates(spark).select("as_of", "td_index"), 20
+        spark, trading_price(spark, sf), as_of_dates(spark, sf).select("as_of", "td_index"), 20
     )
     return got.withColumn("median_usd", out(F.col("median_usd"), 4))
 
@@ -109,7 +124,7 @@ def largest_members(spark: SparkSession, sf: str) -> DataFrame:
     rows = universe.largest_members(
         universe_table(spark, sf), panel.security(spark, sf), panel.security_ticker(spark, sf),
         panel.daily_market_cap(spark, sf), status_in_effect(spark, sf, ["reason"]),
-        as_of_dates(spark).select("month_no", "as_of"), FIRST_MONTH, 3,
+        as_of_dates(spark, sf).select("month_no", "as_of"), FIRST_MONTH, 3,
     )
     return rows.select(
         "as_of", "place", "security_id", "ticker", "company_name",
@@ -119,6 +134,8 @@ def largest_members(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "universe_funnel": universe_funnel,
+    "quality_cover": quality_cover,
+    "universe_gate": universe_gate,
     "universe_members": universe_members,
     "universe_fingerprint": universe_fingerprint,
     "universe_candidates": universe_candidates,

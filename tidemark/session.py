@@ -6,6 +6,9 @@ from pyspark.sql import SparkSession
 
 # Correctness first (UTC, ANSI casts), then adaptive execution: partition counts, skewed joins and
 # broadcast decisions are taken from measured shuffle sizes, not guessed here.
+# Keys seen by a stream grow with its log; this store keeps them on disk, not in memory.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
@@ -13,6 +16,9 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    "spark.sql.streaming.stateStore.providerClass": STATE_STORE,
+    # Checkpoints go when nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Plans here have many column expressions; recording a call site for each one is slow.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +25,9 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows, stored, without the plan that made them. Survives the loss of executors."""
     ensure_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession) -> str:
+    """The name of a new folder below the shared checkpoint folder."""
+    ensure_folder(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"

@@ -8,6 +8,8 @@ the bench).
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,17 +34,31 @@ SCHEMAS = {
 }
 
 
+#: The given order dates begin in 1995, the trading calendar in 1998: dates move by 157 whole weeks.
+SHIFT_DAYS = 1099
+_DATED = {"lineitem": "l_shipdate", "orders": "o_orderdate"}
+
+
 @per_session
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf}/{name}.parquet")
+    rows = spark.read.schema(SCHEMAS[name]).parquet(f"{sf}/{name}.parquet")
+    if day := _DATED.get(name):
+        rows = rows.withColumn(day, F.col(day) + F.expr(f"INTERVAL {SHIFT_DAYS} DAYS"))
+    return rows
 
 
-def _brand() -> Column:
-    return F.substring("p_brand", 7, 10).cast("int")
+def last_day(spark: SparkSession, sf: str) -> date:
+    """The newest price date of the data: where date grids end. One row reaches the driver."""
+    return _last_day(spark, sf).first()[0]
 
 
-def _in_calendar(day: str) -> Column:
-    return F.col(day) >= F.expr("TIMESTAMP_NTZ '1998-01-01 00:00:00'")
+@per_session
+def _last_day(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "lineitem").agg(F.max("l_shipdate").cast("date"))
+
+
+def _brand() -> Column:
+    return F.substring("p_brand", 7, 10).cast("int")
 
 
 def _with_security(lines: DataFrame, spark: SparkSession, sf: str, key: str) -> DataFrame:
@@ -59,7 +75,7 @@ def daily_price(spark: SparkSession, sf: str, key: str = "brand") -> DataFrame:
 
     min_by / max_by are combined before the shuffle, so a hot security or day costs no more.
     """
-    lines = table(spark, sf, "lineitem").filter(_in_calendar("l_shipdate"))
+    lines = table(spark, sf, "lineitem")
     rows = _with_security(lines, spark, sf, key).select(
         "security_id",
         F.col("l_shipdate").cast("date").alias("price_date"),
@@ -265,24 +281,26 @@ def broker_order(spark: SparkSession, sf: str) -> DataFrame:
 
 @per_session
 def vendor_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Outside opinions, one per customer: the symbol carries different share-class spellings."""
+    """Outside opinions, one per customer in the order of their keys. Some customers have a second one under another
+    spelling, of which every other stands before all the others (position: place in the file)."""
     c = F.col("c_custkey")
     seg = F.col("c_mktsegment")
-    return table(spark, sf, "customer").select(
-        F.concat(F.lit("t"), c.cast("string")).alias("symbol"),
-        F.when(seg == "BUILDING", "COMPLIANT")
-        .when(seg == "MACHINERY", "NON_COMPLIANT")
-        .when(seg == "AUTOMOBILE", "QUESTIONABLE")
-        .otherwise("UNRATED")
-        .alias("status"),
+    status = F.when(seg == "BUILDING", "COMPLIANT").when(seg == "MACHINERY", "NON_COMPLIANT").when(seg == "AUTOMOBILE", "QUESTIONABLE").otherwise("UNRATED")
+    one = F.struct(F.concat(F.lit("t"), c.cast("string")).alias("symbol"), status.alias("status"), c.alias("position"))
+    again = F.struct(
+        F.concat(F.lit(" T"), c.cast("string")).alias("symbol"),
+        F.when(status == "COMPLIANT", "UNRATED").otherwise("COMPLIANT").alias("status"),
+        F.when(c % 2 == 0, -c).otherwise(c + 1_000_000_000).alias("position"),
     )
+    reports = F.when(c % 5 == 2, F.array(one, again)).otherwise(F.array(one))
+    return table(spark, sf, "customer").select(F.explode(reports).alias("r")).select("r.*")
 
 
 @per_session
 def raw_price(spark: SparkSession, sf: str) -> DataFrame:
     """Vendor price rows, all text, one per order line, with the usual defects."""
     o = F.col("l_orderkey")
-    lines = table(spark, sf, "lineitem").filter(_in_calendar("l_shipdate"))
+    lines = table(spark, sf, "lineitem")
     rows = _with_security(lines, spark, sf, "brand")
     price = F.col("l_extendedprice").cast("decimal(18,2)")
     text = price.cast("string")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.orders import signed_quantity
+from tidemark.session import STATE_STORE
 
 
 def running_states(events: DataFrame) -> DataFrame:
@@ -22,7 +23,8 @@ def running_states(events: DataFrame) -> DataFrame:
 def running_positions(fills: DataFrame) -> DataFrame:
     """Signed position per symbol; an execution delivered again is counted once.
 
-    The deduplication keeps the execution ids seen. Use the RocksDB state store for long logs.
+    The deduplication keeps the execution ids seen, on disk: `run_available` sets the RocksDB state store. A symbol
+    whose quantity is 0 in the changed rows has no position any more.
     """
     once = fills.dropDuplicates(["order_id", "exec_id"])
     return once.groupBy("symbol").agg(F.sum(signed_quantity()).alias("quantity"))
@@ -32,6 +34,7 @@ def run_available(
     view: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str
 ) -> StreamingQuery:
     """Process what is there in update mode and stop; `sink` gets the changed rows per batch."""
+    view.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     query = (
         view.writeStream.outputMode("update")
         .foreachBatch(sink)

@@ -16,16 +16,17 @@ def ingest_price_drops(
 ) -> None:
     """Read new CSV files of a folder, parse, and add the keys the table does not hold yet.
 
-    Runs until the folder is read and stops. A batch that is repeated after a failure adds nothing
+    A drop carries the vendor's columns and `position`, a text that orders the rows of all drops: of a key's copies the first
+    stays, whether they are in one drop or in several. Runs until the folder is read and stops. A batch that is repeated after a failure adds nothing
     twice, because only unknown keys are appended; rejected rows go to their own folder per batch.
     """
-    rows = spark.readStream.schema(all_text(RAW_PRICE_COLUMNS)).option("header", True).csv(drops)
+    rows = spark.readStream.schema(all_text((*RAW_PRICE_COLUMNS, "position"))).option("header", True).csv(drops)
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        parsed = ingest.parse_prices(batch, periods)
+        parsed = ingest.parse_prices(batch, periods, ("position",))
         fresh = ingest.keep_first(
-            ingest.accepted(parsed), KEYS, ("close", "open", "high", "low", "volume")
-        ).drop("copies")
+            ingest.accepted(parsed), KEYS, ("position", "close", "volume")
+        ).drop("copies", "position")
         append_new(fresh, table, KEYS, "price_date")
         parsed.filter("skip_reason IS NOT NULL").write.mode("overwrite").parquet(
             f"{rejects}/batch={batch_id}"
