@@ -30,7 +30,7 @@ MAX_TOKENS = 2048
 #: task streams through its buckets, so their size is a matter of parallelism, not of memory.
 BUCKETS = 4096
 #: Bytes of text and number of documents of a block.
-BLOCK_BYTES, BLOCK_DOCS = 32_000_000, 32_000
+BLOCK_BYTES, BLOCK_DOCS = 16_000_000, 32_000
 #: A pre-token in at least one of so many documents of its block is hot.
 HOT_SHARE = 16
 #: Pre-tokens whose counts a task remembers at a time.
