@@ -68,6 +68,7 @@ HEADLINE = {
     "status_transitions": reports.status_transitions,
     "illegal_transitions": orders.illegal_transitions,
     "order_check": orders.order_check,
+    "order_batch": orders.order_batch,
     "wide_quality": wide_quality,
     "wide_screening": wide_screening,
     "wide_momentum": wide_momentum,

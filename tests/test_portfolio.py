@@ -3,10 +3,11 @@
 import math
 import random
 from datetime import date, timedelta
+from decimal import Decimal as D
 
 import pytest
 
-from tidemark.operators import analytics, portfolio
+from tidemark.operators import analytics, portfolio, scoring
 from tidemark.params import Costs
 
 COSTS = Costs()
@@ -77,3 +78,26 @@ def test_summary_of_a_short_series(spark):
     assert r.sortino == pytest.approx(mean * 252 / (down * math.sqrt(252)))
     assert (r.months, r.positive_months) == (2, 2)
     assert r.best_month == pytest.approx(0.1) and r.worst_month == pytest.approx(0.1)
+
+
+def test_zero_and_missing_prices_give_rows_not_errors(spark):
+    targets = spark.createDataFrame([(1, "A", D("10")), (1, "B", D("0")), (1, "C", None), (1, "E", None)], "portfolio int, symbol string, price decimal(18,2)")
+    held = spark.createDataFrame([(1, "A", 1), (1, "D", 5), (1, "F", 5)], "portfolio int, symbol string, held bigint")
+    prices = spark.createDataFrame([("C", D("20")), ("D", D("4"))], "symbol string, last_price decimal(18,2)")
+    nav = spark.createDataFrame([(1, D("4000"))], "portfolio int, nav decimal(24,4)")
+    rows = portfolio.whole_share_orders(targets, held, prices, nav).collect()
+    assert {r.symbol: (r.quantity, r.reason) for r in rows} == {
+        "A": (99, "below_weight"), "B": (None, "no_price"), "C": (50, "below_weight"), "D": (5, "no_target"),
+        "E": (None, "no_price"), "F": (None, "no_price"),
+    }
+
+
+def test_hold_all_has_no_limit_and_an_unknown_trend_holds_nothing(spark):
+    ranked = spark.createDataFrame(
+        [("k", date(2000, m, 3), s, 1.0 / s, s, s, 50, 50, True) for m in (1, 2, 3) for s in range(1, 51)],
+        "kind string, decision_date date, security_id int, score double, rank int, tradable_rank int, scored bigint, tradable_count bigint, tradable boolean",
+    )
+    strategies = spark.createDataFrame([("all", "k", None, 200), ("ten", "k", 10, None)], "strategy string, kind string, top_n int, trend_days int")
+    signal = spark.createDataFrame([(date(2000, 1, 3), 200, True), (date(2000, 2, 3), 200, False), (date(2000, 3, 3), 200, None)], "decision_date date, trend_days int, risk_on boolean")
+    held = scoring.select_holdings(ranked, strategies, signal).groupBy("strategy", "decision_date").count().collect()
+    assert {(r.strategy, r.decision_date.month): r["count"] for r in held} == {("all", 1): 50, ("ten", 1): 10, ("ten", 2): 10, ("ten", 3): 10}

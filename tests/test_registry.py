@@ -16,7 +16,7 @@ SELECTION = (
     "classification_in_effect universe_funnel median_dollar_volume share_class_groups momentum_rank sweep_holdings "
     "net_nav performance_summary status_transitions unknown_streaks vendor_crosscheck holding_match positions "
     "illegal_transitions order_check order_batch price_import_summary action_parse master_diff ticker_history "
-    "xml_holdings filing_index price_sink stream_price_ingest stream_positions"
+    "xml_holdings filing_index quality_cover version_registry system_alerts trade_reasons unknown_reasons vendor_pairs whole_share_orders price_sink stream_price_ingest stream_positions"
 ).split()
 
 

@@ -1,6 +1,6 @@
 from datetime import date
 
-from tidemark.operators.securities import ticker_history
+from tidemark.operators.securities import diff_summary, master_diff, ticker_history
 
 D = date
 
@@ -28,3 +28,23 @@ def test_ticker_history(spark):
         ],
         key=str,
     )
+
+
+def test_a_refused_row_is_not_a_missing_one(spark):
+    download = spark.createDataFrame(
+        [("1", "A", "One", D(2000, 1, 3), None, None), ("2", None, "Two", None, None, "missing_identity"), ("4", "N", "New", D(2000, 1, 3), None, None)],
+        "source_id string, ticker string, company_name string, first_price_date date, last_price_date date, skip_reason string",
+    )
+    stored = spark.createDataFrame(
+        [(k, str(k), name, D(2000, 1, 3), False) for k, name in ((1, "One"), (2, "Two"), (3, "Three"))],
+        "security_id bigint, source_id string, company_name string, start_date date, delisted_flag boolean",
+    )
+    tickers = spark.createDataFrame([(1, "A"), (2, "B"), (3, "C")], "security_id bigint, open_ticker string")
+    diff = master_diff(download, stored, tickers)
+    assert {r.source_id: (r.action, list(r.notes)) for r in diff.collect()} == {
+        "1": ("unchanged", []),
+        "2": ("refused", ["no_row missing_identity"]),
+        "3": ("missing", ["no_row"]),
+        "4": ("created", []),
+    }
+    assert {r.what: r.n for r in diff_summary(diff).collect()}["missing"] == 1

@@ -6,8 +6,8 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import reports, scoring
-from tidemark.sources import readers, sinks
+from tidemark.operators import crosscheck, reports, scoring
+from tidemark.sources import panel, readers, sinks
 
 
 @pytest.fixture
@@ -93,3 +93,15 @@ def test_stored_runs_listing(spark):
     )
     got = reports.stored_runs(runs, "in_sample", "momentum", 10).collect()
     assert [(r.id, r.result, r.sharpe) for r in got] == [(3, "c" * 12, 1.0), (1, "a" * 12, 0.5)]
+
+
+def test_every_order_line_becomes_part_of_a_price(spark, sf):
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    taken = panel.daily_price(spark, sf).agg({"volume": "sum"}).first()[0]
+    assert taken == lines.selectExpr("sum(CAST(l_quantity AS BIGINT))").first()[0]
+
+
+def test_the_last_report_of_a_spelling_counts(spark):
+    ours = spark.createDataFrame([("AB", "HALAL", 1, "")], "symbol string, status string, security_id int, reason string")
+    reports = spark.createDataFrame([("ab", "UNRATED", 1), (" AB", "COMPLIANT", 2), ("Ab ", "NON_COMPLIANT", 0)], "symbol string, status string, position int")
+    assert [r.their_status for r in crosscheck.pair_up(ours, reports).collect()] == ["COMPLIANT"]
