@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 from oracle import universe  # noqa: F401
-from oracle.views import VIEWS, build
+from oracle.views import VIEWS, WIDE, build
 
 VIEWS["sweep_date"] = "SELECT * FROM decision WHERE decision_date >= DATE '1999-07-01'"
 VIEWS["momentum_window"] = """
@@ -83,3 +83,4 @@ SQL = {
     "sweep_holdings": "SELECT strategy, decision_date, security_id, rank, held, round(1.0 / held, 6) AS weight FROM holding",
 }
 SQL = {name: build(body) for name, body in SQL.items()}
+SQL["wide_momentum"] = build(rank_report("kind LIKE 'momentum%'"), WIDE)

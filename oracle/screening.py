@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 from oracle import temporal  # noqa: F401  (registers the grid views)
-from oracle.views import VIEWS, build
+from oracle.views import VIEWS, WIDE, build
 
 VIEWS["common_stock"] = """
 SELECT *, try_cast(trim(sic_code) AS INT) AS sic,
@@ -89,3 +89,4 @@ SELECT security_id, status, effective_from, effective_to, screening_date FROM cl
 """,
 }
 SQL = {name: build(body) for name, body in SQL.items()}
+SQL["wide_screening"] = build("SELECT screening_date, status, count(*) AS n FROM classification GROUP BY 1, 2", WIDE)

@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 from oracle import quality, screening  # noqa: F401  (registers their views)
-from oracle.views import VIEWS, build
+from oracle.views import VIEWS, WIDE, build
 
 VIEWS["trading_price"] = "SELECT p.* FROM daily_price p JOIN td ON td.day = p.price_date"
 VIEWS["prev_trading_price"] = VIEWS["prev_price"].replace("FROM daily_price", "FROM trading_price")
@@ -104,3 +104,4 @@ SELECT as_of, place, security_id, ticker, company_name, market_cap_usd, why FROM
 """,
 }
 SQL = {name: build(body) for name, body in SQL.items()}
+SQL["wide_universe"] = build("SELECT as_of, coalesce(reason, 'eligible') AS reason, count(*) AS n FROM universe GROUP BY 1, 2", WIDE)

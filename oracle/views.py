@@ -178,6 +178,13 @@ FROM mon m JOIN td t ON t.day = m.first_td JOIN cal c ON c.day = m.first_td
 WHERE m.first_td >= DATE '1998-02-01' AND m.first_td <= (SELECT max(price_date) FROM daily_price)
 """
 
+# The same market with a security per supplier: more names, other ranks, larger groups.
+WIDE = {
+    "px": VIEWS["px"].replace("CAST(substr(p_brand,7) AS INT)", "l_suppkey + 1").replace("FROM line JOIN part ON l_partkey = p_partkey", "FROM line"),
+    "security": VIEWS["security"].replace("b % 20", "b // 2").replace("SELECT DISTINCT CAST(substr(p_brand,7) AS INT) AS b FROM part", "SELECT s_suppkey + 1 AS b FROM supplier"),
+    "fundamental": VIEWS["fundamental"].replace("CAST(o_custkey % 25 + 1 AS INT)", "o_custkey + 1"),
+}
+
 _NAME = re.compile(r"[a-z_]+[a-z0-9_]*")
 
 

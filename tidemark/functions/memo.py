@@ -4,19 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import wraps
-from weakref import WeakKeyDictionary
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def per_session(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """Build each plan once per session and arguments. No data is held, only the plan."""
-    plans: WeakKeyDictionary[SparkSession, dict] = WeakKeyDictionary()
+def per_session(build: Callable[..., Any]) -> Callable[..., Any]:
+    """Build each plan once per session and plain arguments. No data is held, only the plan.
+
+    Plans are kept on the session itself, so they go when it goes. A call that is given a DataFrame builds
+    anew: such plans belong to one run.
+    """
 
     @wraps(build)
-    def shared(spark: SparkSession, *args, **kwargs) -> DataFrame:
-        known = plans.setdefault(spark, {})
-        key = (args, tuple(sorted(kwargs.items())))
+    def shared(spark: SparkSession, *args, **kwargs):
+        if any(isinstance(x, DataFrame) for x in (*args, *kwargs.values())):
+            return build(spark, *args, **kwargs)
+        known = vars(spark).setdefault("_shared_plans", {})
+        key = (build.__module__, build.__qualname__, args, tuple(sorted(kwargs.items())))
         if key not in known:
             known[key] = build(spark, *args, **kwargs)
         return known[key]

@@ -69,7 +69,13 @@ def stale_prices(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def wide_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings of every check on a market with a security per supplier."""
+    return all_findings(spark, sf, key="supplier").groupBy("check_name").agg(F.count("*").alias("findings"))
+
+
 QUERIES = {
+    "wide_quality": wide_quality,
     "quality_findings": quality_findings,
     "quality_counts": quality_counts,
     "quality_examples": quality_examples,

@@ -48,8 +48,10 @@ def ranked(
     )
 
 
-def _rank_report(spark: SparkSession, sf: str, strategies: tuple[Strategy, ...]) -> DataFrame:
-    return ranked(spark, sf, strategies).select(
+def _rank_report(
+    spark: SparkSession, sf: str, strategies: tuple[Strategy, ...], key: str = "brand"
+) -> DataFrame:
+    return ranked(spark, sf, strategies, key).select(
         "kind", "decision_date", "security_id", out(F.col("score")).alias("score"), "rank",
         "tradable_rank", "scored",
     )
@@ -118,7 +120,14 @@ def sweep_holdings(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def wide_momentum(spark: SparkSession, sf: str) -> DataFrame:
+    """All momentum ranks on a market with a security per supplier."""
+    strategies = tuple(s for s in strategy_sweep() if s.ranking == "momentum")
+    return _rank_report(spark, sf, strategies, "supplier")
+
+
 QUERIES = {
+    "wide_momentum": wide_momentum,
     "momentum_rank": momentum_rank,
     "low_volatility_rank": low_volatility_rank,
     "market_cap_rank": market_cap_rank,

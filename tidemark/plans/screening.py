@@ -97,7 +97,13 @@ def classification_on_date(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def wide_screening(spark: SparkSession, sf: str) -> DataFrame:
+    """Results per date on a market with a security per supplier."""
+    return classification(spark, sf, "supplier").groupBy("screening_date", "status").agg(F.count("*").alias("n"))
+
+
 QUERIES = {
+    "wide_screening": wide_screening,
     "screening": screening_results,
     "screening_not_stored": screening_not_stored,
     "screening_sources": screening_sources,

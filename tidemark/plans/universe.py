@@ -132,7 +132,13 @@ def largest_members(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def wide_universe(spark: SparkSession, sf: str) -> DataFrame:
+    """The funnel of a market with a security per supplier."""
+    return universe.funnel(universe_table(spark, sf, "supplier"))
+
+
 QUERIES = {
+    "wide_universe": wide_universe,
     "universe_funnel": universe_funnel,
     "quality_cover": quality_cover,
     "universe_gate": universe_gate,

@@ -33,9 +33,7 @@ def append_new(
     rows = cut(fresh.withColumn(partition, F.date_format(day, "yyyy-MM")))
     if exists(spark, path):
         months = [r[0] for r in rows.select(partition).distinct().collect()]
-        stored = spark.read.parquet(path).filter(F.col(partition).isin(*months))
-        # Partition values are read back as text whatever they look like.
-        stored = stored.select(*keys, F.col(partition).cast("string").alias(partition))
+        stored = spark.read.schema(rows.schema).parquet(path).filter(F.col(partition).isin(*months)).select(*keys, partition)
         rows = rows.join(stored, [*keys, partition], "left_anti")
     rows.repartition(partition, *keys[:1]).sortWithinPartitions(partition, *keys).write.mode(
         "append"
