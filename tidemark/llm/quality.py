@@ -24,7 +24,7 @@ SAMPLE = 2500
 #: One document in so many is held out of training, by crc32 of its id.
 FOLDS = 5
 #: Bytes of text whose features are computed at a time.
-PART_BYTES = 16_000_000
+PART_BYTES = 4_000_000
 
 _CLASSES = {
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ",
