@@ -150,7 +150,8 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     found = _stretch_rows(rows, window, seed)
-    shared = (
+    # What is grouped is stored before it is joined, so that Spark may split a hot anchor in the join.
+    shared = cut(
         found.groupBy("anchor")
         .agg(
             F.min("doc_id").alias("least"),
@@ -165,12 +166,13 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
     whole = seeds.filter("alike AND doc_id > least").select(*own)
 
     mixed = seeds.filter("NOT alike").drop("least", "alike")
-    leading = mixed.groupBy("anchor", "content").agg(F.min("doc_id").alias("least"))
+    leading = cut(mixed.groupBy("anchor", "content").agg(F.min("doc_id").alias("least")))
     judged = mixed.join(leading, ["anchor", "content"])
     copied = judged.filter("doc_id > least").select(*own)
     extend = judged.filter("doc_id = least").groupBy("doc_id", "version").agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("wanted"))
     windows = cut(_window_rows(_packed(rows).join(extend, ["doc_id", "version"]).select("doc_id", "version", "packed", "wanted"), window))
-    first = windows.groupBy("anchor", "hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
+    ends = windows.groupBy("anchor", "hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    first = cut(ends.filter("least < most"))
     parted = windows.join(first, ["anchor", "hash"]).filter("doc_id > least").select("doc_id", "version", "start", F.lit(1).alias("windows"))
 
     covered = whole.unionByName(copied).unionByName(parted)
