@@ -70,7 +70,8 @@ def copies(rows: DataFrame, weights=WEIGHTS, share: Fraction = SHARE, most: int
     targets = source_targets(rows, weights, share, most)
     placed = numbered(rows, F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id"), name="_place")
     first = placed.groupBy("source").agg(F.min("_place").alias("_first"))
-    per = targets.join(first.withColumnRenamed("source", "_source"), F.expr("source <=> _source")).drop("_source")
+    # A row per source, stored: the join below then has two plain sides, of which Spark can send the small one or split a hot source.
+    per = cut(targets.join(first.withColumnRenamed("source", "_source"), F.expr("source <=> _source")).drop("_source"))
     joined = placed.join(per.withColumnRenamed("source", "_source"), F.expr("source <=> _source")).drop("_source")
     each = F.try_divide("target", F.col("source_size").cast("double"))
     at = (F.col("_place") - F.col("_first")).cast("double")
