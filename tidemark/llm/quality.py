@@ -41,7 +41,20 @@ FEATURES = ("size", "upper", "digit", "mark", "bang", "bar", "symbol", "stutter"
 
 
 def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features [lines, len(FEATURES)], bytes and text number of every non-empty line, in order."""
+    """Features [lines, len(FEATURES)], bytes and text number of every non-empty line, in order.
+
+    Words are looked at in parts of PART_BYTES; what is kept of a line are numbers.
+    """
+    found, number = [_part_features([])], 0
+    for part in pieces(texts, map(len, texts), PART_BYTES):
+        features, sizes, owner = _part_features(part)
+        found.append((features, sizes, owner + number))
+        number += len(part)
+    features, sizes, owner = (np.concatenate(c) for c in zip(*found, strict=True))
+    return features, sizes, owner
+
+
+def _part_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lines, owner = [], []
     for k, text in enumerate(texts):
         own = [x for x in text.split(b"\n") if x.strip()]
