@@ -161,18 +161,19 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
         .filter("least < most")
         .select("anchor", "least", "alike")
     )
-    seeds = cut(found.join(shared, "anchor"))
+    # The first of stretches that are all alike stays as it is and is needed no more.
+    seeds = cut(found.join(shared, "anchor").filter("NOT alike OR doc_id > least").drop("least"))
     own = ["doc_id", "version", "start", "windows"]
-    whole = seeds.filter("alike AND doc_id > least").select(*own)
+    whole = seeds.filter("alike").select(*own)
 
-    mixed = seeds.filter("NOT alike").drop("least", "alike")
+    mixed = seeds.filter("NOT alike").drop("alike")
     leading = cut(mixed.groupBy("anchor", "content").agg(F.min("doc_id").alias("least")))
     judged = mixed.join(leading, ["anchor", "content"])
     copied = judged.filter("doc_id > least").select(*own)
     extend = judged.filter("doc_id = least").groupBy("doc_id", "version").agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("wanted"))
     windows = cut(_window_rows(_packed(rows).join(extend, ["doc_id", "version"]).select("doc_id", "version", "packed", "wanted"), window))
     ends = windows.groupBy("anchor", "hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    first = cut(ends.filter("least < most"))
+    first = ends.filter("least < most")
     parted = windows.join(first, ["anchor", "hash"]).filter("doc_id > least").select("doc_id", "version", "start", F.lit(1).alias("windows"))
 
     covered = whole.unionByName(copied).unionByName(parted)
