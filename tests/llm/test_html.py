@@ -53,3 +53,24 @@ def test_tables(spark):
     got = Counter((r.page_id, r.url, r.text, r.n_chars) for r in html.extract(frame).collect())
     assert got == Counter([(1, "u", "A", 1)] * 2 + [(2, None, "", 0), (None, "u", "", 0), (3, "u", "", 0)])
     assert html.extract(frame.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("""<article><a href="x"">one</a><p>two</p></article>""", "one\ntwo"),
+        ("<article><p title=it's>one</p><p>it's two</p></article>", "one\nit's two"),
+        ("""<article><img alt="5" tall"><p>one</p><p class="b">two</p></article>""", "one\ntwo"),
+        ("""<article><p title="a>one</p><p>two</p></article>""", "one\ntwo"),
+        ("""<article><p>one</p><p title = 'a > b' x="c>d">two</p></article>""", "one\ntwo"),
+        ("""<article><p title="a"">one</p><p>two</p><p id=">""", "one\ntwo"),
+        ("""<article><p>one</p><b x="><p>two</p><i y="z" """, "one\ntwo"),
+    ],
+)
+def test_unbalanced_quotes_end_no_page(source, want):
+    assert text(source) == want
+
+
+def test_unbalanced_quotes_are_read_in_time():
+    for source in ('<a x=">" ' * 100_000, "<a x='" * 100_000, "<a =\"" * 100_000, "<a x = " * 100_000):
+        html.main_text("<article>" + source, TREE)

@@ -33,8 +33,11 @@ MARKS = frozenset(
     "subscribe subscription signup login comment comments disqus respond reply replies share sharing social toolbar pagination".split()
 )
 
-_TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
-_ATTRIBUTE = re.compile(r"""([A-Za-z_:][\w:.-]*+)\s*+(?:=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")
+# A quote opens a value only directly after '='; elsewhere, or if it is never closed, it is a character like others.
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)"""
+_TAG = re.compile(rf"""<(/?)([A-Za-z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+{_VALUE}?+)?+)*+)>""")
+_ATTRIBUTE = re.compile(rf"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+({_VALUE})?+)?+""")
+_PLAIN = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>")
 _RAW_END = {name: re.compile(rf"</{name}[\s/>]", re.I) for name in RAW}
 _TOKEN = re.compile(r"[a-z0-9]+")
 FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "apart", "article", "heading", "item")
@@ -64,7 +67,7 @@ class Page:
         self._flush()
 
     def _read(self, source: str) -> None:
-        at = 0
+        at, tag_at = 0, _TAG.match
         while True:
             lt = source.find("<", at)
             self._text(source[at : lt if lt >= 0 else len(source)])
@@ -76,7 +79,7 @@ class Page:
             elif source.startswith(("<!", "<?"), lt):
                 end = source.find(">", lt)
                 at = len(source) if end < 0 else end + 1
-            elif tag := _TAG.match(source, lt):
+            elif tag := tag_at(source, lt):
                 at = tag.end()
                 name = tag[2].lower()
                 if tag[1]:
@@ -87,7 +90,10 @@ class Page:
                 else:
                     self._start(name, tag[3])
             elif re.match(r"</?[A-Za-z]", source[lt : lt + 3]):
-                at = len(source)  # a tag that never ends
+                if tag_at == _PLAIN.match or source.find(">", lt) < 0:
+                    at = len(source)  # a tag that never ends
+                else:  # its end stands only in a value: from here on tags end at their first >
+                    at, tag_at = lt, _PLAIN.match
             else:
                 self._text("<")
                 at = lt + 1
