@@ -74,3 +74,19 @@ def test_unbalanced_quotes_end_no_page(source, want):
 def test_unbalanced_quotes_are_read_in_time():
     for source in ('<a x=">" ' * 100_000, "<a x='" * 100_000, "<a =\"" * 100_000, "<a x = " * 100_000):
         html.main_text("<article>" + source, TREE)
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        (f"<div class='content-sidebar-wrap'><article><p>{LONG}</p><p>One.</p></article><aside class=sidebar><p>{LONG}</p></aside></div>", f"{LONG}\nOne."),
+        (f"<div class='site has-sidebar'><main><p>{LONG}</p></main><div class=sidebar><p>{LONG}</p></div></div>", LONG),
+        (f"<div class='no-comments'><p>{LONG}</p><p>{LONG}</p></div>", f"{LONG}\n{LONG}"),
+        (f"<div class='header-wrap'><article><p>One.</p></article><article><p>Two.</p><div class=related><p>{LONG}</p></div></article></div>", "One.\nTwo."),
+        (f"<article><p>One.</p></article><section id=comments><article><p>{LONG}</p></article></section>", "One."),
+        (f"<article><p>One.</p><div class=related><article><p>{LONG}</p></article></div></article>", "One."),
+        (f"<div class=sidebar><p>{LONG}</p></div><article><p>One.</p></article>", "One."),
+    ],
+)
+def test_layout_around_an_article_is_not_apart(source, want):
+    assert text(source) == want

@@ -33,6 +33,11 @@ MARKS = frozenset(
     "subscribe subscription signup login comment comments disqus respond reply replies share sharing social toolbar pagination".split()
 )
 
+# Of MARKS: what people write below an article, which may itself be in article elements.
+REMARKS = frozenset("comment comments disqus respond reply replies".split())
+# A class or id that starts so says how a page is laid out ("no-comments", "has-sidebar"), not what a part is.
+LAYOUT = frozenset("has no with without".split())
+
 # A quote opens a value only directly after '='; elsewhere, or if it is never closed, it is a character like others.
 _VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)"""
 _TAG = re.compile(rf"""<(/?)([A-Za-z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+{_VALUE}?+)?+)*+)>""")
@@ -115,6 +120,8 @@ class Page:
         if name in VOID or attributes.endswith("/"):
             return
         traits = self._traits(name, attributes)
+        if "+main" in traits and not self.open["+main"] and self.open["+marked"]:
+            self._unmark()
         self.stack.append((name, traits))
         self.open[name] += 1
         self.open.update(traits)
@@ -130,10 +137,20 @@ class Page:
                 key, value = key.lower(), value.strip("\"'").lower()
                 if key == "hidden" or key == "style" and "display:none" in value.replace(" ", ""):
                     found.add("+gone")
-                elif key == "role" and value in ROLES or key in ("class", "id") and not MARKS.isdisjoint(_TOKEN.findall(value)) and name not in ("body", "html", "article", "main"):
+                elif key == "role" and value in ROLES:
                     found.add("+apart")
+                elif key in ("class", "id") and name not in ("body", "html", "article", "main"):
+                    parts = [_TOKEN.findall(v) for v in value.split()]
+                    marks = MARKS.intersection(w for p in parts if p and p[0] not in LAYOUT for w in p)
+                    if marks:
+                        found.add("+apart" if marks & REMARKS else "+marked")
         return tuple(found)
 
+    def _unmark(self) -> None:
+        """What holds an article or main is its layout, whatever its class or id."""
+        self.stack = [(name, tuple(t for t in traits if t != "+marked")) for name, traits in self.stack]
+        self.open["+marked"] = 0
+
     def _close_within(self, name: str) -> None:
         """Close the last such element, unless a container that was opened inside it is still open."""
         for k in range(len(self.stack) - 1, -1, -1):
@@ -167,7 +184,7 @@ class Page:
         if words:
             o = self.open
             self.blocks.append(
-                Block(" ".join(words), len(words), min(linked, len(words)), o["+apart"] > 0, o["+main"] > 0, any(o[h] for h in HEADINGS), o["li"] > 0)
+                Block(" ".join(words), len(words), min(linked, len(words)), o["+apart"] + o["+marked"] > 0, o["+main"] > 0, any(o[h] for h in HEADINGS), o["li"] > 0)
             )
 
 
@@ -210,6 +227,8 @@ LABELLED = (
     ("<p>Log in</p><p><a href=/p>Password</a></p>", "00"),
     (f"<p>Menu</p><p><a href=/>Start</a></p><p>{_PAPER}</p><p>{_PLAN}</p><p>Imprint</p>", "00110"),
     (f"<article><ul><li>Stones</li><li><a href=/s>Sand and clay from the bay</a></li></ul><h2>End</h2></article><footer><p>{_PAPER}</p></footer>", "111" "0"),
+    (f"<div class='content-sidebar-wrap'><div class=nav><a href=/>Start</a></div><article><h1>Plans</h1><p>{_PAPER}</p><p>Agreed.</p></article><div class=sidebar><p>{_PLAN}</p></div></div>", "0" "111" "0"),
+    (f"<div class='site has-sidebar'><div class='no-comments'><p>{_PAPER}</p><p>{_PLAN}</p></div><div class=widget><p>{_PAPER}</p></div></div>", "11" "0"),
 )
 
 
