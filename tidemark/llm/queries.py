@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, html, mixing, neighbours, pii, quality, simhash, substrings, token_counts, urls
+from tidemark.llm import chat, decontaminate, html, mixing, neighbours, pii, quality, simhash, substrings, token_counts, urls
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -83,6 +83,31 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mixture(_table(spark, sf, "documents"))
 
 
+def op11_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
+    """Every conversation as training text, read back from it: its turns and what is under the loss mask."""
+    probe = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    messages = _table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    rows = chat.format_conversations(messages).withColumns(
+        {"_turns": chat.turns(F.col("formatted")), "_learned": chat.loss_text(F.col("formatted"), F.col("loss"))}
+    )
+    said = F.array_join(F.transform("_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return rows.select(
+        "conv_id",
+        F.size("_turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.char_length("_learned").cast("long").alias("loss_chars"),
+        F.sha2("_learned", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+        F.size("attachments").cast("long").alias("n_attachments"),
+        "attachment_tokens",
+    )
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -94,6 +119,7 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_mixing": op10_mixing,
+    "op11_chat_formatting": op11_chat_formatting,
 }
 
 OP3 = r"""
@@ -180,4 +206,24 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
-SQL: dict[str, str] = {"op3_benchmark_decontamination": OP3, "op7_substring_dedup": OP7, "op10_mixing": OP10}
+OP11 = r"""
+WITH messages AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), measured AS (
+  SELECT *,
+    len(text) + len(regexp_extract_all(text, '<\\*/?s>|\[\\*(/?INST|/?SYS|/?ROLE|IMG|AUDIO|DOC|FILE)\]'))
+      + CASE role WHEN 'user' THEN 13 WHEN 'system' THEN 11 WHEN 'assistant' THEN 4
+        ELSE 17 + len(role) + len(regexp_extract_all(role, '<\\*/?s>|\[\\*(/?INST|/?SYS|/?ROLE|IMG|AUDIO|DOC|FILE)\]')) END AS chars
+  FROM messages
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(len(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(3 + sum(chars) AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS n_attachments, CAST(0 AS BIGINT) AS attachment_tokens
+FROM measured GROUP BY conv_id
+"""
+
+SQL: dict[str, str] = {"op11_chat_formatting": OP11, "op3_benchmark_decontamination": OP3, "op7_substring_dedup": OP7, "op10_mixing": OP10}
