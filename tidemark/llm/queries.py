@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, html, mixing, neighbours, pii, quality, simhash, substrings, token_counts, urls
+from tidemark.llm import chat, decontaminate, html, mixing, neighbours, pii, quality, simhash, substrings, token_counts, urls, whitening
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -108,6 +108,11 @@ def op11_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op12_embedding_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector's whitened components."""
+    return whitening.components(_table(spark, sf, "embeddings"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -120,6 +125,7 @@ QUERIES = {
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_mixing": op10_mixing,
     "op11_chat_formatting": op11_chat_formatting,
+    "op12_embedding_whitening": op12_embedding_whitening,
 }
 
 OP3 = r"""
