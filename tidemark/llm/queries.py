@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, html, mixing, neighbours, pii, quality, simhash, substrings, token_counts, urls, whitening
+from tidemark.llm import (
+    chat,
+    decontaminate,
+    html,
+    mixing,
+    neighbours,
+    pii,
+    quality,
+    simhash,
+    substrings,
+    token_counts,
+    urls,
+    vector_codes,
+    whitening,
+)
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -113,6 +127,11 @@ def op12_embedding_whitening(spark: SparkSession, sf: str) -> DataFrame:
     return whitening.components(_table(spark, sf, "embeddings"))
 
 
+def op13_vector_code_compression(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector's code and error."""
+    return vector_codes.codes(_table(spark, sf, "embeddings"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -126,6 +145,7 @@ QUERIES = {
     "op10_mixing": op10_mixing,
     "op11_chat_formatting": op11_chat_formatting,
     "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_vector_code_compression": op13_vector_code_compression,
 }
 
 OP3 = r"""
@@ -232,4 +252,37 @@ SELECT conv_id, count(*) AS n_turns,
 FROM measured GROUP BY conv_id
 """
 
-SQL: dict[str, str] = {"op11_chat_formatting": OP11, "op3_benchmark_decontamination": OP3, "op7_substring_dedup": OP7, "op10_mixing": OP10}
+_PART = "CAST(len(x) AS BIGINT) // 8"
+OP13_START = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rid, vec_id, label,
+    [CAST(floor(4096 * CAST(c AS DOUBLE)) AS BIGINT) FOR c IN embedding] AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len([c FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0
+), parts AS MATERIALIZED (
+  SELECT rid, vec_id, label, part, x[part * ({_PART}) + 1 : (part + 1) * ({_PART})] AS v FROM kept, range(8) p(part)
+), book0 AS MATERIALIZED (SELECT part, rid - 1 AS entry, v FROM parts WHERE rid <= 16
+)"""
+OP13_ROUND = """, near{0} AS MATERIALIZED (
+  SELECT rid, part, v, arg_min(entry, (away, entry)) AS entry, min(away) AS away FROM (
+    SELECT p.rid, p.part, p.v, b.entry, list_sum([(p.v[i] - b.v[i]) * (p.v[i] - b.v[i]) FOR i IN range(1, len(p.v) + 1)])::BIGINT AS away
+    FROM parts p JOIN book{0} b USING (part)) GROUP BY rid, part, v
+), sum{0} AS (
+  SELECT part, entry, i, sum(v[i])::HUGEINT AS s, count(*)::HUGEINT AS c
+  FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM near{0}) GROUP BY part, entry, i
+), mean{0} AS (
+  SELECT part, entry, list(((s - ((s % c) + c) % c) // c)::BIGINT ORDER BY i) AS v FROM sum{0} GROUP BY part, entry
+), book{1} AS MATERIALIZED (
+  SELECT part, entry, coalesce(m.v, b.v) AS v FROM book{0} b LEFT JOIN mean{0} m USING (part, entry)
+)"""
+OP13_END = """, final AS (
+  SELECT rid, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(away)::BIGINT AS error FROM near6 GROUP BY rid
+), named AS (
+  SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book6
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM kept JOIN final USING (rid), named
+"""
+OP13 = OP13_START + "".join(OP13_ROUND.format(k, k + 1) for k in range(7)) + OP13_END
+
+SQL: dict[str, str] = {
+    "op13_vector_code_compression": OP13,"op11_chat_formatting": OP11, "op3_benchmark_decontamination": OP3, "op7_substring_dedup": OP7, "op10_mixing": OP10}
