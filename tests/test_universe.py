@@ -7,7 +7,7 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import quality, universe
+from tidemark.operators import graph, quality, universe
 from tidemark.operators.graph import connected_components
 from tidemark.params import QualityThresholds
 
@@ -34,6 +34,44 @@ def test_components_against_union_find(spark):
     assert set(got) == {(s, n) for s, a, b in edges if a != b for n in (a, b)}
 
 
+def shape(spark, kind):
+    """(edges over ids that are mixed up, number of nodes, number of components): about 100,000 edges in one component, with one apart."""
+    mixed = lambda c: (F.col(c) * 7919) % 100_003
+    if kind == "star":
+        pairs = spark.range(1, 100_001).select(F.lit(0).alias("a"), F.col("id").alias("b"))
+    elif kind == "chain":
+        pairs = spark.range(100_000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    else:
+        nodes = spark.range(450)
+        pairs = nodes.select(F.col("id").alias("a")).join(nodes.select(F.col("id").alias("b")), F.expr("a < b"))
+    apart = spark.createDataFrame([(200_000, 200_001), (200_002, 200_002)], "a long, b long")
+    return pairs.select(mixed("a").alias("a"), mixed("b").alias("b")).unionByName(apart)
+
+
+@pytest.mark.parametrize(("kind", "nodes"), [("star", 100_001), ("chain", 100_001), ("clique", 450)])
+def test_large_components(spark, kind, nodes):
+    labels = connected_components(shape(spark, kind), [], "a", "b")
+    sizes = {r.component: r["count"] for r in labels.groupBy("component").count().collect()}
+    assert sizes == {0: nodes, 200_000: 2}
+
+
+def test_no_slot_holds_a_hub(spark):
+    links = shape(spark, "star").filter("a <> b").select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("node"))
+    least = links.groupBy("node").agg(F.min("node").alias("least"), F.count("*").alias("degree"))
+    met = graph.salted(links, [], "node", "high", least, 200_000)
+    assert met.count() == links.count() and set(met.columns) == {"high", "node", "least"}
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert "_slot" in plan
+    slots = links.withColumn("slot", F.pmod(F.xxhash64("high"), F.lit(200)).cast("int")).groupBy("node", "slot").count()
+    assert slots.agg(F.max("count")).first()[0] < 2 * graph.HUB
+
+
+def test_components_of_nothing(spark):
+    for rows in ([], [(1, 1)], [(None, 2), (3, None)]):
+        edges = spark.createDataFrame(rows, "a int, b int")
+        assert connected_components(edges, [], "a", "b").collect() == []
+
+
 @pytest.mark.parametrize(
     ("values", "length", "want"), [([5, 1], 4, 0.5), ([5, 1, 3], 3, 3), ([], 4, 0), ([1, 2, 3, 10], 4, 2.5)]
 )

@@ -31,3 +31,14 @@ def scratch(spark: SparkSession) -> str:
     """The name of a new folder below the shared checkpoint folder."""
     ensure_folder(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows, written below the shared checkpoint folder and read again.
+
+    For loops: unlike after `cut`, sizes come from the files, and nothing the optimizer inferred in earlier rounds is carried
+    along. The files stay until the folder is cleared.
+    """
+    folder = scratch(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
