@@ -4,7 +4,8 @@ import random
 
 CLASHING = (
     "fp component_id least a b row n_words hit_starts items bucket block tokens sums anchor version packed starts spans base "
-    "kind score held_out predicted _quality _label size source_size target copies copy place key ordering embedding vid rank"
+    "kind score held_out predicted _quality _label size source_size target copies copy place key ordering embedding vid rank "
+    "_id _tid _fp _row _copies _group _least copy_"
 ).split()
 WORDS = "the of and harbour stone wall sea storm vote plan council money Zürich été naïve 北京 mail".split()
 

@@ -60,7 +60,7 @@ def test_odd_texts(odd_docs, no_docs):
 
 
 def test_the_mix_holds_every_copy(spark, odd_docs, tmp_path):
-    odd_docs.drop("copy").write.parquet(str(tmp_path / "docs"))
+    odd_docs.write.parquet(str(tmp_path / "docs"))
     stored = spark.read.parquet(str(tmp_path / "docs"))
     mixed = mixing.mix(stored).collect()
     want = Counter()

@@ -4,10 +4,11 @@ from collections import Counter, defaultdict
 
 import pytest
 from compare import connect, duck_rows, spark_rows
+from conftest_texts import CLASHING, odd_texts
 from test_decontaminate import slow
 from test_mixing import slow_targets
+from test_near_copies import slow_kept
 from test_pii import slow_base
-from test_simhash import slow_fingerprint, slow_groups
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -21,15 +22,15 @@ def test_query_matches_sql(spark, sf, name):
 
 def test_registration():
     registered = entry.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in registered) == 1
     assert "pipeline" in registered and set(queries.SQL) <= set(entry.oracle_sql())
 
 
-def test_stages(spark, sf, tmp_path):
+def test_stages_and_run(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     benchmark = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    texts = {}
+    texts, mix = {}, []
     for at, (name, stage) in enumerate(corpus_pipeline.STAGES):
         before = {r.doc_id: r for r in docs.collect()}
         columns = docs.columns
@@ -44,11 +45,7 @@ def test_stages(spark, sf, tmp_path):
             model = quality.fit(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
             assert ids == {i for i, r in before.items() if model.scores([r.text.encode()])[0] >= 0.3} and 0 < len(ids) < len(before)
         if name == "near_dedup":
-            fps = {i: slow_fingerprint(r.text) for i, r in before.items()}
-            label, least = slow_groups(list(fps.values())), {}
-            for i, f in sorted(fps.items()):
-                least.setdefault(label[f], i)
-            assert ids == set(least.values())
+            assert ids == {i for i, _ in slow_kept([(i, r.text) for i, r in before.items()])} and len(ids) < len(before)
         if name == "decontamination":
             assert ids == {i for i, r in before.items() if not slow(r.text, benchmark)[1]}
         if name == "pii":
@@ -68,7 +65,26 @@ def test_stages(spark, sf, tmp_path):
                 words[r.source] += len(r.text.split())
             largest = max(len(r.text.split()) for r in before.values())
             assert all(abs(words[s] - t) <= largest for s, t in slow_targets(dict(sizes)).items())
+            mix = sorted(tuple(r) for r in after)
+    assert mix and sorted(tuple(r) for r in corpus_pipeline.run(spark, sf).collect()) == mix
 
 
-def test_run_gives_what_the_stages_give(spark, sf):
-    assert corpus_pipeline.run(spark, sf).count() > 0
+def odd_folder(docs, spark, sf, tmp_path):
+    """A folder of tables with the odd texts as documents."""
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    return str(tmp_path)
+
+
+def test_run_keeps_clashing_columns(spark, sf, odd_docs, tmp_path):
+    folder = odd_folder(odd_docs, spark, sf, tmp_path)
+    mixed = corpus_pipeline.run(spark, folder)
+    assert [c for c in mixed.columns if c != "copy__"] == odd_docs.columns
+    rows = mixed.collect()
+    assert rows and all(r[c] == "clash" for r in rows for c in CLASHING)
+    assert {r.doc_id for r in rows} <= {i for i, _ in odd_texts()}
+
+
+def test_run_of_no_documents(spark, sf, no_docs, tmp_path):
+    assert corpus_pipeline.run(spark, odd_folder(no_docs, spark, sf, tmp_path)).collect() == []

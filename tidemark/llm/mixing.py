@@ -14,6 +14,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.names import unused
 from tidemark.llm.ranks import numbered
 from tidemark.sources.checkpoints import cut
 
@@ -84,16 +85,18 @@ def copies(rows: DataFrame, weights=WEIGHTS, share: Fraction = SHARE, most: int
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with a number for each copy (copy: from 1).
+    """The documents of the mix, each as often as it is taken, with a number for each copy (copy: from 1; copy_ where the documents
+    have a column of that name; their own columns are unchanged).
 
     Null texts have size 0 and, like empty ones, take no words; null sources are one source, last in order. Repeated rows and rows with
     a null doc_id are documents of their own. A source without words has target 0 and gives no documents; an empty table gives
     none. `docs` must give the same rows when read again (a stored table): its rows are matched by place.
     """
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    small = rows.select("_row", F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size(F.col(text)).alias("size"))
-    taken = copies(cut(small), **options).filter("copies > 0").select("_row", F.col("copies").alias("_copies"))
-    return rows.join(taken, "_row").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).drop("_row", "_copies")
+    row, copies_, copy = unused(docs, "_row", "_copies", "copy")
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    small = rows.select(F.col(row).alias("_row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size(F.col(text)).alias("size"))
+    taken = copies(cut(small), **options).filter("copies > 0").select(F.col("_row").alias(row), F.col("copies").alias(copies_))
+    return rows.join(taken, row).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), copies_))).drop(row, copies_)
 
 
 def mixture(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.names import unused
 from tidemark.llm.texts import WordHashes, pieces, utf8
 
 THRESHOLD = 0.3
@@ -297,6 +298,7 @@ def quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: st
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, **options) -> DataFrame:
-    """The documents that are not rejected, unchanged."""
+    """The documents that are not rejected, with all their columns unchanged, whatever these are called."""
     model = fit(docs, labels, doc_id, text, **options)
-    return scored(docs, model, text, "_quality").filter(F.col("_quality") >= threshold).drop("_quality")
+    (quality,) = unused(docs, "_quality")
+    return scored(docs, model, text, quality).filter(F.col(quality) >= threshold).drop(quality)

@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.names import unused
 from tidemark.llm.texts import LOWER_AZ, signed, utf8
 from tidemark.operators.graph import connected_components
 from tidemark.sources.checkpoints import cut
@@ -340,7 +341,8 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dist
     without an id all stay.
     """
     groups = near_duplicates(docs, doc_id, text, distance, shingle_words).filter("doc_id <> component_id")
-    gone = groups.select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")).distinct()
+    id_, fp_ = unused(docs, "_id", "_fp")
+    gone = groups.select(F.col("doc_id").alias(id_), F.col("fp").alias(fp_)).distinct()
 
     @F.pandas_udf("long")
     def marked(texts):
@@ -349,6 +351,6 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dist
         fps = np.fromiter((fingerprint((t or "").encode(), shingle_words) for t in texts), np.uint64, len(texts))
         return pd.Series(signed(fps))
 
-    named = docs.filter(F.col(doc_id).isNotNull()).withColumn("_id", F.col(doc_id).cast("long")).withColumn("_fp", marked(F.col(text)))
-    kept = named.join(gone, ["_id", "_fp"], "left_anti").dropDuplicates(["_id", "_fp"])
+    named = docs.filter(F.col(doc_id).isNotNull()).withColumn(id_, F.col(doc_id).cast("long")).withColumn(fp_, marked(F.col(text)))
+    kept = named.join(gone, [id_, fp_], "left_anti").dropDuplicates([id_, fp_])
     return kept.select(*docs.columns).unionByName(docs.filter(F.col(doc_id).isNull()))
