@@ -7,7 +7,7 @@ from decimal import Decimal as D
 
 import pytest
 
-from tidemark.operators import analytics, portfolio, scoring
+from tidemark.operators import analytics, net_value, portfolio, scoring
 from tidemark.params import Costs
 
 COSTS = Costs()
@@ -18,22 +18,31 @@ def cost(n, u, bps):
     return n * bps / 10_000 + min(max(n / u * 0.005, 1.0), n * 0.01)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_net_nav_equals_a_loop_over_months(spark, seed):
+def invested(seed, count=40, dates=DATES):
+    """(factors, deltas, {date: (growth, orders)}): weights near the kinks of the commission rule, tiny ones, and cheap shares."""
     rng = random.Random(seed)
-    factors, deltas, months = [], [], {}
-    gross = 100_000.0
-    for i, d in enumerate(DATES):
+    factors, deltas, months, gross = [], [], {}, 100_000.0
+    for i, d in enumerate(dates):
         g = 1.0 if i == 0 else rng.uniform(0.9, 1.12)
         gross *= g
         factors.append(("s", d, g, gross))
-        # Weights near the kinks of the commission rule, tiny ones, and cheap shares.
-        orders = [(rng.choice([1e-8, 5e-4, 1e-3, 2e-3, 0.02, 0.2]) * rng.uniform(0.8, 1.2), rng.choice([0.3, 0.5, 5.0, 60.0])) for _ in range(40)]
+        orders = [(rng.choice([1e-7, 5e-4, 1e-3, 2e-3, 0.02, 0.2]) * rng.uniform(0.8, 1.2) * 40 / count, rng.choice([0.3, 0.5, 5.0, 60.0])) for _ in range(count)]
         months[d] = (g, orders)
         deltas += [("s", d, j, w * rng.choice([-1, 1]), u) for j, (w, u) in enumerate(orders)]
+    return factors, deltas, months
+
+
+def frames(spark, factors, deltas):
     f = spark.createDataFrame(factors, "strategy string, decision_date date, growth_in double, nav_before double")
-    o = spark.createDataFrame(deltas, "strategy string, decision_date date, security_id int, delta double, unadjusted double")
-    got = {(r.slippage, r.decision_date): r for r in portfolio.net_nav(o, f, COSTS).collect()}
+    return spark.createDataFrame(deltas, "strategy string, decision_date date, security_id int, delta double, unadjusted double"), f
+
+
+# Without passes nearly all orders stay single and maps have many pieces; with a month to a segment only the chain carries values.
+@pytest.mark.parametrize(("seed", "passes", "length"), [(0, 3, 12), (1, 0, 12), (2, 1, 7), (3, 2, 1), (4, 3, 100)])
+def test_net_nav_equals_a_loop_over_months(spark, seed, passes, length):
+    factors, deltas, months = invested(seed)
+    got = {(r.slippage, r.decision_date): r for r in net_value.net_nav(*frames(spark, factors, deltas), COSTS, passes, length).collect()}
+    assert len(got) == 3 * len(DATES)
     for name, bps in COSTS.slippage_bps:
         nav = 100_000.0
         for d, (g, orders) in months.items():
@@ -46,6 +55,28 @@ def test_net_nav_equals_a_loop_over_months(spark, seed):
             assert math.isclose(r.nav_after, nav, rel_tol=1e-9)
 
 
+def test_passes_leave_few_orders_single(spark):
+    factors, deltas, _ = invested(5)
+    left = [net_value.refined(*frames(spark, factors, deltas), COSTS, passes)[1].count() for passes in range(4)]
+    assert left[0] > 300 and left == sorted(left, reverse=True) and left[3] <= 15
+
+
+def test_bounds_hold_the_value(spark):
+    factors, deltas, _ = invested(6)
+    pair = frames(spark, factors, deltas)
+    months, _ = net_value.refined(*pair, COSTS)
+    got = months.join(net_value.net_nav(*pair, COSTS), net_value.CASE).collect()
+    assert len(got) == 3 * len(DATES) and all(r.lo <= r.nav_before <= r.hi and r.hi / r.lo < 1.001 for r in got)
+
+
+def test_months_without_orders_and_no_months(spark):
+    factors, deltas, _ = invested(7, dates=DATES[:14])
+    o, f = frames(spark, factors, deltas)
+    idle = net_value.net_nav(o.limit(0), f, COSTS).collect()
+    assert len(idle) == 42 and all(r.costs == 0 and math.isclose(r.nav_after, dict((d, g) for _, d, _, g in factors)[r.decision_date], rel_tol=1e-12) for r in idle)
+    assert net_value.net_nav(o, f.limit(0), COSTS).collect() == []
+
+
 def test_commission_minimum_comes_before_the_cap(spark):
     rows = spark.createDataFrame([(10_000.0, 50.0), (50.0, 50.0), (10_000.0, 0.1)], "n double, u double")
     from pyspark.sql import functions as F

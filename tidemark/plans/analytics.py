@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.memo import per_session
 from tidemark.functions.numeric import out
-from tidemark.operators import analytics, portfolio
+from tidemark.operators import analytics, net_value, portfolio
 from tidemark.plans.portfolio import COSTS, build_panel
 from tidemark.plans.universe import trading_price
 from tidemark.sources import panel
@@ -83,7 +83,7 @@ def calendar_year_table(spark: SparkSession, sf: str) -> DataFrame:
 def strategy_summary(spark: SparkSession, sf: str) -> DataFrame:
     """One row per strategy and cost case: figures of the net value with turnover and costs."""
     p = build_panel(spark, sf)
-    net = portfolio.net_nav(p.deltas, p.factors, COSTS)
+    net = net_value.net_nav(p.deltas, p.factors, COSTS)
     start = net.select("strategy", "slippage", "decision_date", "nav_after")
     name = F.concat_ws("/", "strategy", "slippage")
     nav = portfolio.daily_nav(p.grown, start, "nav_after").select(name.alias("series"), "day", "nav")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.hashing import fingerprint, row_text
 from tidemark.functions.memo import per_session
 from tidemark.functions.numeric import out
-from tidemark.operators import portfolio, reports, scoring
+from tidemark.operators import net_value, portfolio, reports, scoring
 from tidemark.params import Costs
 from tidemark.plans.scoring import SWEEP, holdings, members, ranked, sweep_dates, trend_of_sweep
 from tidemark.plans.universe import status_in_effect, trading_price
@@ -81,7 +81,7 @@ def order_costs(spark: SparkSession, sf: str) -> DataFrame:
 def net_nav(spark: SparkSession, sf: str) -> DataFrame:
     """Value before and after costs at every decision date."""
     p = build_panel(spark, sf)
-    rows = portfolio.net_nav(p.deltas, p.factors, COSTS)
+    rows = net_value.net_nav(p.deltas, p.factors, COSTS)
     return rows.select(
         "strategy", "slippage", "decision_date",
         *net_figures(),
@@ -90,7 +90,7 @@ def net_nav(spark: SparkSession, sf: str) -> DataFrame:
 
 def rebalance_summary(spark: SparkSession, sf: str) -> DataFrame:
     p = build_panel(spark, sf)
-    net = portfolio.net_nav(p.deltas, p.factors, COSTS)
+    net = net_value.net_nav(p.deltas, p.factors, COSTS)
     rows = portfolio.rebalance_summary(
         net, p.deltas, p.holdings, ranked(spark, sf, SWEEP), members(spark, sf),
         scoring.strategy_table(spark, SWEEP),
@@ -150,7 +150,7 @@ def _run_results(net: DataFrame) -> DataFrame:
 def run_store(spark: SparkSession, sf: str) -> str:
     """A folder with the records of one run per strategy and case. One record is not what the computation gives: the value
     of one date was changed before it was written."""
-    net = cut(portfolio.net_nav(build_panel(spark, sf).deltas, build_panel(spark, sf).factors, COSTS))
+    net = cut(net_value.net_nav(build_panel(spark, sf).deltas, build_panel(spark, sf).factors, COSTS))
     wrong = (F.col("strategy") == "momentum-v1") & (F.col("slippage") == "base")
     first = net.agg(F.min("decision_date").alias("_first"))
     written = net.join(F.broadcast(first)).withColumn(  # one row
@@ -183,7 +183,7 @@ def reproducibility(spark: SparkSession, sf: str) -> DataFrame:
     """Stored runs against the computation repeated: which results are the same."""
     stored = spark.read.schema(RUNS).parquet(run_store(spark, sf))
     p = build_panel(spark, sf)
-    again = _run_results(portfolio.net_nav(p.deltas, p.factors, COSTS))
+    again = _run_results(net_value.net_nav(p.deltas, p.factors, COSTS))
     keys = ["strategy_version", "slippage_case"]
     pairs = stored.select(*keys, F.col("result_sha256").alias("_stored")).join(again.select(*keys, "result_sha256"), keys, "full")
     return pairs.select(*keys, F.col("_stored").eqNullSafe(F.col("result_sha256")).alias("same"))
