@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import out
+from tidemark.operators import order_batch as sequence
 from tidemark.operators import orders, risk
 from tidemark.params import RiskLimits
 from tidemark.sources import panel
@@ -210,7 +211,7 @@ def fired_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 def order_batch(spark: SparkSession, sf: str) -> DataFrame:
     """The same orders in sequence per portfolio."""
-    rows = risk.check_batch(risk_rows(spark, sf), risk_positions(spark, sf), LIMITS)
+    rows = sequence.check_batch(risk_rows(spark, sf), risk_positions(spark, sf), LIMITS)
     return rows.select("portfolio", "place", "order_id", "symbol", "side", "reason_code", "result")
 
 
