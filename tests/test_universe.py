@@ -1,7 +1,7 @@
 """Graph groups, median, quality lag, funnel pieces on small data."""
 
 import random
-from datetime import date
+from datetime import date, timedelta
 from decimal import Decimal as D
 
 import pytest
@@ -81,6 +81,42 @@ def test_median_counts_missing_days_as_zero(spark, values, length, want):
     assert got == want
 
 
+def windows(spark, rng, count, straight):
+    """Dates with windows of some days; `straight` ones move forward together, others lie anyhow."""
+    days = [date(2005, 1, 1) + timedelta(days=30 * k if straight else rng.randrange(900)) for k in range(count)]
+    rows = [(date(2010, 1, 1) + timedelta(days=k), d, d + timedelta(days=rng.randrange(1, 120))) for k, d in enumerate(days)]
+    return rows, spark.createDataFrame(rows, "as_of date, first date, last date")
+
+
+@pytest.mark.parametrize(("seed", "straight"), [(1, True), (2, False), (3, False)])
+def test_covering_runs_by_brute_force(spark, seed, straight):
+    rng = random.Random(seed)
+    rows, dates = windows(spark, rng, 40, straight)
+    starts = [date(2004, 6, 1) + timedelta(days=rng.randrange(1500)) for _ in range(60)]
+    runs = [(i, d, d + timedelta(days=rng.randrange(-10, 700))) for i, d in enumerate(starts)]
+    runs += [(100, None, date(2020, 1, 1)), (101, date(2000, 1, 1), None), (7, date(2005, 1, 1), date(2005, 3, 1))]
+    frame = spark.createDataFrame(runs, "id int, first_date date, last_date date").repartition(3)
+    got = {r.as_of: r.run_id for r in universe.covering_runs(dates, frame).collect()}
+    want = {a: max((i for i, x, y in runs if x and y and x <= f and y >= t), default=None) for a, f, t in rows}
+    assert got == want and len(set(want.values())) > 3
+    assert {r.run_id for r in universe.covering_runs(dates, frame.limit(0)).collect()} == {None}
+    assert universe.covering_runs(dates.limit(0), frame).collect() == []
+
+
+def test_a_million_runs_meet_dates_by_equality(spark):
+    rows, dates = windows(spark, random.Random(9), 60, True)
+    start = F.date_add(F.lit(date(2004, 1, 1)), (F.xxhash64("id") % 1500 + 1500).cast("int"))
+    runs = spark.range(1_000_000).select("id", start.alias("first_date"))
+    runs = runs.withColumn("last_date", F.date_add("first_date", (F.xxhash64("id", F.lit(1)) % 200).cast("int")))
+    found = universe.covering_runs(dates, runs)
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r.as_of: r.run_id for r in found.collect()}
+    listed = runs.toPandas()
+    for a, f, t in rows:
+        held = listed[(listed.first_date <= f) & (listed.last_date >= t)].id
+        assert got[a] == (None if held.empty else held.max())
+
+
 def prices(spark, rows):
     data = [(1, d, *([D(c)] * 6), 1000, "x", "v") for d, c in rows]
     from tidemark.schemas import DAILY_PRICE

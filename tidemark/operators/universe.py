@@ -72,11 +72,52 @@ def flagged(spark: SparkSession, findings: DataFrame, dates: DataFrame, length:
 def covering_runs(dates: DataFrame, runs: DataFrame) -> DataFrame:
     """[as_of, run_id]: for every date the newest quality run whose range covers its [first, last], or null.
 
-    dates: [as_of, first, last], a calendar's worth; runs: [id, first_date, last_date], which may be many: the dates go to
-    them, and one partially aggregated maximum comes back.
+    dates: [as_of, first, last], a calendar's worth; runs: [id, first_date, last_date], which may be many. A run's ends are looked up
+    in a table of days and become the places of the earliest first and the latest last that it holds, so runs shrink to one per pair of
+    places before anything else. A run counts for the blocks of 1, 2, 4, ... places around its first; a date asks the
+    few blocks that make up all places up to its own, and in each block a running maximum from the latest last down answers.
     """
-    held = (F.col("first_date") <= F.col("first")) & (F.col("last_date") >= F.col("last"))
-    newest = runs.join(F.broadcast(dates), held).groupBy("as_of").agg(F.max("id").alias("run_id"))
+    span = dates.agg(F.min("first"), F.max("last")).first()
+    if span[0] is None:
+        return dates.select("as_of", F.lit(None).cast(runs.schema["id"].dataType).alias("run_id"))
+    low, high = (F.lit(day) for day in span)
+    by_day = W.orderBy("day")  # a calendar's worth of rows
+
+    def places(end: str) -> DataFrame:
+        ends = dates.select(F.col(end).alias("day")).distinct()
+        return ends.withColumn("_at", F.row_number().over(by_day) - 1)
+
+    days = dates.sparkSession.range(1).select(F.explode(F.sequence(low, high)).alias("day"))
+    firsts, lasts = places("first"), places("last")
+    later = F.min("_at").over(by_day.rowsBetween(0, W.unboundedFollowing)).alias("_first")
+    earlier = F.max("_at").over(by_day.rowsBetween(W.unboundedPreceding, 0)).alias("_last")
+    from_day = days.join(firsts, "day", "left").select(F.col("day").alias("_from"), later)
+    to_day = days.join(lasts, "day", "left").select(F.col("day").alias("_to"), earlier)
+    cells = (
+        runs.filter("first_date IS NOT NULL AND last_date IS NOT NULL")
+        .select("id", F.greatest("first_date", low).alias("_from"), F.least("last_date", high).alias("_to"))
+        .join(F.broadcast(from_day), "_from")
+        .join(F.broadcast(to_day), "_to")
+        .filter("_first IS NOT NULL AND _last IS NOT NULL")
+        .groupBy("_first", "_last")
+        .agg(F.max("id").alias("id"))
+    )
+    levels = F.sequence(F.lit(0), F.lit((span[1] - span[0]).days.bit_length()))
+    held = cells.withColumn("level", F.explode(levels)).withColumn("block", F.expr("shiftright(_first, level)"))
+    held = held.groupBy("level", "block", "_last").agg(F.max("id").alias("id"))
+    asked = (
+        dates.join(firsts.select(F.col("day").alias("first"), (F.col("_at") + 1).alias("_n")), "first")
+        .join(lasts.select(F.col("day").alias("last"), F.col("_at").alias("_last")), "last")
+        .withColumn("level", F.explode(levels))
+        .filter("shiftright(_n, level) % 2 = 1")
+        .select("as_of", "level", F.expr("shiftright(_n, level) - 1").alias("block"), "_last")
+    )
+    down = W.partitionBy("level", "block").orderBy(F.desc("_last")).rangeBetween(W.unboundedPreceding, 0)
+    both = held.withColumn("as_of", F.lit(None).cast(dates.schema["as_of"].dataType)).unionByName(
+        asked.withColumn("id", F.lit(None).cast(runs.schema["id"].dataType))
+    )
+    found = both.withColumn("_newest", F.max("id").over(down)).filter("as_of IS NOT NULL")
+    newest = found.groupBy("as_of").agg(F.max("_newest").alias("run_id"))
     return dates.select("as_of").join(newest, "as_of", "left")
 
 
