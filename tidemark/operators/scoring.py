@@ -100,9 +100,10 @@ def low_volatility_scores(
 ) -> DataFrame:
     """[security_id, decision_date, kind, score]: minus the population deviation of daily returns.
 
-    The window holds lookback + 1 trading days and needs closes on 80% of `lookback`. One lag per
-    security (bounded by the calendar) gives the returns; each then meets the windows it lies in
-    through a broadcast equi-join on the day, and partial aggregates do the rest.
+    The window holds lookback + 1 trading days and needs closes on 80% of `lookback`. Where a window begins or has ended, the calendar
+    is cut into blocks, so a window is a run of whole blocks. Every price goes into one block: per security and block a count, the
+    least close and the moments of the returns within it are kept, and apart from them the return that leads into the
+    block, which counts for a window only if the close before it does. Blocks, not prices, meet the windows over them.
     """
     w = dates.select(
         "decision_date", "td_index", F.col("prev_td").alias("window_end"),
@@ -111,27 +112,50 @@ def low_volatility_scores(
     w = calendar.shift_back(w, F.col("td_index") - F.col("lookback"), "window_start", spark).filter(
         "window_start IS NOT NULL"
     )
-    cover = w.select(
-        "decision_date", "lookback", "window_start",
-        F.explode(F.sequence("window_start", "window_end")).alias("price_date"),
-    )
+    days = w.select(
+        "decision_date", "lookback", "window_start", F.explode(F.sequence("window_start", "window_end")).alias("price_date")
+    )
+    edges = w.select(F.explode(F.array("window_start", F.date_add("window_end", 1))).alias("price_date")).distinct()
+    marked = days.select("price_date").distinct().join(edges.withColumn("_edge", F.col("price_date")), "price_date", "left")
+    so_far = W.orderBy("price_date")  # a calendar's worth of rows
+    blocks = marked.select("price_date", F.max("_edge").over(so_far).alias("block"))
+    cover = days.join(blocks, "price_date").select("decision_date", "lookback", "window_start", "block").distinct()
+
     by_day = W.partitionBy("security_id").orderBy("price_date")
     close = F.col("adjusted_close").cast("double")
     moves = prices.select(
         "security_id", "price_date", close.alias("close"),
         F.lag("price_date").over(by_day).alias("prev_date"),
-        F.try_divide(close, F.lag(close).over(by_day)).alias("_ratio"),
+        (F.try_divide(close, F.lag(close).over(by_day)) - 1).alias("move"),
+    )
+    within = F.when(F.col("prev_date") >= F.col("block"), F.col("move"))
+    led_in = F.when(F.col("prev_date") < F.col("block"), F.struct("price_date", "prev_date", "move"))
+    moments = (
+        moves.join(F.broadcast(blocks), "price_date")
+        .groupBy("security_id", "block")
+        .agg(
+            F.count("*").alias("closes"), F.min("close").alias("low"), F.count(within).alias("n"),
+            F.coalesce(F.avg(within), F.lit(0.0)).alias("mean"), F.coalesce(F.var_pop(within), F.lit(0.0)).alias("variance"),
+            F.min(led_in).alias("led"),
+        )
     )
-    inside = F.col("prev_date") >= F.col("window_start")
+    first = F.when(F.col("led.prev_date") >= F.col("window_start"), F.col("led.move"))
+    n = F.sum("n") + F.count(first)
+    total = F.sum(F.col("n") * F.col("mean")) + F.coalesce(F.sum(first), F.lit(0.0))
+    squares = F.sum(F.col("n") * F.col("mean") * F.col("mean")) + F.coalesce(F.sum(first * first), F.lit(0.0))
     stats = (
-        moves.join(F.broadcast(cover), "price_date")
+        moments.join(F.broadcast(cover), "block")
         .groupBy("security_id", "decision_date", "lookback")
         .agg(
-            F.count("*").alias("_n"),
-            F.min("close").alias("_low"),
-            F.stddev_pop(F.when(inside, F.col("_ratio") - 1)).alias("_dev"),
+            F.sum("closes").alias("_n"), F.min("low").alias("_low"), n.alias("_moves"), total.alias("_total"),
+            squares.alias("_squares"), F.sum(F.col("n") * F.col("variance")).alias("_within"),
         )
-    )
+    )
+    # What the means of blocks differ by; next to nothing is the rounding of equal means.
+    between = F.col("_squares") - F.try_divide(F.col("_total") * F.col("_total"), F.col("_moves"))
+    between = F.when(between > F.col("_squares") * 1e-13, between).otherwise(0.0)
+    deviation = F.sqrt(F.try_divide(F.col("_within") + between, F.col("_moves")))
+    stats = stats.withColumn("_dev", F.when(F.col("_moves") > 0, deviation))
     enough = (F.col("_n") >= F.floor(F.col("lookback") * 4 / 5)) & (F.col("_low") > 0)
     kind = F.concat_ws("_", F.lit("low_volatility"), "lookback")
     return stats.filter(enough & F.col("_dev").isNotNull()).select(
