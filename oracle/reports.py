@@ -6,16 +6,14 @@ from __future__ import annotations
 from oracle import universe  # noqa: F401
 from oracle.views import VIEWS, build
 
-FROM_DAY, TO_DAY = "DATE '1998-06-01'", "DATE '2001-03-31'"
-
-VIEWS["monthly"] = f"""
-SELECT security_id, screening_date, status, reason, dense_rank() OVER (ORDER BY screening_date) AS m FROM classification WHERE screening_date <= {TO_DAY}
+VIEWS["monthly"] = """
+SELECT security_id, screening_date, status, reason, dense_rank() OVER (ORDER BY screening_date) AS m FROM classification
 """
 VIEWS["recorded"] = "SELECT *, (SELECT max(b.m) FROM monthly b WHERE b.security_id = a.security_id AND b.m < a.m) AS earlier FROM monthly a"
 VIEWS["step"] = """
 SELECT r.security_id, r.screening_date, o.screening_date AS since, o.status AS was, r.status AS now, r.reason FROM recorded r JOIN monthly o ON o.security_id = r.security_id AND o.m = r.earlier
 """
-VIEWS["turn"] = f"SELECT * FROM step WHERE was <> now AND since >= {FROM_DAY}"
+VIEWS["turn"] = "SELECT * FROM step WHERE was <> now"
 VIEWS["newest"] = "SELECT * FROM monthly WHERE m = (SELECT max(m) FROM monthly)"
 VIEWS["cal_month"] = "SELECT security_id, status, year(screening_date) * 12 + month(screening_date) AS k, screening_date FROM monthly WHERE status = 'UNKNOWN'"
 VIEWS["run"] = """
@@ -24,7 +22,7 @@ FROM (SELECT * FROM cal_month x WHERE NOT EXISTS (SELECT 1 FROM cal_month y WHER
 JOIN (SELECT * FROM cal_month x WHERE NOT EXISTS (SELECT 1 FROM cal_month y WHERE y.security_id = x.security_id AND y.k = x.k - 1)) b ON b.security_id = e.security_id AND b.k <= e.k
 GROUP BY e.security_id, e.k, e.screening_date
 """
-VIEWS["yearly"] = f"SELECT CAST(year(screening_date) AS BIGINT) AS year, screening_date, status FROM monthly WHERE screening_date >= {FROM_DAY}"
+VIEWS["yearly"] = "SELECT CAST(year(screening_date) AS BIGINT) AS year, screening_date, status FROM monthly"
 VIEWS["cause"] = """
 SELECT * FROM (VALUES ('market_value:missing%', 'no_market_value'), ('market_value:not%', 'bad_market_value'), ('sheet:none%', 'no_filing'), ('income:none%', 'no_filing'), ('sheet:too%', 'old_filing'),
   ('income:too%', 'old_filing'), ('debt:missing%', 'missing_figure'), ('sheet_values%', 'missing_figure'), ('debt:negative%', 'negative_figure'), ('cash:negative%', 'negative_figure'),
