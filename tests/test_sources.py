@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import crosscheck, reports, scoring
 from tidemark.sources import panel, readers, sinks
+from tidemark.streaming import prices
 
 
 @pytest.fixture
@@ -23,6 +24,67 @@ def test_missing_column_is_refused(spark, folder):
     assert rows.dtypes == [("open", "string"), ("ticker", "string")]
 
 
+def test_cells_go_by_name_in_every_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("ticker,date,close\nA,2020-01-02,1\n")
+    (tmp_path / "b.csv").write_text('date,note,ticker,close\n2020-01-03,"x, y",B,2\n2020-01-04,n,C\n2020-01-05,n,D,4,5\n')
+    (tmp_path / "with space.csv").write_text("close,ticker,date\n")
+    (tmp_path / "empty.csv").write_text("")
+    columns = ("ticker", "date", "close")
+    assert sorted(map(tuple, readers.read_vendor_csv(spark, str(tmp_path), columns).filter("ticker < 'C'").collect())) == [("A", "2020-01-02", "1"), ("B", "2020-01-03", "2")]
+    got = {r.ticker: (r.date, r.close, r.bad) for r in readers.read_vendor_csv(spark, str(tmp_path), columns, "bad").collect()}
+    assert got == {
+        "A": ("2020-01-02", "1", None), "B": ("2020-01-03", "2", None), "C": ("2020-01-04", None, "2020-01-04,n,C"), "D": ("2020-01-05", "4", "2020-01-05,n,D,4,5"),
+    }
+    (tmp_path / "c.csv").write_text("ticker,close\nE,5\n")
+    with pytest.raises(readers.MissingColumns, match=r"date in .*c\.csv"):
+        readers.read_vendor_csv(spark, str(tmp_path), columns)
+
+
+DROP = "ticker,date,open,high,low,close,volume,closeadj,closeunadj,position"
+
+
+def drop(folder, name, rows, header=DROP):
+    """A drop of (ticker, day, close, position) with its columns in the header's order."""
+    folder.mkdir(exist_ok=True)
+    lines = [header]
+    for ticker, day, close, position in rows:
+        cells = {**dict.fromkeys(("open", "high", "low", "close", "closeadj", "closeunadj"), close), "ticker": ticker, "date": day, "volume": "10", "position": position}
+        lines.append(",".join(cells.get(c, "?") for c in header.split(",")))
+    (folder / name).write_text("\n".join(lines) + "\n")
+
+
+def test_price_drops_by_name_and_after_a_failure(spark, tmp_path, monkeypatch):
+    periods = spark.createDataFrame([(1, "A", date(2000, 1, 1), None), (2, "B", date(2000, 1, 1), None)], "security_id bigint, ticker string, valid_from date, valid_to date")
+    drops, table, rejects = tmp_path / "drops", str(tmp_path / "table"), str(tmp_path / "rejects")
+    run = lambda: prices.ingest_price_drops(spark, str(drops), periods, table, rejects, str(tmp_path / "state"))
+    stored = lambda: sorted((r.security_id, r.price_date.day, float(r.close), r.batch) for r in spark.read.parquet(table).collect())
+    drop(drops, "1.csv", [("A", "2020-01-02", "5", "1"), ("A", "2020-01-03", "6", "2"), ("Z", "2020-01-03", "6", "3")])
+    run()
+    assert stored() == [(1, 2, 5.0, 0), (1, 3, 6.0, 0)]
+    # The next batch dies after its rows are in the table: permuted columns, an extra one, a file without `close`, a short line.
+    drop(drops, "2.csv", [("B", "2020-01-02", "7", "4"), ("A", "2020-01-03", "9", "5")], ",".join(["extra", *reversed(DROP.split(","))]))
+    drop(drops, "3.csv", [("B", "2020-01-06", "8", "6")], DROP.replace("close,", ""))
+    drop(drops, "4.csv", [("B", "2020-01-07", "8", "7")])
+    (drops / "4.csv").write_text((drops / "4.csv").read_text() + "B,2020-01-08\n")
+    real = prices.append_new
+
+    def dying(*args):
+        real(*args)
+        raise RuntimeError("killed between the two writes")
+
+    monkeypatch.setattr(prices, "append_new", dying)
+    with pytest.raises(Exception, match="killed"):
+        run()
+    monkeypatch.setattr(prices, "append_new", real)
+    run()
+    run()
+    assert stored() == [(1, 2, 5.0, 0), (1, 3, 6.0, 0), (2, 2, 7.0, 1), (2, 7, 8.0, 1)]
+    refused = spark.read.option("mergeSchema", True).parquet(rejects).filter("batch = 1").collect()
+    by_reason = {r.skip_reason: r for r in refused}
+    assert len(refused) == 2 and by_reason["malformed line"].line == "B,2020-01-08"
+    assert by_reason["missing columns: close"].file.endswith("3.csv")
+
+
 def test_xml_with_a_default_namespace(spark, tmp_path):
     (tmp_path / "f.xml").write_text(
         '<edgarSubmission xmlns="http://www.sec.gov/edgar/nport"><formData><invstOrSecs>'

@@ -18,9 +18,13 @@ from tidemark.streaming.prices import ingest_price_drops
 
 
 def csv_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """Vendor rows through CSV files: every cell comes back as text."""
+    """Vendor rows through CSV files of three layouts: every cell comes back as text, by its name."""
     path = scratch(spark)
-    panel.raw_price(spark, sf).select(*RAW_PRICE_COLUMNS).write.option("header", True).csv(path)
+    raw = panel.raw_price(spark, sf)
+    layouts = (RAW_PRICE_COLUMNS, RAW_PRICE_COLUMNS[::-1], ("volume", "l_linenumber", *(c for c in RAW_PRICE_COLUMNS if c != "volume")))
+    for k, columns in enumerate(layouts):
+        part = raw.filter(F.col("l_orderkey") % len(layouts) == k)
+        part.select(*columns).write.option("header", True).mode("append").csv(path)
     rows = readers.read_vendor_csv(spark, path, RAW_PRICE_COLUMNS)
     parsed = ingest.parse_prices(rows, panel.security_ticker(spark, sf))
     return parsed.groupBy("skip_reason").agg(F.count("*").alias("n"), F.sum("volume").alias("volume"))
@@ -111,7 +115,8 @@ def stream_price_ingest(spark: SparkSession, sf: str) -> DataFrame:
     early = F.col("l_orderkey") % 2 == 0
     for drop, part in enumerate((early, ~early, early)):
         place = F.format_string(f"{drop:04d}-%012d-%04d", "l_orderkey", "l_linenumber").alias("position")
-        raw.filter(part).select(*RAW_PRICE_COLUMNS, place).write.mode("append").option("header", True).csv(f"{path}/drops")
+        columns = RAW_PRICE_COLUMNS if drop else RAW_PRICE_COLUMNS[::-1]
+        raw.filter(part).select(*columns, place).write.mode("append").option("header", True).csv(f"{path}/drops")
         ingest_price_drops(
             spark, f"{path}/drops", periods, f"{path}/prices", f"{path}/rejects", f"{path}/state"
         )

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from pyspark.sql import Window as W
 from tidemark.schemas import all_text
 
 REPORT_STATUSES = ("COMPLIANT", "NON_COMPLIANT", "QUESTIONABLE", "UNRATED")
+HEADERS_AT_ONCE = 16
 HOLDING_FORM = "NPORT-P"  # fixed value: the form that lists a fund's holdings
 
 
@@ -18,18 +21,52 @@ class MissingColumns(Exception):
     """A vendor table lacks columns the import needs."""
 
 
-def read_vendor_csv(spark: SparkSession, path: str, required: Sequence[str]) -> DataFrame:
-    """All-text scan of a vendor table; fails when a required column is missing.
+def csv_layouts(spark: SparkSession, path: str | Sequence[str]) -> dict[tuple[str, ...], list[str]]:
+    """Columns in their order -> the CSV files that begin with that header. Empty files have none and are left out.
 
-    Only the header is read to check the columns. File splits take the place of paging.
+    Spark applies one header to all files of a scan, so each file's first line is read on its own, several at a time; of the
+    data only these lines reach the driver.
     """
-    header = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    missing = [c for c in required if c not in header.columns]
-    if missing:
-        raise MissingColumns(f"missing columns: {', '.join(missing)}")
-    schema = all_text(tuple(header.columns))
-    rows = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
-    return rows.select(*required)
+    files = [unquote(f) for f in spark.read.text(path).inputFiles()]
+
+    def header(file: str) -> tuple[str, ...]:
+        return tuple(spark.read.option("header", True).csv(file).columns)
+
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    with ThreadPoolExecutor(HEADERS_AT_ONCE) as pool:
+        for file, columns in zip(files, pool.map(header, files), strict=True):
+            if columns:
+                layouts.setdefault(columns, []).append(file)
+    return layouts
+
+
+def lacking(columns: Sequence[str], required: Sequence[str]) -> list[str]:
+    return [c for c in required if c not in columns]
+
+
+def read_vendor_csv(
+    spark: SparkSession, path: str | Sequence[str], required: Sequence[str], malformed: str | None = None
+) -> DataFrame:
+    """All-text scan of the required columns of a vendor table, cells by column name in every file.
+
+    Files may have their columns in any order and more of them; each layout gets a scan of its own and the scans are united. A file
+    that lacks a required column fails the import. A line with too few or too many cells keeps the cells it has; with
+    `malformed` a column of that name holds the whole line (null for good ones). File splits take the place of paging.
+    """
+    layouts = csv_layouts(spark, path)
+    for columns, files in layouts.items():
+        if missing := lacking(columns, required):
+            raise MissingColumns(f"missing columns: {', '.join(missing)} in {files[0]}")
+    wanted = [*required, *([malformed] if malformed else [])]
+    rows = spark.createDataFrame([], all_text(tuple(wanted)))
+    for columns, files in layouts.items():
+        scan = spark.read.schema(all_text((*columns, *wanted[len(required) :]))).option("header", True).option("mode", "PERMISSIVE")
+        if malformed:
+            # Judged by all cells of a line, so none may be skipped.
+            scan = scan.option("columnNameOfCorruptRecord", malformed).option("columnPruning", False)
+        part = scan.csv(files).select(*wanted)
+        rows = part if len(layouts) == 1 else rows.unionByName(part)
+    return rows
 
 
 def read_fund_holdings(spark: SparkSession, path: str) -> DataFrame:

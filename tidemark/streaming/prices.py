@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.operators import ingest
-from tidemark.schemas import RAW_PRICE_COLUMNS, all_text
+from tidemark.schemas import RAW_PRICE_COLUMNS
+from tidemark.sources.readers import csv_layouts, lacking, read_vendor_csv
 from tidemark.sources.sinks import append_new
 
 KEYS = ("security_id", "price_date")
+COLUMNS = (*RAW_PRICE_COLUMNS, "position")
+_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def ingest_price_drops(
@@ -16,24 +20,40 @@ def ingest_price_drops(
 ) -> None:
     """Read new CSV files of a folder, parse, and add the keys the table does not hold yet.
 
-    A drop carries the vendor's columns and `position`, a text that orders the rows of all drops: of a key's copies the first
-    stays, whether they are in one drop or in several. Runs until the folder is read and stops. A batch that is repeated after a failure adds nothing
-    twice, because only unknown keys are appended; rejected rows go to their own folder per batch.
+    A drop carries the vendor's columns, in any order and by name, and `position`, a text that orders the rows of all drops: of a
+    key's copies the first stays, whether they are in one drop or in several. The stream lists new files without reading
+    them; a micro-batch looks at their headers and reads them by name. A file that lacks a column is not read: it is listed in the
+    rejects with that reason, like rows that are rejected and lines with too few or too many cells.
+
+    Runs until the folder is read and stops. Of a batch that dies between its two writes, the table has the rows and the rejects
+    have nothing; when it is repeated, only unknown keys are appended and the batch's folder of rejects is written anew, so
+    both hold it once. `batch` in the table tells which batch brought a row. One writer at a time.
     """
-    rows = spark.readStream.schema(all_text((*RAW_PRICE_COLUMNS, "position"))).option("header", True).csv(drops)
+    new = spark.readStream.format("binaryFile").schema(_FILE).load(drops).select("path")
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        parsed = ingest.parse_prices(batch, periods, ("position",))
-        fresh = ingest.keep_first(
-            ingest.accepted(parsed), KEYS, ("position", "close", "volume")
-        ).drop("copies", "position")
-        append_new(fresh, table, KEYS, "price_date")
-        parsed.filter("skip_reason IS NOT NULL").write.mode("overwrite").parquet(
-            f"{rejects}/batch={batch_id}"
-        )
+        files = [r.path for r in batch.collect()]  # names of new files only
+        bad, good = [], []
+        for columns, held in (csv_layouts(spark, files) if files else {}).items():
+            missing = lacking(columns, COLUMNS)
+            bad += [(f, f"missing columns: {', '.join(missing)}") for f in held if missing]
+            good += [] if missing else held
+        refused = spark.createDataFrame(bad, "file string, skip_reason string")
+        if good:
+            rows = read_vendor_csv(spark, good, COLUMNS, "line")
+            parsed = ingest.parse_prices(rows.filter("line IS NULL").drop("line"), periods, ("position",))
+            fresh = ingest.keep_first(ingest.accepted(parsed), KEYS, ("position", "close", "volume"))
+            append_new(fresh.drop("copies", "position").withColumn("batch", F.lit(batch_id)), table, KEYS, "price_date")
+            broken = rows.filter("line IS NOT NULL").select("*", F.lit("malformed line").alias("skip_reason"))
+            refused = (
+                parsed.filter("skip_reason IS NOT NULL")
+                .unionByName(broken, allowMissingColumns=True)
+                .unionByName(refused, allowMissingColumns=True)
+            )
+        refused.write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
 
     query = (
-        rows.writeStream.foreachBatch(store)
+        new.writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
