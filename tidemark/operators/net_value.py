@@ -82,7 +82,8 @@ def refined(deltas: DataFrame, factors: DataFrame, costs: Costs, passes: int = P
 
     An order is summed where its line is the same over all values the portfolio can have that month. The first bounds hold for all
     cases: at most the gross value, at least that less the highest possible costs so far. Each pass then takes the highest and
-    lowest cost of each month within its bounds and sums the orders that have become certain; only what is left is read again.
+    lowest cost of each month within its bounds and sums the orders that have become certain; only what is left is read again,
+    and nothing once no order is left.
     """
     w = F.abs("delta")
     top = max(b for _, b in costs.slippage_bps) / 10_000 + float(costs.max_fraction)
@@ -117,6 +118,8 @@ def refined(deltas: DataFrame, factors: DataFrame, costs: Costs, passes: int = P
     near = cut(near.select("strategy", "_case.slippage", "decision_date", "w", "price"))
 
     for _ in range(passes):
+        if near.isEmpty():
+            break
         sure = F.col("moved") * F.col("bps") / 10_000 + F.col("rate")
         order = marked(near.join(months.select(*CASE, "bps", "lo", "hi"), CASE))
         placed = F.greatest(F.col("lo"), CENT / F.col("w"))
