@@ -5,6 +5,9 @@ shifted at random, and put on a Hilbert curve: one ordering per rotation. Spark
 numbers their rows. A query is compared with the blocks of rows around its own place in every ordering; what the
 orderings find is merged and ranked by the exact inner product.
 
+Equal vectors stand in the orderings once, as candidates and as queries, and only candidates count as places: neither copies of
+a vector nor many queries at one place push candidates out of a window.
+
 How far around is not a constant: for a bounded sample of queries the true neighbours are found by brute
 force over all rows, and the window is as wide as their distance along the nearest ordering demands for the wanted recall.
 """
@@ -20,12 +23,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.ranks import numbered
+from tidemark.llm.vectors import finite, matrix
 from tidemark.sources.checkpoints import cut
 
 NEAREST, QUERY_EVERY = 20, 20
 ORDERINGS, DIMENSIONS, BITS, SEED = 8, 8, 7, 42
-#: Rows of a block; blocks of queries that are compared with a block of candidates in one task.
-BLOCK, QUERY_BLOCKS = 2048, 16
+#: Candidates of a block; neighbouring queries that are compared with a block at a time.
+BLOCK, QUERIES = 2048, 2048
 #: Recall the window is fitted for, queries it is fitted on, and rows that fix the range of the projections.
 RECALL, SAMPLE_QUERIES, SAMPLE_ROWS = 0.96, 128, 5000
 #: Copies of a vector are dealt over so many groups before the least ids are taken.
@@ -103,34 +107,26 @@ def lift_queries(vectors: np.ndarray, norm: float) -> np.ndarray:
     return np.hstack([scaled, np.zeros((len(vectors), 1))])
 
 
-def _matrix(column: pa.Array | pa.ChunkedArray, d: int) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return column.flatten().to_numpy().reshape(-1, d).astype(np.float64)
-
-
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """[vec_id, embedding]: rows that take part, one per id (the least of several vectors)."""
-    values = F.col(embedding).cast("array<double>")
-    bad = F.exists(values, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), values.alias("embedding"), bad.alias("_bad"))
-    rows = rows.filter("vec_id IS NOT NULL AND embedding IS NOT NULL AND NOT _bad").filter(F.exists("embedding", lambda x: x != 0))
-    rows = cut(rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
-    sizes = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    return rows if sizes is None else rows.filter(F.size("embedding") == sizes.d)
+    """[vec_id, embedding]: the rows that take part, each of them, repeated and null ids too."""
+    rows = finite(vectors, embedding).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"))
+    return rows.filter(F.exists("embedding", lambda x: x != 0))
 
 
 def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
-    """[vid, ids, embedding]: each distinct vector with its least id and its `keep` least ids.
+    """[vid, ids, asks, embedding]: each distinct vector, numbered by its least id, with the `keep` least ids of its rows (nulls
+    last) and whether a row of it is a query (`asks`).
 
     Copies are thinned in salted groups first, so a vector that very many rows share meets in no one task.
     """
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)))
     for group in (["embedding", "_salt"], ["embedding"]):
-        nth = F.row_number().over(Window.partitionBy(*group).orderBy("vec_id"))
-        salted = salted.withColumn("_nth", nth).filter(F.col("_nth") <= keep).drop("_nth")
-    grouped = salted.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    return grouped.select(F.col("ids")[0].alias("vid"), "ids", "embedding")
+        each = Window.partitionBy(*group)
+        nth = F.row_number().over(each.orderBy(F.col("vec_id").asc_nulls_last()))
+        salted = salted.withColumn("asks", F.max("asks").over(each)).withColumn("_nth", nth).filter(F.col("_nth") <= keep).drop("_nth")
+    listed = F.array_sort(F.collect_list(F.struct(F.col("vec_id").isNull().alias("none"), "vec_id")))
+    grouped = salted.groupBy("embedding").agg(F.transform(listed, lambda s: s["vec_id"]).alias("ids"), F.max("asks").alias("asks"))
+    return numbered(grouped, F.col("ids")[0].asc_nulls_last(), F.col("embedding"), name="vid").select("vid", "ids", "asks", "embedding")
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, keep: int) -> np.ndarray:
@@ -168,46 +164,69 @@ def _found(rows: list[tuple]) -> pa.RecordBatch:
 _FOUND = "query_id long, vid long, score double"
 
 
-def _top(found: DataFrame, keep: int, name: str) -> DataFrame:
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), name))
+def _top(found: DataFrame, keep: int, then: str | Column) -> DataFrame:
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), then))
     return found.withColumn("_nth", nth).filter(F.col("_nth") <= keep)
 
 
 def brute_force(distinct: DataFrame, queries: list, d: int, keep: int) -> DataFrame:
     """[query_id, vid, score]: the nearest distinct vectors of a few queries, over all rows."""
-    shared = distinct.sparkSession.sparkContext.broadcast((np.array([q.embedding for q in queries]), np.array([q.vec_id for q in queries])))
+    shared = distinct.sparkSession.sparkContext.broadcast((np.array([q.embedding + [0.0] * (d - len(q.embedding)) for q in queries]), np.array([q.vid for q in queries])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         points, ids = shared.value
         for batch in batches:
             if batch.num_rows:
-                yield _found(list(_compared(points, ids, _matrix(batch.column(1), d), batch.column(0).to_numpy(), keep)))
+                yield _found(list(_compared(points, ids, matrix(batch.column(1), d), batch.column(0).to_numpy(), keep)))
 
     return _top(distinct.select("vid", "embedding").mapInArrow(run, _FOUND), keep, "vid").drop("_nth")
 
 
-def orderings(distinct: DataFrame, queries: DataFrame, curves: Curves, d: int) -> tuple[DataFrame, int]:
-    """([ordering, id, is_query, at], rows per ordering): places from 0 in every ordering, candidates and queries together."""
-    shared = distinct.sparkSession.sparkContext.broadcast(curves)
+def orderings(distinct: DataFrame, curves: Curves, d: int) -> DataFrame:
+    """[ordering, id, is_query, at, group]: places from 0 in every ordering. `at`: the candidates before the row; `group`: runs of
+    QUERIES queries in order, over all orderings (candidates carry one as well, without a meaning)."""
+    spark = distinct.sparkSession
+    shared = spark.sparkContext.broadcast(curves)
 
-    def keyed(rows: DataFrame, is_query: bool) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                points = _matrix(batch.column(1), d)
-                points = lift_queries(points, shared.value.norm) if is_query else lift(points, shared.value.norm)
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vids, asks, points = batch.column(0), batch.column(2), matrix(batch.column(1), d)
+            asking = asks.to_numpy(zero_copy_only=False).astype(bool)
+            for ids, lifted, is_query in (
+                (vids, lift(points, shared.value.norm), False),
+                (vids.filter(asks), lift_queries(points[asking], shared.value.norm), True),
+            ):
                 for k in range(len(shared.value.rotations)):
-                    n = batch.num_rows
-                    yield pa.record_batch(
-                        [pa.array(np.full(n, k, np.int32)), pa.array(shared.value.keys(points, k)), batch.column(0), pa.array(np.full(n, is_query))],
-                        ["ordering", "key", "id", "is_query"],
-                    )
-
-        return rows.mapInArrow(run, "ordering int, key long, id long, is_query boolean")
+                    columns = [np.full(len(ids), k, np.int32), shared.value.keys(lifted, k), ids, np.full(len(ids), is_query)]
+                    yield pa.record_batch([pa.array(c) for c in columns], ["ordering", "key", "id", "is_query"])
+
+    rows = distinct.select("vid", "embedding", "asks").mapInArrow(keyed, "ordering int, key long, id long, is_query boolean")
+    order = [F.col(c) for c in ("ordering", "key", "id", "is_query")]
+    ordered = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("part", F.spark_partition_id())
+    queries = F.sum(F.col("is_query").cast("long"))
+    sizes = ordered.groupBy("part").agg(F.count("*").alias("n"), queries.alias("queries")).orderBy("part").collect()  # a row per partition
+    begins, candidates, asked = {}, 0, 0
+    for r in sizes:
+        begins[r.part] = (candidates, asked)
+        candidates, asked = candidates + r.n - r.queries, asked + r.queries
+    shared_begins = spark.sparkContext.broadcast(begins)
+    each = candidates // len(curves.rotations)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            candidates, asked = before or shared_begins.value[batch.column("part")[0].as_py()]
+            is_query = batch.column("is_query").to_numpy(zero_copy_only=False).astype(bool)
+            asks, all_ = np.cumsum(is_query), np.arange(1, len(is_query) + 1)
+            at = candidates + (all_ - asks) - ~is_query
+            group = (asked + asks - is_query) // QUERIES
+            before = (candidates + int(all_[-1] - asks[-1]), asked + int(asks[-1]))
+            at = at - batch.column("ordering").to_numpy().astype(np.int64) * each
+            yield pa.record_batch([*(batch.column(c) for c in ("ordering", "id", "is_query")), pa.array(at), pa.array(group)], ["ordering", "id", "is_query", "at", "group"])
 
-    rows = keyed(distinct.select("vid", "embedding"), False).unionByName(keyed(queries.select("vec_id", "embedding"), True))
-    placed = cut(numbered(rows, F.col("ordering"), F.col("key"), F.col("id"), F.col("is_query")))
-    each = placed.filter("ordering = 0").count()
-    return placed.select("ordering", "id", "is_query", (F.col("place") - F.col("ordering") * each).alias("at")), each
+    return cut(ordered.mapInArrow(count, "ordering int, id long, is_query boolean, at long, group long"))
 
 
 def fitted_window(placed: DataFrame, truth: DataFrame, recall: float) -> int:
@@ -229,55 +248,64 @@ def nearest(
 ) -> DataFrame:
     """[query_id, rank, vec_id, score]: for every query row the `nearest_` best other rows found, ties to the smaller id.
 
-    Queries are the rows for which `is_query` holds (default: ids divisible by QUERY_EVERY). Null ids, null, zero and empty vectors
-    and vectors with null or non-finite components take no part, nor do vectors of another than the most common length; of
-    rows that repeat an id the least vector counts. A query with fewer other rows gets all of them that are found (all, if they fit into a block).
-    An empty table gives an empty result.
+    Queries are the rows for which `is_query` holds (default: ids divisible by QUERY_EVERY). Null, zero and empty vectors and vectors
+    with null or non-finite components take no part. Every other row does: shorter vectors count as filled up with zeros, a row
+    without an id is a candidate (vec_id null, last among ties), and rows that repeat an id are candidates each; a query row leaves out
+    itself alone, and an id that several query rows have gets one list for each of them. A query with fewer other rows gets all of them that are
+    found (all, if they fit into a block). An empty table gives an empty result.
     """
     spark = vectors.sparkSession
-    rows = cut(usable(vectors, vec_id, embedding))
-    queries = rows.filter(F.col("vec_id") % QUERY_EVERY == 0 if is_query is None else is_query)
-    order = [F.xxhash64("vec_id"), F.col("vec_id")]
-    sample = queries.orderBy(*order).limit(SAMPLE_QUERIES).collect()
+    asks = F.col("vec_id") % QUERY_EVERY == 0 if is_query is None else is_query
+    rows = cut(usable(vectors, vec_id, embedding).withColumn("asks", F.coalesce(asks, F.lit(False))))
+    keep = nearest_ + 1  # one more: the query's own row is among its nearest
+    distinct = cut(distinct_vectors(rows, keep))
+    order = [F.xxhash64("vid"), F.col("vid")]
+    sample = distinct.filter("asks").orderBy(*order).limit(SAMPLE_QUERIES).collect()
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    d, keep = len(sample[0].embedding), nearest_ + 1  # one more: the query's own row is among its nearest
-    distinct = cut(distinct_vectors(rows, keep))
     length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x * x))
-    norm = rows.agg(F.max(length)).first()[0]
-    fixed = np.array([r.embedding for r in rows.orderBy(*order).limit(SAMPLE_ROWS).select("embedding").collect()])
-    placed, each = orderings(distinct, queries, Curves.of(fixed, norm), d)
+    norm, d = distinct.agg(F.max(length), F.max(F.size("embedding"))).first()
+    fixed = [r.embedding for r in distinct.orderBy(*order).limit(SAMPLE_ROWS).select("embedding").collect()]
+    placed = orderings(distinct, Curves.of(np.array([v + [0.0] * (d - len(v)) for v in fixed]), norm), d)
     window = fitted_window(placed, brute_force(distinct, sample, d, keep), recall)
     around = -(-window // block)
-    last = (each - 1) // block
-    at = F.floor(F.col("at") / block)
 
-    # A candidate block meets the query blocks up to `around` away, QUERY_BLOCKS of them in one group.
-    first, final = F.greatest(at - around, F.lit(0)), F.least(at + around, F.lit(last))
-    strips = F.explode(F.sequence(F.floor(first / QUERY_BLOCKS), F.floor(final / QUERY_BLOCKS))).alias("strip")
+    # A group of queries meets every block from `around` before its first query to `around` behind its last, an ordering at a time.
+    queries = placed.filter("is_query")
+    at = F.floor(F.col("at") / block)
+    reach = queries.groupBy("ordering", "group").agg((F.min(at) - around).alias("first"), (F.max(at) + around).alias("final"))
+    covered = reach.select("ordering", "group", F.explode(F.sequence("first", "final")).alias("block"))
     candidates = (
         placed.filter("NOT is_query")
-        .select("ordering", at.alias("block"), F.col("id").alias("vid"), strips)
+        .select("ordering", at.alias("block"), F.col("id").alias("vid"))
+        .join(covered, ["ordering", "block"])
         .join(distinct.select("vid", "embedding"), "vid")
-        .select("ordering", "block", "strip", F.lit(False).alias("is_query"), F.col("vid").alias("id"), "embedding")
+        .select("ordering", "block", "group", F.lit(False).alias("is_query"), F.col("vid").alias("id"), "embedding")
     )
-    probes = F.explode(F.sequence(first, final)).alias("block")
     asking = (
-        placed.filter("is_query")
-        .select("ordering", F.floor(at / QUERY_BLOCKS).alias("strip"), F.col("id").alias("vec_id"), probes)
-        .join(queries, "vec_id")
-        .select("ordering", "block", "strip", F.lit(True).alias("is_query"), F.col("vec_id").alias("id"), "embedding")
+        queries.select("ordering", "group", F.col("id").alias("vid"), F.explode(F.sequence(at - around, at + around)).alias("block"))
+        .join(distinct.select("vid", "embedding"), "vid")
+        .select("ordering", "block", "group", F.lit(True).alias("is_query"), F.col("vid").alias("id"), "embedding")
     )
 
     def compare(table: pa.Table) -> pa.Table:
         asks = table.column("is_query").to_numpy()
-        ids, points = table.column("id").to_numpy(), _matrix(table.column("embedding"), d)
+        ids, points = table.column("id").to_numpy(), matrix(table.column("embedding"), d)
         if not asks.any() or asks.all():
             return pa.Table.from_batches([_found([])])
         return pa.Table.from_batches([_found(list(_compared(points[asks], ids[asks], points[~asks], ids[~asks], keep)))])
 
-    met = candidates.unionByName(asking).groupBy("ordering", "block", "strip").applyInArrow(compare, _FOUND)
+    met = candidates.unionByName(asking).groupBy("ordering", "block", "group").applyInArrow(compare, _FOUND)
     merged = met.groupBy("query_id", "vid").agg(F.max("score").alias("score"))
-    best = _top(merged, keep, "vid").join(distinct.select("vid", "ids"), "vid")
-    spread = best.select("query_id", F.explode("ids").alias("vec_id"), "score").filter("vec_id <> query_id")
-    return _top(spread, nearest_, "vec_id").select("query_id", F.col("_nth").cast("int").alias("rank"), "vec_id", "score")
+    best = _top(merged, keep, "vid").drop("_nth").join(distinct.select("vid", "ids"), "vid")
+    spread = best.select("query_id", "vid", F.explode("ids").alias("vec_id"), "score")
+    hit = F.struct(F.col("_nth"), F.col("vec_id"), F.col("score"), (F.col("vid") == F.col("query_id")).alias("same"))
+    hits = _top(spread, keep, F.col("vec_id").asc_nulls_last()).groupBy("query_id").agg(F.array_sort(F.collect_list(hit)).alias("hits"))
+
+    # The lists of vectors go to the query rows that hold them, where the row itself is taken out.
+    vids = distinct.filter("asks").select(F.col("vid").alias("query_id"), "embedding")
+    lists = rows.filter("asks").join(vids, "embedding").select("query_id", F.col("vec_id").alias("asked")).join(hits, "query_id")
+    own = F.array_min(F.transform(F.filter("hits", lambda h: h["same"] & h["vec_id"].eqNullSafe(F.col("asked"))), lambda h: h["_nth"]))
+    others = F.slice(F.filter("hits", lambda h: F.col("own").isNull() | (h["_nth"] != F.col("own"))), 1, nearest_)
+    each = lists.withColumn("own", own).select("asked", F.posexplode(others).alias("nth", "hit"))
+    return each.select(F.col("asked").alias("query_id"), (F.col("nth") + 1).alias("rank"), "hit.vec_id", "hit.score")
