@@ -28,8 +28,10 @@ from tidemark.sources.checkpoints import cut
 
 NEAREST, QUERY_EVERY = 20, 20
 ORDERINGS, DIMENSIONS, BITS, SEED = 8, 8, 7, 42
-#: Candidates of a block; neighbouring queries that are compared with a block at a time.
-BLOCK, QUERIES = 2048, 2048
+#: Candidates of a block; blocks that neighbouring queries are compared with at a time, and how many such queries.
+BLOCK, STRIP, QUERIES = 2048, 8, 2048
+#: Queries whose products are held at a time.
+PART = 256
 #: Recall the window is fitted for, queries it is fitted on, and rows that fix the range of the projections.
 RECALL, SAMPLE_QUERIES, SAMPLE_ROWS = 0.96, 128, 5000
 #: Copies of a vector are dealt over so many groups before the least ids are taken.
@@ -140,9 +142,9 @@ def _best(ids: np.ndarray, scores: np.ndarray, keep: int) -> np.ndarray:
 
 
 def _compared(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, keep: int) -> Iterator[tuple]:
-    """query id, vector ids and scores of the best `keep` of a block for each query; 256 queries at a time."""
-    for at in range(0, len(queries), 256):
-        products = queries[at : at + 256] @ vectors.T
+    """query id, vector ids and scores of the best `keep` of a block for each query; PART queries at a time."""
+    for at in range(0, len(queries), PART):
+        products = queries[at : at + PART] @ vectors.T
         for q, row in enumerate(products, at):
             best = _best(ids, row, keep)
             # One fixed way of adding up: a pair has the same score in whichever block it is found.
@@ -237,6 +239,10 @@ def fitted_window(placed: DataFrame, truth: DataFrame, recall: float) -> int:
     return int(np.quantile([r.away for r in away.collect()], recall, method="higher"))  # sample queries x neighbours
 
 
+def _strips(first: Column, final: Column) -> Column:
+    return F.sequence(F.floor(first / STRIP), F.floor(final / STRIP))
+
+
 def nearest(
     vectors: DataFrame,
     vec_id: str = "vec_id",
@@ -270,32 +276,40 @@ def nearest(
     window = fitted_window(placed, brute_force(distinct, sample, d, keep), recall)
     around = -(-window // block)
 
-    # A group of queries meets every block from `around` before its first query to `around` behind its last, an ordering at a time.
+    # A group of queries meets the blocks from `around` before its first query to `around` behind its last, a strip of blocks at a time.
     queries = placed.filter("is_query")
     at = F.floor(F.col("at") / block)
     reach = queries.groupBy("ordering", "group").agg((F.min(at) - around).alias("first"), (F.max(at) + around).alias("final"))
-    covered = reach.select("ordering", "group", F.explode(F.sequence("first", "final")).alias("block"))
+    covered = reach.select("*", F.explode(_strips(F.col("first"), F.col("final"))).alias("strip"))
     candidates = (
         placed.filter("NOT is_query")
-        .select("ordering", at.alias("block"), F.col("id").alias("vid"))
-        .join(covered, ["ordering", "block"])
+        .select("ordering", at.alias("block"), F.floor(at / STRIP).alias("strip"), F.col("id").alias("vid"))
+        .join(covered, ["ordering", "strip"])
+        .filter("block BETWEEN first AND final")
         .join(distinct.select("vid", "embedding"), "vid")
-        .select("ordering", "block", "group", F.lit(False).alias("is_query"), F.col("vid").alias("id"), "embedding")
+        .select("ordering", "strip", "group", "block", F.lit(False).alias("is_query"), F.col("vid").alias("id"), "embedding")
     )
     asking = (
-        queries.select("ordering", "group", F.col("id").alias("vid"), F.explode(F.sequence(at - around, at + around)).alias("block"))
+        queries.select("ordering", F.explode(_strips(at - around, at + around)).alias("strip"), "group", at.alias("block"), F.col("id").alias("vid"))
         .join(distinct.select("vid", "embedding"), "vid")
-        .select("ordering", "block", "group", F.lit(True).alias("is_query"), F.col("vid").alias("id"), "embedding")
+        .select("ordering", "strip", "group", "block", F.lit(True).alias("is_query"), F.col("vid").alias("id"), "embedding")
     )
 
     def compare(table: pa.Table) -> pa.Table:
-        asks = table.column("is_query").to_numpy()
+        table = table.sort_by("block")
+        asks, blocks = table.column("is_query").to_numpy(), table.column("block").to_numpy()
         ids, points = table.column("id").to_numpy(), matrix(table.column("embedding"), d)
-        if not asks.any() or asks.all():
-            return pa.Table.from_batches([_found([])])
-        return pa.Table.from_batches([_found(list(_compared(points[asks], ids[asks], points[~asks], ids[~asks], keep)))])
-
-    met = candidates.unionByName(asking).groupBy("ordering", "block", "group").applyInArrow(compare, _FOUND)
+        query_ids, query_points, query_blocks = ids[asks], points[asks], blocks[asks]
+        ids, points, blocks = ids[~asks], points[~asks], blocks[~asks]
+        found = []
+        for k in range(0, len(query_ids), PART):
+            mine = slice(k, k + PART)
+            low, high = np.searchsorted(blocks, query_blocks[mine][0] - around), np.searchsorted(blocks, query_blocks[mine][-1] + around, "right")
+            if low < high:
+                found += _compared(query_points[mine], query_ids[mine], points[low:high], ids[low:high], keep)
+        return pa.Table.from_batches([_found(found)])
+
+    met = candidates.unionByName(asking).groupBy("ordering", "strip", "group").applyInArrow(compare, _FOUND)
     merged = met.groupBy("query_id", "vid").agg(F.max("score").alias("score"))
     best = _top(merged, keep, "vid").drop("_nth").join(distinct.select("vid", "ids"), "vid")
     spread = best.select("query_id", "vid", F.explode("ids").alias("vec_id"), "score")
