@@ -32,6 +32,13 @@ QUALIFY row_number() OVER (PARTITION BY security_id, price_date ORDER BY l_order
 """,
     "stream_positions": """
 SELECT symbol, CAST(sum(CASE side WHEN 'BUY' THEN quantity ELSE -quantity END) AS DOUBLE) AS quantity FROM order_fill GROUP BY 1 HAVING quantity <> 0
+""",
+    "stream_fills_lateness": """
+SELECT * FROM (WITH timed AS (SELECT f.*, e.ts, f.exec_id % 50 = 7 AS held FROM order_fill f JOIN events e ON e.event_id = f.exec_id
+), judged AS (SELECT *, held AND ts < (SELECT max(ts) FROM timed WHERE NOT held) - INTERVAL 2 DAY AS late FROM timed)
+SELECT symbol, CAST(nullif(sum(CASE WHEN late THEN 0 WHEN side = 'BUY' THEN quantity ELSE -quantity END), 0) AS DOUBLE) AS quantity,
+  count(*) FILTER (WHERE late) AS late
+FROM judged GROUP BY 1 HAVING quantity IS NOT NULL OR count(*) FILTER (WHERE late) > 0) counted
 """,
     "stream_states": "SELECT order_id, arg_max(state, id) AS state FROM order_state_event GROUP BY 1",
 }

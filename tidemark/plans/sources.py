@@ -156,7 +156,28 @@ def stream_states(spark: SparkSession, sf: str) -> DataFrame:
     return seen.groupBy("order_id").agg(F.max_by("state", "batch").alias("state"))
 
 
+def stream_fills_lateness(spark: SparkSession, sf: str) -> DataFrame:
+    """Fills in three deliveries, the second with copies, the third with those held back: positions and late fills per symbol."""
+    path = scratch(spark)
+    fills = panel.timed_fill(spark, sf)
+    held = F.col("exec_id") % 50 == 7
+    newest = fills.agg(F.date_trunc("day", F.max("filled_at")).alias("_newest"))
+    turn = F.col("_newest") - F.expr("INTERVAL 4 DAYS")
+    rows = fills.join(F.broadcast(newest)).withColumn("_turn", turn).drop("_newest")  # one row
+    at = F.col("filled_at")
+    first = rows.filter(~held & (at < F.col("_turn")))
+    again = first.filter((F.col("exec_id") % 3 == 0) & (at >= F.col("_turn") - F.expr("INTERVAL 1 DAY")))
+    for drop in (first, rows.filter(~held & (at >= F.col("_turn"))).unionByName(again), rows.filter(held)):
+        drop.drop("_turn").write.mode("append").parquet(f"{path}/fills")
+        stream = spark.readStream.schema(fills.schema).parquet(f"{path}/fills")
+        order_stream.count_fills(stream, f"{path}/view", f"{path}/state")
+    late = spark.read.parquet(f"{path}/view/late").groupBy("symbol").agg(F.count("*").alias("late"))
+    both = order_stream.counted_positions(spark, f"{path}/view").join(late, "symbol", "full")
+    return both.select("symbol", out(F.col("quantity"), 2).alias("quantity"), F.coalesce("late", F.lit(0)).cast("bigint").alias("late"))
+
+
 QUERIES = {
+    "stream_fills_lateness": stream_fills_lateness,
     "csv_scan": csv_scan,
     "xml_holdings": xml_holdings,
     "report_snapshot": report_snapshot,

@@ -265,6 +265,12 @@ def order_fill(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def timed_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """The fills with the time of their event; one event is one execution."""
+    times = table(spark, sf, "events").select(F.col("event_id").alias("exec_id"), F.col("ts").alias("filled_at"))
+    return order_fill(spark, sf).join(times, "exec_id")
+
+
 @per_session
 def broker_order(spark: SparkSession, sf: str) -> DataFrame:
     """One order per user that appears in the log; the quantity asked is taken from its id."""
