@@ -37,6 +37,10 @@ FROM (SELECT s.*, p.security_id IS NOT NULL AS tradable, row_number() OVER (PART
   FROM score s JOIN candidate c ON c.security_id = s.security_id AND c.as_of = s.decision_date
   LEFT JOIN trading_price p ON p.security_id = s.security_id AND p.price_date = s.decision_date) x
 """
+VIEWS["reversal"] = """
+SELECT decision_date, replace(kind, 'momentum', 'reversal') AS kind, security_id, 0.0 - score AS score FROM momentum WHERE kind IN ('momentum_63_0', 'momentum_126_21')
+"""
+VIEWS["reversal_ranked"] = VIEWS["ranked"].replace("FROM score s", "FROM reversal s")
 VIEWS["market"] = """
 SELECT price_date, round(CAST(sum(adjusted_close) AS DOUBLE) / count(*), 6) AS close, row_number() OVER (ORDER BY price_date) AS n FROM trading_price GROUP BY price_date
 """
@@ -79,6 +83,7 @@ SQL = {
     "momentum_rank": rank_report("kind LIKE 'momentum%'"),
     "low_volatility_rank": rank_report("kind LIKE 'low%'"),
     "market_cap_rank": rank_report("kind = 'market_cap'"),
+    "reversal_rank": rank_report("TRUE").replace("FROM ranked", "FROM reversal_ranked"),
     "trend_filter": "SELECT * FROM trend",
     "sweep_holdings": "SELECT strategy, decision_date, security_id, rank, held, round(1.0 / held, 6) AS weight FROM holding",
 }

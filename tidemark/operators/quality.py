@@ -7,6 +7,8 @@ one row per day, so its window is bounded by the calendar.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +38,45 @@ BALANCE_AMOUNTS = (
 )
 
 
+@dataclass(frozen=True)
+class RowCheck:
+    """A caller's check of single rows, planned into the scan of the library's own checks of that table.
+
+    `failed` and `detail` are SQL expressions over the row. Price rows also have the row before (prev_date, prev_close,
+    prev_unadjusted), the calendar's is_trading and td, near_split, end_date and the ticker spans.
+    """
+
+    name: str
+    table: str  # prices, filings or values
+    failed: str
+    detail: str = "''"
+
+
+@dataclass(frozen=True)
+class TableCheck:
+    """A caller's check from tables to [security_id, data_date, detail]; `inputs` names the tables it is given, in order."""
+
+    name: str
+    inputs: tuple[str, ...]
+    find: Callable[..., DataFrame]
+
+
+def _own(more: Sequence[RowCheck], table: str) -> list[tuple[str, Column, Column]]:
+    return [(m.name, F.expr(m.failed), F.expr(m.detail).cast("string")) for m in more if m.table == table]
+
+
+def table_findings(checks: Sequence[TableCheck], tables: Mapping[str, DataFrame]) -> list[DataFrame]:
+    """The findings of callers' table checks; a check that asks for an unknown table is refused."""
+    found = []
+    for check in checks:
+        lacking = [i for i in check.inputs if i not in tables]
+        if lacking:
+            raise ValueError(f"{check.name} asks for unknown tables: {', '.join(lacking)}")
+        rows = check.find(*(tables[i] for i in check.inputs))
+        found.append(rows.select("security_id", F.lit(check.name).alias("check_name"), "data_date", "detail"))
+    return found
+
+
 def with_previous(prices: DataFrame, first: date, last: date, t: QualityThresholds) -> DataFrame:
     """Each price in [first, last] with the row before it.
 
@@ -106,8 +147,9 @@ def price_findings(
     t: QualityThresholds,
     today: date,
     details: bool = True,
+    more: Sequence[RowCheck] = (),
 ) -> DataFrame:
-    """All price checks. Without `details` the texts are left out, for callers that only need dates."""
+    """All price checks and `more` of the caller's. Without `details` the texts are left out, for callers that only need dates."""
     cal = calendar.calendar(spark).select(
         F.col("day").alias("price_date"), "is_trading", F.col("td_index").alias("td")
     )
@@ -182,10 +224,11 @@ def price_findings(
                 ),
             ),
     ]
+    checks += _own(more, "prices")
     return _explode(rows, "price_date", [_finding(n, f, d if details else F.lit("")) for n, f, d in checks])
 
 
-def filing_findings(filings: DataFrame, first: date, last: date) -> DataFrame:
+def filing_findings(filings: DataFrame, first: date, last: date, more: Sequence[RowCheck] = ()) -> DataFrame:
     c = F.col
     inside = filings.filter(c("filing_date").between(F.lit(first), F.lit(last)))
     period_end = F.coalesce("report_period", "calendar_date")
@@ -202,19 +245,16 @@ def filing_findings(filings: DataFrame, first: date, last: date) -> DataFrame:
                 "negative_balance_sheet_value", negative,
                 _text("kind=", c("dimension")),
             ),
+            *(_finding(n, f, d) for n, f, d in _own(more, "filings")),
         ],
     )
 
 
-def value_findings(caps: DataFrame, first: date, last: date) -> DataFrame:
+def value_findings(caps: DataFrame, first: date, last: date, more: Sequence[RowCheck] = ()) -> DataFrame:
     c = F.col
-    inside = caps.filter(c("cap_date").between(F.lit(first), F.lit(last)) & (c("market_cap_usd") <= 0))
-    return inside.select(
-        "security_id",
-        F.lit("non_positive_market_value").alias("check_name"),
-        c("cap_date").alias("data_date"),
-        _text("value=", c("market_cap_usd")).alias("detail"),
-    )
+    inside = caps.filter(c("cap_date").between(F.lit(first), F.lit(last)))
+    checks = [("non_positive_market_value", c("market_cap_usd") <= 0, _text("value=", c("market_cap_usd"))), *_own(more, "values")]
+    return _explode(inside, "cap_date", [_finding(*check) for check in checks])
 
 
 def stale_prices(

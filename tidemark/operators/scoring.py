@@ -6,7 +6,8 @@ strategies fan out only after the ranking. Every window ends before the decision
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,13 +22,26 @@ class TrendError(Exception):
     """The market series cannot give the average asked for."""
 
 
+@dataclass(frozen=True)
+class Scorer:
+    """A caller's ranking, for strategies with its name.
+
+    `inputs` are of prices, values and dates; `score` gets them, in order, and all (lookback, skip) that the strategies ask for, and gives
+    [security_id, decision_date, lookback, skip, score], higher scores first in rank.
+    """
+
+    ranking: str
+    inputs: tuple[str, ...]
+    score: Callable[..., DataFrame]
+
+
 def score_kind(s: Strategy) -> str:
     """Strategies of one kind share their scores."""
     if s.ranking == "market_cap":
         return "market_cap"
     if s.ranking == "low_volatility":
         return f"low_volatility_{s.lookback}"
-    return f"momentum_{s.lookback}_{s.skip}"
+    return f"{s.ranking}_{s.lookback}_{s.skip}"
 
 
 def strategy_table(spark: SparkSession, strategies: Iterable[Strategy]) -> DataFrame:
@@ -183,9 +197,13 @@ def all_scores(
     caps: DataFrame,
     dates: DataFrame,
     strategies: Iterable[Strategy],
+    scorers: Iterable[Scorer] = (),
 ) -> DataFrame:
-    """The scores of every kind the strategies need."""
-    strategies = list(strategies)
+    """The scores of every kind the strategies need; rankings that are neither the library's nor a scorer's are refused."""
+    strategies, given = list(strategies), {s.ranking: s for s in scorers}
+    unknown = sorted({s.ranking for s in strategies} - {"momentum", "low_volatility", "market_cap", *given})
+    if unknown:
+        raise ValueError(f"no scorer for {', '.join(unknown)}")
     pairs = sorted({(s.lookback, s.skip) for s in strategies if s.ranking == "momentum"})
     calm = sorted({s.lookback for s in strategies if s.ranking == "low_volatility"})
     parts = []
@@ -195,6 +213,13 @@ def all_scores(
         parts.append(low_volatility_scores(spark, prices, dates, calm))
     if any(s.ranking == "market_cap" for s in strategies):
         parts.append(market_cap_scores(caps, dates))
+    tables = {"prices": prices, "values": caps, "dates": dates}
+    for ranking, scorer in given.items():
+        asked = sorted({(s.lookback, s.skip) for s in strategies if s.ranking == ranking})
+        if asked:
+            rows = scorer.score(*(tables[i] for i in scorer.inputs), asked)
+            kind = F.concat_ws("_", F.lit(ranking), "lookback", "skip").alias("kind")
+            parts.append(rows.select("security_id", "decision_date", kind, F.col("score").cast("double").alias("score")))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -30,28 +30,28 @@ def members(spark: SparkSession, sf: str, key: str = "brand") -> DataFrame:
 
 
 def scores(
-    spark: SparkSession, sf: str, strategies: tuple[Strategy, ...], key: str = "brand"
+    spark: SparkSession, sf: str, strategies: tuple[Strategy, ...], key: str = "brand", scorers: tuple[scoring.Scorer, ...] = ()
 ) -> DataFrame:
     prices = panel.daily_price(spark, sf, key)
     if len({s.ranking for s in strategies}) > 1:
         prices = cut(prices)  # each ranking reads them
     return scoring.all_scores(
-        spark, prices, panel.market_cap_of(prices), sweep_dates(spark, sf), strategies
+        spark, prices, panel.market_cap_of(prices), sweep_dates(spark, sf), strategies, scorers
     )
 
 
 def ranked(
-    spark: SparkSession, sf: str, strategies: tuple[Strategy, ...], key: str = "brand"
+    spark: SparkSession, sf: str, strategies: tuple[Strategy, ...], key: str = "brand", scorers: tuple[scoring.Scorer, ...] = ()
 ) -> DataFrame:
     return scoring.rank_scores(
-        scores(spark, sf, strategies, key), members(spark, sf, key), trading_price(spark, sf, key)
+        scores(spark, sf, strategies, key, scorers), members(spark, sf, key), trading_price(spark, sf, key)
     )
 
 
 def _rank_report(
-    spark: SparkSession, sf: str, strategies: tuple[Strategy, ...], key: str = "brand"
+    spark: SparkSession, sf: str, strategies: tuple[Strategy, ...], key: str = "brand", scorers: tuple[scoring.Scorer, ...] = ()
 ) -> DataFrame:
-    return ranked(spark, sf, strategies, key).select(
+    return ranked(spark, sf, strategies, key, scorers).select(
         "kind", "decision_date", "security_id", out(F.col("score")).alias("score"), "rank",
         "tradable_rank", "scored",
     )
@@ -69,6 +69,25 @@ def market_cap_rank(spark: SparkSession, sf: str) -> DataFrame:
     return _rank_report(spark, sf, (Strategy("large", "market_cap"),))
 
 
+def reversal(prices: DataFrame, dates: DataFrame, windows: list[tuple[int, int]]) -> DataFrame:
+    """The losers first: momentum of the same windows, turned round."""
+    rows = scoring.momentum_scores(prices.sparkSession, prices, dates, windows)
+    window = F.split("kind", "_")
+    return rows.select(
+        "security_id", "decision_date", window[1].cast("int").alias("lookback"), window[2].cast("int").alias("skip"),
+        (F.lit(0.0) - F.col("score")).alias("score"),
+    )
+
+
+REVERSAL = scoring.Scorer("reversal", ("prices", "dates"), reversal)
+
+
+def reversal_rank(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranks by a scorer that is not the library's own, registered the way a user would."""
+    strategies = (Strategy("losers", "reversal", 63, 0), Strategy("older-losers", "reversal", 126, 21))
+    return _rank_report(spark, sf, strategies, scorers=(REVERSAL,))
+
+
 @per_session
 def market_series(spark: SparkSession, sf: str) -> DataFrame:
     """The market: mean adjusted close of all securities per open day."""
@@ -131,6 +150,7 @@ QUERIES = {
     "momentum_rank": momentum_rank,
     "low_volatility_rank": low_volatility_rank,
     "market_cap_rank": market_cap_rank,
+    "reversal_rank": reversal_rank,
     "trend_filter": trend_filter,
     "sweep_holdings": sweep_holdings,
 }
