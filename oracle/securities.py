@@ -40,4 +40,5 @@ FULL JOIN (SELECT CASE WHEN p_brand = 'Brand#3' THEN 'Brand#X' ELSE p_brand END
 WHERE a.n IS DISTINCT FROM b.n
 """,
 }
+SQL["ticker_history_batches"] = SQL["ticker_history"]
 SQL = {name: build(body) for name, body in SQL.items()}
