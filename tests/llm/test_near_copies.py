@@ -1,11 +1,12 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from conftest_texts import odd_texts
 
 import corpus_pipeline
-from tidemark.llm import near_copies
+from tidemark.llm import near_copies, simhash
 
 
 def slow_words(text):
@@ -76,3 +77,25 @@ def test_odd_texts(odd_docs, no_docs):
     assert kept.columns == odd_docs.columns
     assert Counter(r.doc_id for r in kept.collect()) == Counter([i for i, _ in slow_kept(rows)] + [i for i, _ in rows if i is None])
     assert near_copies.keep_first(no_docs).collect() == []
+
+
+def test_stage_finds_candidates_by_simhash(spark, near_rows, monkeypatch):
+    """A plan that lets no bit differ, not even none, leaves every text."""
+    docs = spark.createDataFrame(near_rows, "doc_id long, text string")
+    monkeypatch.setattr(simhash, "plan_wide", lambda rows, similarity: simhash.Wide(8, 4, 128, -1))
+    assert corpus_pipeline.near_dedup(spark, docs, "").count() == len(near_rows)
+
+
+@pytest.mark.parametrize("rows", [100, 250_000, 15_000_000])
+def test_wide_fingerprints_of_similar_sets_meet(rows):
+    """Sets that share exactly 0.8 agree in a part and in enough check bits."""
+    rng, wide = np.random.default_rng(11), simhash.plan_wide(rows, 0.8)
+    met = 0
+    for k in range(500):
+        only = 1 + k % 8
+        both = rng.integers(0, 1 << 63, 8 * only, dtype=np.uint64)
+        pair = [np.r_[both, rng.integers(0, 1 << 63, only, dtype=np.uint64)] for _ in range(2)]
+        check, values = simhash.wide_keys([simhash.wide_fingerprint(x, wide.words) for x in pair], wide)
+        assert values.shape == (2, wide.parts) and values.max() < 1 << wide.width
+        met += (values[0] == values[1]).any() and np.bitwise_count(check[0] ^ check[1]).sum() <= wide.distance
+    assert met >= 498

@@ -25,7 +25,9 @@ SAMPLE = 2500
 #: One document in so many is held out of training, by crc32 of its id.
 FOLDS = 5
 #: Bytes of text whose features are computed at a time.
-PART_BYTES = 4_000_000
+PART_BYTES = 1_000_000
+#: Texts that are taken out of an Arrow batch at a time.
+ROWS = 256
 
 _CLASSES = {
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -275,13 +277,13 @@ def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "score
     good documents among the labelled ones."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
-
-        whole = [(t or "").encode() for t in texts]
-        parts = [shared.value.scores(part) for part in pieces(whole, map(len, whole), PART_BYTES)]
-        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        found = [np.zeros(0)]
+        for at in range(0, len(texts), ROWS):  # a batch's texts are never all copied at once
+            whole = utf8(texts.slice(at, ROWS))
+            found += [shared.value.scores(part) for part in pieces(whole, map(len, whole), PART_BYTES)]
+        return pa.array(np.concatenate(found), pa.float64())
 
     return docs.withColumn(name, score(F.col(text)))
 

@@ -5,6 +5,9 @@ sum of (t_i + 1) is `distance` + 1, two fingerprints that differ in at most `dis
 most t_i bits of some partition i (t_i = -1 leaves a partition out). The thresholds come from a dynamic
 programme over estimated costs: rows to probe plus candidates to verify, from counts over all
 fingerprints. Probes and index rows meet in an equality join; every candidate is verified.
+
+Texts of Jaccard similarity 0.8 differ in about 15 of 100 bits, too many for thresholds on 64 of them. For these there are wide
+fingerprints, whose parts must agree entirely: their number is planned from the chance that similar texts agree in none.
 """
 
 from __future__ import annotations
@@ -12,7 +15,8 @@ from __future__ import annotations
 import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import comb
+from functools import lru_cache
+from math import acos, ceil, comb, log, log1p, log2, pi
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.names import unused
-from tidemark.llm.texts import LOWER_AZ, signed, utf8
+from tidemark.llm.texts import LOWER_AZ, mix, signed, utf8
 from tidemark.operators.graph import connected_components
 from tidemark.sources.checkpoints import cut
 
@@ -244,11 +248,14 @@ def forest(left: np.ndarray, right: np.ndarray | None, distance: int) -> np.ndar
         near = np.triu(near, 1)
     i, j = np.nonzero(near)
     ends = np.stack([left[i], (left if right is None else right)[j]], axis=1)
-    if len(ends) <= len(left):
-        return ends
+    return ends if len(ends) <= len(left) else spanning(ends)
+
+
+def spanning(ends: np.ndarray) -> np.ndarray:
+    """Links [n, 2] of which at most one per node is kept, joining whatever all of them join."""
     nodes, place = np.unique(ends.ravel(), return_inverse=True)
     a, b = place.reshape(-1, 2).T
-    label, kept = np.arange(len(nodes)), []
+    label, kept = np.arange(len(nodes)), [ends[:0]]
     while len(a):  # each round hooks every label to its least neighbour, then follows the hooks
         low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
         open_ = low < high
@@ -309,6 +316,58 @@ def _views(column: pa.Array) -> Iterator[np.ndarray]:
     return (flat[a:b] for a, b in itertools.pairwise(at.tolist()))
 
 
+# --- wide fingerprints --------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Wide:
+    """Fingerprints of `check` bits and `parts` parts of `width` bits; `distance` of the check bits may differ."""
+
+    width: int
+    parts: int
+    check: int
+    distance: int
+
+    @property
+    def words(self) -> int:
+        return -(-(self.check + self.parts * self.width) // BITS)
+
+
+def plan_wide(rows: int, similarity: float, check: int = 128, miss: float = 1e-4) -> Wide:
+    """Parts of which two sets of this Jaccard similarity miss all with a chance of at most `miss`, and the same for the check bits.
+
+    A bit differs with a chance of (angle of the sets) / pi, which is greatest for sets of equal size. A part grows with the number of rows,
+    so that about 2 ** 8 unrelated rows share it; the number of parts then grows as about the fourth root of the rows.
+    """
+    differ = acos(2 * similarity / (1 + similarity)) / pi
+    width = min(24, max(8, ceil(log2(max(rows, 1))) - 8))
+    parts = ceil(log(miss) / log1p(-((1 - differ) ** width)))
+    return Wide(width, parts, check, int(np.searchsorted(within(np.full(check, differ), check), 1 - miss)))
+
+
+def wide_fingerprint(hashes: np.ndarray, words: int) -> bytes:
+    """SimHash of `words` * 64 bits from the hashes of a text's shingles: a bit is 1 if it is 1 in over half of them."""
+    counts = np.zeros(words * BITS, np.int64)
+    salts = _salts(words)
+    for at in range(0, len(hashes), 255):  # so many fit into a byte
+        mixed = mix(hashes[at : at + 255, None] ^ salts)
+        counts += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes()
+
+
+@lru_cache
+def _salts(words: int) -> np.ndarray:
+    return mix(np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def wide_keys(prints: list[bytes], wide: Wide) -> tuple[np.ndarray, np.ndarray]:
+    """Of each fingerprint the check bits as 64-bit words, and the value of every part."""
+    flat = np.frombuffer(b"".join(prints), np.uint8).reshape(len(prints), wide.words * 8)
+    bits = np.unpackbits(flat, axis=1, bitorder="little")[:, wide.check : wide.check + wide.parts * wide.width]
+    values = bits.reshape(-1, wide.parts, wide.width) @ (np.int32(1) << np.arange(wide.width, dtype=np.int32))
+    return np.ascontiguousarray(flat[:, : wide.check // 8]).view(np.uint64), values
+
+
 # --- groups -------------------------------------------------------------------------------------
 
 
