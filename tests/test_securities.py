@@ -1,6 +1,10 @@
 from datetime import date
 
+from pyspark.sql import functions as F
+
 from tidemark.operators.securities import diff_summary, master_diff, ticker_history
+from tidemark.operators.spread import spread
+from tidemark.plans import ingest as plans_ingest
 
 D = date
 
@@ -48,3 +52,25 @@ def test_a_refused_row_is_not_a_missing_one(spark):
         "4": ("created", []),
     }
     assert {r.what: r.n for r in diff_summary(diff).collect()}["missing"] == 1
+
+
+def test_tasks_follow_the_rows(spark):
+    """Few rows stay as they are; many are dealt over more tasks than the session has, and the window adds no shuffle."""
+    rows = spark.range(1000).select((F.col("id") % 50).alias("security_id"), F.lit("open").alias("kind"), F.lit("A").alias("ticker"), F.date_add(F.lit(D(2020, 1, 1)), F.col("id").cast("int")).alias("effective"))
+    assert spread(rows, "security_id", each=400) is rows
+    dealt = ticker_history(spread(rows, "security_id", each=50))
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(security_id" in plan and ", 20)" in plan and dealt.count() == 1000
+    assert "Union" not in plan
+
+
+def test_registered_download_is_read_in_small_parts(spark, sf, monkeypatch):
+    """The second download is dealt by size, not over a fixed number of tasks."""
+    seen = []
+    monkeypatch.setattr(plans_ingest.sinks, "register_version", lambda rows, *a: seen.append(rows._jdf.queryExecution().optimizedPlan().toString()))
+    monkeypatch.setattr(plans_ingest, "scratch", lambda spark: sf)
+    try:
+        plans_ingest.version_registry(spark, sf)
+    except Exception:  # noqa: BLE001 - nothing was registered, so nothing can be read
+        pass
+    assert "RebalancePartitions" in seen[1] and "Repartition 3" not in seen[1]

@@ -84,9 +84,10 @@ def ticker_history(events: DataFrame) -> DataFrame:
     order = F.when(F.col("kind") == "open", 0).when(F.col("kind") == "change", 1).otherwise(2)
     w = W.partitionBy("security_id").orderBy("effective", "_o")
     earlier = w.rowsBetween(W.unboundedPreceding, -1)
-    opened = F.max(F.when(F.col("kind") == "open", 1)).over(W.partitionBy("security_id", "effective"))
+    # An opening stands before the changes of its day.
+    opened = F.last(F.when(F.col("kind") == "open", F.col("effective")), True).over(earlier)
     rows = events.withColumn("_o", order).withColumn(
-        "_too_early", (F.col("kind") == "change") & opened.isNotNull()
+        "_too_early", (F.col("kind") == "change") & F.coalesce(opened == F.col("effective"), F.lit(False))
     )
     # A change to the ticker already held changes nothing, so it may stand for the current one.
     counts = ~F.col("_too_early")
@@ -99,18 +100,13 @@ def ticker_history(events: DataFrame) -> DataFrame:
         .when((F.col("kind") == "change") & (F.col("ticker") == prev_ticker), "already trades as this ticker")
     )
     judged = rows.withColumn("refusal", refusal)
-    good = judged.filter("refusal IS NULL")
+    good = F.col("refusal").isNull()
     stop = F.when(F.col("kind") == "close", F.date_add("effective", 1)).otherwise(F.col("effective"))
-    spans = good.withColumn("valid_to", F.lead(stop).over(w)).filter("kind <> 'close'")
-    kept = spans.select(
-        "security_id", "ticker", F.col("effective").alias("valid_from"), "valid_to",
-        F.lit(None).cast("string").alias("refusal"),
-    )
-    refused = judged.filter("refusal IS NOT NULL").select(
-        "security_id", "ticker", F.col("effective").alias("valid_from"),
-        F.lit(None).cast("date").alias("valid_to"), "refusal",
-    )
-    return kept.unionByName(refused)
+    after = F.lead(stop).over(W.partitionBy("security_id", good).orderBy("effective", "_o"))
+    spans = judged.withColumn("_after", after).filter(~good | (F.col("kind") != "close"))
+    return spans.select(
+        "security_id", "ticker", F.col("effective").alias("valid_from"), F.when(good, F.col("_after")).alias("valid_to"), "refusal"
+    )
 
 
 def count_differences(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tidemark.operators import ingest, securities
+from tidemark.operators.spread import spread
 from tidemark.sources import panel
 from tidemark.sources.checkpoints import scratch
 from tidemark.sources.ticker_store import apply_ticker_events, stored_history
@@ -53,13 +55,14 @@ def master_diff_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 def ticker_events(spark: SparkSession, sf: str) -> DataFrame:
     """Listing at a customer's first order, a ticker change at each later one, close at the last."""
-    o = panel.table(spark, sf, "orders").select(
+    o = spread(panel.table(spark, sf, "orders").filter("o_custkey IS NOT NULL"), "o_custkey").select(
         F.col("o_custkey").alias("security_id"), F.col("o_orderdate").cast("date").alias("day"),
         (F.col("o_orderkey") % 4).alias("letter"),
     )
     per_day = o.groupBy("security_id", "day").agg(F.min("letter").alias("letter"))
-    edges = per_day.groupBy("security_id").agg(F.min("day").alias("_lo"), F.max("day").alias("_hi"))
-    rows = per_day.join(edges, "security_id").filter("_hi > _lo").select(
+    whole = W.partitionBy("security_id").orderBy("day").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    edged = per_day.withColumns({"_lo": F.min("day").over(whole), "_hi": F.max("day").over(whole)})
+    rows = edged.filter("_hi > _lo").select(
         "security_id",
         F.when(F.col("day") == F.col("_lo"), "open").when(F.col("day") == F.col("_hi"), "close").otherwise("change").alias("kind"),
         F.when(F.col("day") != F.col("_hi"), F.concat(F.lit("K"), F.col("letter").cast("string"))).alias("ticker"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.securities import ticker_history
+from tidemark.operators.spread import spread
 from tidemark.sources.checkpoints import cut
 
 #: Securities are dealt to so many parts by hash; a part is what a batch rewrites.
@@ -30,7 +31,7 @@ def apply_ticker_events(events: DataFrame, folder: str, batch: int, buckets: int
     if not touched:
         return []
     _replace(fresh, f"{folder}/events", "part", "batch")
-    stored = spark.read.parquet(f"{folder}/events").filter(F.col("part").isin(touched))
+    stored = spread(spark.read.parquet(f"{folder}/events").filter(F.col("part").isin(touched)), "security_id")
     newest = stored.groupBy(*_KEY, "part").agg(F.max_by(F.struct("ticker"), "batch").alias("_t"))
     rows = ticker_history(newest.select(*_KEY, "_t.ticker"))
     _replace(rows.withColumn("part", F.pmod(F.xxhash64(F.col("security_id").cast("long")), F.lit(buckets)).cast("int")), f"{folder}/history", "part")
