@@ -9,6 +9,7 @@ import pytest
 
 from tidemark.operators import analytics, net_value, portfolio, scoring
 from tidemark.params import Costs
+from tidemark.plans import portfolio as plans
 
 COSTS = Costs()
 DATES = [date(2000 + m // 12, m % 12 + 1, 3) for m in range(30)]
@@ -132,3 +133,20 @@ def test_hold_all_has_no_limit_and_an_unknown_trend_holds_nothing(spark):
     signal = spark.createDataFrame([(date(2000, 1, 3), 200, True), (date(2000, 2, 3), 200, False), (date(2000, 3, 3), 200, None)], "decision_date date, trend_days int, risk_on boolean")
     held = scoring.select_holdings(ranked, strategies, signal).groupBy("strategy", "decision_date").count().collect()
     assert {(r.strategy, r.decision_date.month): r["count"] for r in held} == {("all", 1): 50, ("ten", 1): 10, ("ten", 2): 10, ("ten", 3): 10}
+
+
+def test_stored_runs_build_one_panel(monkeypatch):
+    built = []
+
+    class Reached(Exception):
+        pass
+
+    def net_nav(*_):
+        raise Reached
+
+    monkeypatch.setattr(plans, "build_panel", lambda *_: built.append(1) or portfolio_panel)
+    monkeypatch.setattr(plans.net_value, "net_nav", net_nav)
+    portfolio_panel = plans.Panel(None, None, None, None, None)
+    with pytest.raises(Reached):
+        plans.run_store.__wrapped__(None, "")
+    assert len(built) == 1

@@ -150,7 +150,8 @@ def _run_results(net: DataFrame) -> DataFrame:
 def run_store(spark: SparkSession, sf: str) -> str:
     """A folder with the records of one run per strategy and case. One record is not what the computation gives: the value
     of one date was changed before it was written."""
-    net = cut(net_value.net_nav(build_panel(spark, sf).deltas, build_panel(spark, sf).factors, COSTS))
+    p = build_panel(spark, sf)
+    net = cut(net_value.net_nav(p.deltas, p.factors, COSTS))
     wrong = (F.col("strategy") == "momentum-v1") & (F.col("slippage") == "base")
     first = net.agg(F.min("decision_date").alias("_first"))
     written = net.join(F.broadcast(first)).withColumn(  # one row
