@@ -154,7 +154,7 @@ def version_registry(spark: SparkSession, sf: str) -> DataFrame:
     path = f"{scratch(spark)}/versions"
     raw = panel.raw_price(spark, sf)
     text = row_text(*[F.col(c) for c in ("ticker", "date", "open", "high", "low", "close", "volume")])
-    for source, rows in (("first", raw), ("again", raw.repartition(3)), ("part", raw.filter("l_orderkey % 2 = 0"))):
+    for source, rows in (("first", raw), ("again", raw.hint("rebalance")), ("part", raw.filter("l_orderkey % 2 = 0"))):
         sinks.register_version(rows, text, "prices", source, path)
     stored = spark.read.schema("dataset string, sha256 string, version string, source string, row_count bigint, downloaded_at timestamp").parquet(path)
     return stored.select("dataset", "sha256", "version", "source", "row_count")
