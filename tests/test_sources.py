@@ -85,6 +85,29 @@ def test_price_drops_by_name_and_after_a_failure(spark, tmp_path, monkeypatch):
     assert by_reason["missing columns: close"].file.endswith("3.csv")
 
 
+def test_a_drop_is_parsed_once_and_malformed_cells_do_not_stop_it(spark, tmp_path, monkeypatch):
+    periods = spark.createDataFrame([(1, "A", date(2000, 1, 1), None)], "security_id bigint, ticker string, valid_from date, valid_to date")
+    drops, table, rejects = tmp_path / "drops", str(tmp_path / "table"), str(tmp_path / "rejects")
+    same = ("Z", "2020-01-03", "6", "3")
+    drop(drops, "1.csv", [("A", "2020-01-02", "5", "2"), ("A", "2020-01-02", "4", "1"), same, same, ("A", "2020-01-03", "N/A", "4")])
+    (drops / "1.csv").write_text((drops / "1.csv").read_text() + f"A,2020-01-06,N/A,1,1,{10**30},10.5\n")
+    real, plans = prices.append_new, []
+
+    def watched(fresh, *args):
+        plans.append(fresh._jdf.queryExecution().toString())
+        real(fresh, *args)
+
+    monkeypatch.setattr(prices, "append_new", watched)
+    prices.ingest_price_drops(spark, str(drops), periods, table, rejects, str(tmp_path / "state"))
+    assert len(plans) == 1 and "csv" not in plans[0]  # both writes start from stored rows, not from the files
+    assert [(r.price_date.day, int(r.close)) for r in spark.read.parquet(table).collect()] == [(2, 4)]
+    refused = [(r.skip_reason, r.position, r.line) for r in spark.read.parquet(rejects).collect()]
+    assert sorted(refused, key=str) == [
+        ("malformed line", None, f"A,2020-01-06,N/A,1,1,{10**30},10.5"), ("missing_value", "4", None),
+        ("no_security_for_ticker_on_date", "3", None), ("no_security_for_ticker_on_date", "3", None),
+    ]
+
+
 def test_xml_with_a_default_namespace(spark, tmp_path):
     (tmp_path / "f.xml").write_text(
         '<edgarSubmission xmlns="http://www.sec.gov/edgar/nport"><formData><invstOrSecs>'

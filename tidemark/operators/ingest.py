@@ -281,6 +281,19 @@ def keep_first(rows: DataFrame, keys: Sequence[str], position: Sequence[str]) ->
     return first.select("_r.*", "copies")
 
 
+def first_or_rejected(parsed: DataFrame, keys: Sequence[str], position: Sequence[str]) -> DataFrame:
+    """`keep_first` of the accepted rows together with every rejected row as it is, in one pass.
+
+    A rejected row is a group of its own, so equal ones stay as many and none meets a common key.
+    """
+    own = F.when(F.col("skip_reason").isNotNull(), F.monotonically_increasing_id())
+    rest = [c for c in parsed.columns if c not in keys and c not in position]
+    # One struct that is both order and row, without the keys: rows are sorted here, so their width counts.
+    groups = parsed.withColumn("_own", own).groupBy(*keys, "_own")
+    first = groups.agg(F.min(F.struct(*position, *rest)).alias("_r"), F.count("*").alias("copies"))
+    return first.select(*keys, "_r.*", "copies").select(*parsed.columns, "copies")
+
+
 def new_rows(fresh: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Fresh rows whose key is not stored yet (NULLs in keys count as equal)."""
     s = stored.select(*[F.col(k).alias(f"_{k}") for k in keys])

@@ -321,7 +321,7 @@ def raw_price(spark: SparkSession, sf: str) -> DataFrame:
         .alias("ticker"),
         F.when(o % 89 == 0, "2024")
         .when(o % 83 == 0, "")
-        .otherwise(F.date_format(F.col("l_shipdate").cast("date"), "yyyy-MM-dd"))
+        .otherwise(F.col("l_shipdate").cast("date").cast("string"))
         .alias("date"),
         F.when(o % 79 == 0, "N/A").otherwise(text).alias("open"),
         text.alias("high"),

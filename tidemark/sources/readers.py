@@ -57,6 +57,13 @@ def read_vendor_csv(
     for columns, files in layouts.items():
         if missing := lacking(columns, required):
             raise MissingColumns(f"missing columns: {', '.join(missing)} in {files[0]}")
+    return scan_layouts(spark, layouts, required, malformed)
+
+
+def scan_layouts(
+    spark: SparkSession, layouts: dict[tuple[str, ...], list[str]], required: Sequence[str], malformed: str | None = None
+) -> DataFrame:
+    """`read_vendor_csv` for files whose layouts are known and have all required columns."""
     wanted = [*required, *([malformed] if malformed else [])]
     rows = spark.createDataFrame([], all_text(tuple(wanted)))
     for columns, files in layouts.items():

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import ingest
 from tidemark.schemas import RAW_PRICE_COLUMNS
-from tidemark.sources.readers import csv_layouts, lacking, read_vendor_csv
+from tidemark.sources.checkpoints import cut
+from tidemark.sources.readers import csv_layouts, lacking, scan_layouts
 from tidemark.sources.sinks import append_new
 
 KEYS = ("security_id", "price_date")
@@ -23,7 +24,8 @@ def ingest_price_drops(
     A drop carries the vendor's columns, in any order and by name, and `position`, a text that orders the rows of all drops: of a
     key's copies the first stays, whether they are in one drop or in several. The stream lists new files without reading
     them; a micro-batch looks at their headers and reads them by name. A file that lacks a column is not read: it is listed in the
-    rejects with that reason, like rows that are rejected and lines with too few or too many cells.
+    rejects with that reason, like rows that are rejected and lines with too few or too many cells. A drop's rows are read, parsed and
+    reduced to one per key in one pass, whose result both writes use.
 
     Runs until the folder is read and stops. Of a batch that dies between its two writes, the table has the rows and the rejects
     have nothing; when it is repeated, only unknown keys are appended and the batch's folder of rejects is written anew, so
@@ -33,23 +35,18 @@ def ingest_price_drops(
 
     def store(batch: DataFrame, batch_id: int) -> None:
         files = [r.path for r in batch.collect()]  # names of new files only
-        bad, good = [], []
+        bad, good = [], {}
         for columns, held in (csv_layouts(spark, files) if files else {}).items():
-            missing = lacking(columns, COLUMNS)
-            bad += [(f, f"missing columns: {', '.join(missing)}") for f in held if missing]
-            good += [] if missing else held
+            if missing := lacking(columns, COLUMNS):
+                bad += [(f, f"missing columns: {', '.join(missing)}") for f in held]
+            else:
+                good[columns] = held
         refused = spark.createDataFrame(bad, "file string, skip_reason string")
         if good:
-            rows = read_vendor_csv(spark, good, COLUMNS, "line")
-            parsed = ingest.parse_prices(rows.filter("line IS NULL").drop("line"), periods, ("position",))
-            fresh = ingest.keep_first(ingest.accepted(parsed), KEYS, ("position", "close", "volume"))
-            append_new(fresh.drop("copies", "position").withColumn("batch", F.lit(batch_id)), table, KEYS, "price_date")
-            broken = rows.filter("line IS NOT NULL").select("*", F.lit("malformed line").alias("skip_reason"))
-            refused = (
-                parsed.filter("skip_reason IS NOT NULL")
-                .unionByName(broken, allowMissingColumns=True)
-                .unionByName(refused, allowMissingColumns=True)
-            )
+            judged = cut(_judged(scan_layouts(spark, good, COLUMNS, "line"), periods))
+            fresh = ingest.accepted(judged).drop("copies", "position", "_broken")
+            append_new(fresh.withColumn("batch", F.lit(batch_id)), table, KEYS, "price_date")
+            refused = _rejects(judged.filter("skip_reason IS NOT NULL")).unionByName(refused, allowMissingColumns=True)
         refused.write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
 
     query = (
@@ -59,3 +56,26 @@ def ingest_price_drops(
         .start()
     )
     query.awaitTermination()
+
+
+def _judged(rows: DataFrame, periods: DataFrame) -> DataFrame:
+    """Accepted rows, one per key, and all rejected ones, from one scan: text is read and parsed once per drop.
+
+    Cells of a malformed line are not parsed; they go along in `_broken`.
+    """
+    whole = F.col("line").isNull()
+    broken = F.when(~whole, F.struct(*COLUMNS, "line"))
+    cells = rows.withColumns({"_broken": broken, **{c: F.when(whole, F.col(c)) for c in RAW_PRICE_COLUMNS}})
+    parsed = ingest.parse_prices(cells, periods, ("position", "_broken"))
+    reason = F.when(F.col("_broken").isNotNull(), "malformed line").otherwise(F.col("skip_reason"))
+    # Days before securities: the sort before the partial aggregation compares its first column fastest.
+    return ingest.first_or_rejected(parsed.withColumn("skip_reason", reason), KEYS[::-1], ("position", "close", "volume"))
+
+
+def _rejects(judged: DataFrame) -> DataFrame:
+    """Rejected rows with their typed columns; of a malformed line its cells, where they can be read, and the line."""
+    prices = {c: F.coalesce(F.col(c).cast("double"), F.col(f"_broken.{c}").try_cast("double")) for c in ("open", "high", "low", "close")}
+    volume = F.coalesce("volume", F.col("_broken.volume").try_cast("bigint"))
+    texts = {c: F.col(f"_broken.{c}") for c in ("date", "closeadj", "closeunadj", "line")}
+    ticker = F.coalesce("_broken.ticker", "ticker")
+    return judged.withColumns({"ticker": ticker, **prices, "volume": volume, **texts}).drop("copies", "_broken")
