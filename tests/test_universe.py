@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import graph, quality, universe
 from tidemark.operators.graph import connected_components
 from tidemark.params import QualityThresholds
+from tidemark.sources import panel
 
 
 def test_components_against_union_find(spark):
@@ -186,3 +187,27 @@ def test_dates_without_a_covering_run_are_refused(spark):
     assert {r.as_of: r.run_id for r in cover.collect()} == {date(2000, 3, 1): 2, date(2001, 3, 1): None}
     rows = spark.createDataFrame([(date(2000, 3, 1), 1, None), (date(2001, 3, 1), 1, None)], "as_of date, security_id bigint, reason string")
     assert {r.as_of: r.reason for r in universe.gated(rows, cover).collect()} == {date(2000, 3, 1): None, date(2001, 3, 1): "no_quality_run"}
+
+
+def test_the_last_day_is_read_once(spark, sf):
+    session, jobs = spark.newSession(), spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("last day", "")
+    try:
+        days, ran = set(), []
+        for _ in range(2):
+            days.add(panel.last_day(session, sf))
+            ran.append(len(jobs.getJobIdsForGroup("last day")))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(days) == 1 and ran[0] > 0 and ran[1] == ran[0]
+
+
+def test_rows_without_a_finding_do_not_reach_the_array_of_findings(spark):
+    rows = [(1, date(2020, 1, 2), D(5)), (2, date(2020, 1, 2), D(0)), (3, date(2020, 1, 2), None)]
+    caps = spark.createDataFrame(rows, "security_id int, cap_date date, market_cap_usd decimal(24,4)")
+    found = quality.value_findings(caps, date(2020, 1, 1), date(2020, 12, 31))
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    generate = next(i for i, line in enumerate(plan) if "Generate explode" in line)
+    kept = [line.split("size(filter")[0] for line in plan[generate + 1 :] if "Filter" in line]
+    assert any("(market_cap_usd" in line and "<= 0" in line for line in kept)
+    assert [(r.security_id, r.check_name, r.detail) for r in found.collect()] == [(2, "non_positive_market_value", "value=0.0000")]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def per_session(build: Callable[..., Any]) -> Callable[..., Any]:
-    """Build each plan once per session and plain arguments. No data is held, only the plan.
+    """Build each plan once per session and plain arguments. No data is held, only the plan (and `panel.last_day`, one date).
 
     Plans are kept on the session itself, so they go when it goes. A call that is given a DataFrame builds
     anew: such plans belong to one run.

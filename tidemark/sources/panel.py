@@ -47,14 +47,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return rows
 
 
-def last_day(spark: SparkSession, sf: str) -> date:
-    """The newest price date of the data: where date grids end. One row reaches the driver."""
-    return _last_day(spark, sf).first()[0]
-
-
 @per_session
-def _last_day(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").agg(F.max("l_shipdate").cast("date"))
+def last_day(spark: SparkSession, sf: str) -> date:
+    """The newest price date of the data: where date grids end. One row reaches the driver, once, as the shared grids hold it anyway."""
+    return table(spark, sf, "lineitem").agg(F.max("l_shipdate").cast("date")).first()[0]
 
 
 def _brand() -> Column:
@@ -73,7 +69,8 @@ def _with_security(lines: DataFrame, spark: SparkSession, sf: str, key: str) ->
 def daily_price(spark: SparkSession, sf: str, key: str = "brand") -> DataFrame:
     """One row per (security_id, price_date): first, highest, lowest and last trade of the day.
 
-    min_by / max_by are combined before the shuffle, so a hot security or day costs no more.
+    The aggregates are combined before the shuffle, so a hot security or day costs no more. First and last are each one
+    struct that is both order and value: rows are sorted here, so their width counts.
     """
     lines = table(spark, sf, "lineitem")
     rows = _with_security(lines, spark, sf, key).select(
@@ -84,12 +81,12 @@ def daily_price(spark: SparkSession, sf: str, key: str = "brand") -> DataFrame:
         "l_orderkey",
         "l_linenumber",
     )
-    order = F.struct("l_orderkey", "l_linenumber", "p", "q")
+    order = F.struct("l_orderkey", "l_linenumber", "p")
     day = rows.groupBy("security_id", "price_date").agg(
-        F.min_by("p", order).alias("open"),
+        F.min(order)["p"].alias("open"),
         F.max("p").alias("_high"),
         F.min("p").alias("low"),
-        F.max_by("p", order).alias("close"),
+        F.max(order)["p"].alias("close"),
         F.sum("q").cast("bigint").alias("volume"),
     )
     broken = F.col("security_id") + F.dayofmonth("price_date") == 40
